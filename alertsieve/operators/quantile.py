@@ -1,18 +1,22 @@
 """Exact quantiles with bounded memory per task.
 
-Spark's ``percentile`` is exact but keeps every distinct value of the
-group in ONE aggregation buffer, which does not survive a continuous score
-over 10^11 rows.  ``exact_quantile`` selects the needed order statistics
-by histogram refinement instead: each pass is one scan with a map-side
-partial ``groupBy(bucket)`` whose output is at most ``bins`` rows
-(count, min, max per bucket).  The bucket holding the wanted rank becomes
-the next range; once a candidate range holds at most ``collect_limit``
-rows (or a single value) those few values are fetched.  Equal-width
-buckets over the tight [min, max] of the remaining rows shrink the range
-by about ``bins`` per pass, so a double column needs a handful of passes.
-
-Interpolation follows the "linear" rule (numpy's default), including its
-two-sided lerp, so results match an in-memory quantile bit for bit.
+Spark's ``percentile`` is exact but keeps every distinct value of a group
+in ONE aggregation buffer, which does not survive a continuous column over
+10^11 rows.  Here order statistics are found by histogram refinement:
+
+* the columns are unpivoted to (column id, value) rows and each pass is one
+  scan with a map-side partial ``groupBy(range group, bucket)`` whose
+  output is at most ``groups x bins`` rows of (count, min, max);
+* the bucket holding a wanted rank becomes that search's next range.  The
+  bucket function is monotonic, so a bucket is exactly the closed interval
+  [its min, its max]; searches in one column have identical or disjoint
+  ranges, so every value row belongs to at most one range group;
+* a range holding at most ``collect_limit`` rows, or a single value, is
+  resolved by fetching those few values.
+
+Equal-width buckets over the tight range shrink it by about ``bins`` per
+pass, so a double column needs a handful of passes, all columns at once.
+Interpolation is numpy's "linear" rule (two-sided lerp).
 """
 
 from __future__ import annotations
@@ -30,84 +34,153 @@ def _lerp(a: float, b: float, t: float) -> float:
     return a + diff * t
 
 
-def _bucket(col: Column, lo: float, hi: float, bins: int) -> Column:
-    width = hi - lo
-    raw = F.floor((col - F.lit(lo)) / F.lit(width) * F.lit(float(bins)))
+def _bucket(v: Column, lo: float, hi: float, bins: int) -> Column:
+    raw = F.floor((v - F.lit(lo)) / F.lit(hi - lo) * F.lit(float(bins)))
     return F.least(F.greatest(raw, F.lit(0)), F.lit(bins - 1)).cast("int")
 
 
-def _values(df: DataFrame, col: str) -> DataFrame:
-    return df.select(F.col(col).cast("double").alias("v")).where(F.col("v").isNotNull())
-
-
-def _summary(values: DataFrame):
-    return values.agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"),
-                      F.max("v").alias("hi")).first()
-
-
-def _select(values: DataFrame, ranks: list[int], lo: float, hi: float, n: int,
-            bins: int, collect_limit: int, max_passes: int) -> dict[int, float]:
-    result: dict[int, float] = {}
-    # Open searches: (rank within candidates, candidate filter, lo, hi, count, rank asked).
-    pending = [(r, F.lit(True), lo, hi, n, r) for r in ranks]
+def _long(df: DataFrame, cols: list[str]) -> DataFrame:
+    args = []
+    for i, c in enumerate(cols):
+        args += [F.lit(i), F.col(c).cast("double")]
+    return (df.select(F.stack(F.lit(len(cols)), *args).alias("ci", "v"))
+            .where(F.col("v").isNotNull()))
+
+
+def column_summaries(df: DataFrame, cols: list[str]) -> dict[str, tuple[int, float, float]]:
+    """(non-null count, min, max) of each column, one pass."""
+    aggs = []
+    for i, c in enumerate(cols):
+        x = F.col(c).cast("double")
+        aggs += [F.count(x).alias(f"n{i}"), F.min(x).alias(f"lo{i}"), F.max(x).alias(f"hi{i}")]
+    row = df.agg(*aggs).first()
+    return {c: (int(row[f"n{i}"]), row[f"lo{i}"], row[f"hi{i}"]) for i, c in enumerate(cols)}
+
+
+def order_statistics(df: DataFrame, requests: list[tuple[str, int]], bins: int = 4096,
+                     collect_limit: int = 50_000, max_passes: int = 64,
+                     summaries: dict | None = None) -> dict[tuple[str, int], float]:
+    """Values at 0-based ranks of the non-null values: {(col, rank): value}."""
+    cols = sorted({c for c, _ in requests})
+    cid = {c: i for i, c in enumerate(cols)}
+    summaries = summaries or column_summaries(df, cols)
+    long = _long(df, cols)
+    result: dict[tuple[str, int], float] = {}
+    # Open search: [col, rank within range, lo, hi, count, request key]
+    pending = []
+    for c, r in requests:
+        n, lo, hi = summaries[c]
+        if n == 0 or r >= n:
+            result[(c, r)] = None
+        else:
+            pending.append([c, r, float(lo), float(hi), n, (c, r)])
     for _ in range(max_passes):
-        if not pending:
+        big = []
+        small = []
+        for s in pending:
+            if s[2] == s[3]:
+                result[s[5]] = s[2]
+            elif s[4] <= collect_limit:
+                small.append(s)
+            else:
+                big.append(s)
+        if small:
+            _resolve_small(long, cid, small, result)
+        if not big:
+            pending = []
             break
-        nxt = []
-        for rank, cond, lo_, hi_, count, orig in pending:
-            if lo_ == hi_:
-                result[orig] = lo_
-                continue
-            if count <= collect_limit:
-                vals = sorted(r["v"] for r in values.where(cond).collect())  # bounded
-                result[orig] = vals[rank]
-                continue
-            b = _bucket(F.col("v"), lo_, hi_, bins)
-            hist = (values.where(cond).groupBy(b.alias("b"))
-                    .agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"),
-                         F.max("v").alias("hi"))
-                    .orderBy("b").collect())  # bounded: <= bins rows
-            seen = 0
-            for h in hist:
-                if rank < seen + h["n"]:
-                    nxt.append((rank - seen, cond & (b == F.lit(h["b"])), float(h["lo"]),
-                                float(h["hi"]), int(h["n"]), orig))
-                    break
-                seen += h["n"]
-        pending = nxt
+        pending = _refine(long, cid, big, bins)
     if pending:
         raise RuntimeError("order statistic search did not converge")
     return result
 
 
-def order_statistics(df: DataFrame, col: str, ranks: list[int], bins: int = 4096,
-                     collect_limit: int = 50_000, max_passes: int = 64) -> dict[int, float]:
-    """Values at the given 0-based ranks of the non-null ``col`` values."""
-    values = _values(df, col)
-    s = _summary(values)
-    if int(s["n"]) == 0:
-        return {r: None for r in ranks}
-    return _select(values, ranks, float(s["lo"]), float(s["hi"]), int(s["n"]),
-                   bins, collect_limit, max_passes)
-
-
-def exact_quantile(df: DataFrame, col: str, q: float, bins: int = 4096,
-                   collect_limit: int = 50_000, max_passes: int = 64) -> float | None:
+def _groups(searches) -> dict[tuple, int]:
+    keys = {}
+    for s in searches:
+        keys.setdefault((s[0], s[2], s[3]), len(keys))
+    return keys
+
+
+def _group_expr(cid, groups: dict[tuple, int], with_bucket_bins: int | None = None):
+    gid = None
+    bucket = None
+    for (c, lo, hi), g in groups.items():
+        cond = (F.col("ci") == F.lit(cid[c])) & F.col("v").between(F.lit(lo), F.lit(hi))
+        gid = F.when(cond, F.lit(g)) if gid is None else gid.when(cond, F.lit(g))
+        if with_bucket_bins:
+            b = _bucket(F.col("v"), lo, hi, with_bucket_bins)
+            bucket = F.when(cond, b) if bucket is None else bucket.when(cond, b)
+    return gid, bucket
+
+
+def _resolve_small(long: DataFrame, cid, searches, result) -> None:
+    groups = _groups(searches)
+    gid, _ = _group_expr(cid, groups)
+    rows = (long.select(gid.alias("g"), "v").where(F.col("g").isNotNull())
+            .collect())  # bounded: at most collect_limit rows per range group
+    values: dict[int, list[float]] = {}
+    for r in rows:
+        values.setdefault(r["g"], []).append(r["v"])
+    for vals in values.values():
+        vals.sort()
+    for s in searches:
+        result[s[5]] = values[groups[(s[0], s[2], s[3])]][s[1]]
+
+
+def _refine(long: DataFrame, cid, searches, bins: int):
+    groups = _groups(searches)
+    gid, bucket = _group_expr(cid, groups, bins)
+    hist = (long.select(gid.alias("g"), bucket.alias("b"), "v").where(F.col("g").isNotNull())
+            .groupBy("g", "b")
+            .agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
+            .collect())  # bounded: <= groups x bins rows
+    by_group: dict[int, list] = {}
+    for h in hist:
+        by_group.setdefault(h["g"], []).append(h)
+    nxt = []
+    for s in searches:
+        rows = sorted(by_group[groups[(s[0], s[2], s[3])]], key=lambda h: h["b"])
+        seen = 0
+        for h in rows:
+            if s[1] < seen + h["n"]:
+                nxt.append([s[0], s[1] - seen, float(h["lo"]), float(h["hi"]), int(h["n"]), s[5]])
+                break
+            seen += h["n"]
+    return nxt
+
+
+def exact_quantiles(df: DataFrame, cols: list[str], qs: list[float], **kw) -> dict[str, dict[float, float]]:
+    """Linear-interpolated quantiles ``qs`` of each column (nulls skipped)."""
+    summaries = column_summaries(df, cols)
+    requests, plan = [], {}
+    for c in cols:
+        n = summaries[c][0]
+        for q in qs:
+            if n == 0:
+                plan[(c, q)] = None
+                continue
+            h = (n - 1) * q
+            k = int(math.floor(h))
+            t = h - k
+            ranks = [k] if t == 0 or k + 1 >= n else [k, k + 1]
+            plan[(c, q)] = (ranks, t)
+            requests += [(c, r) for r in ranks]
+    stats = order_statistics(df, sorted(set(requests)), summaries=summaries, **kw) if requests else {}
+    out: dict[str, dict[float, float]] = {c: {} for c in cols}
+    for (c, q), p in plan.items():
+        if p is None:
+            out[c][q] = None
+        elif len(p[0]) == 1:
+            out[c][q] = stats[(c, p[0][0])]
+        else:
+            out[c][q] = _lerp(stats[(c, p[0][0])], stats[(c, p[0][1])], p[1])
+    return out
+
+
+def exact_quantile(df: DataFrame, col: str, q: float, **kw) -> float | None:
     """Linear-interpolated quantile of the non-null values of ``col``."""
-    values = _values(df, col)
-    s = _summary(values)
-    n = int(s["n"])
-    if n == 0:
-        return None
-    h = (n - 1) * q
-    k = int(math.floor(h))
-    t = h - k
-    ranks = [k] if t == 0 or k + 1 >= n else [k, k + 1]
-    vals = _select(values, ranks, float(s["lo"]), float(s["hi"]), n,
-                   bins, collect_limit, max_passes)
-    if len(ranks) == 1:
-        return vals[k]
-    return _lerp(vals[k], vals[k + 1], t)
+    return exact_quantiles(df, [col], [q], **kw)[col][q]
 
 
 def approx_quantile(df: DataFrame, col: str, q: float, accuracy: int = 1_000_000) -> float | None:

@@ -480,3 +480,313 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pattern analysis over the false alarms of the full ensemble."""
     prepare(spark)
     return finalize(R.pattern_analysis(labelled_forest(spark, sf_dir)))
+
+
+# ------------------------------------------------------------- ordering --
+
+from alertsieve.operators import drift as DR  # noqa: E402
+from alertsieve.operators import models as M  # noqa: E402
+from alertsieve.operators import ordering as OR  # noqa: E402
+from alertsieve.operators import selection as SEL  # noqa: E402
+from alertsieve.operators.attribution import linear_attribution, shapley_ranking  # noqa: E402
+from alertsieve.plans.output import sig_round  # noqa: E402
+
+# The 41 numeric feature columns, in table order.
+MODEL_FEATURES = (
+    [n for n, _ in TEMPORAL] + ["duration_seconds", "duration_minutes", "duration_log",
+                                "duration_sqrt", "duration_zscore"]
+    + [n for n, _ in CALENDAR] + ["title_length", "title_word_count"]
+    + [f"has_{k}" for k in C.FP_KEYWORDS] + ["fp_keyword_score", "hour_frequency",
+                                             "hour_frequency_ratio", "day_frequency"]
+    + [n for n, _ in INTERACTION])
+
+# Reduced model sizes for the catalogue runs; the API defaults stay 100/100.
+CATALOG_TREES = 20
+CATALOG_ROUNDS = 20
+
+
+def _check_features(df: DataFrame) -> list[str]:
+    found = M.feature_columns(df)
+    if found != MODEL_FEATURES:
+        raise AssertionError(f"feature columns changed: {found}")
+    return list(MODEL_FEATURES)
+
+
+def _indexed_features(spark, sf_dir):
+    feats = features(spark, sf_dir)
+    return OR.global_row_index(feats), feats
+
+
+@register("global_row_index", O.with_(O.ALERTS + ",\n" + O.ordered_index("alerts"),
+                                      "SELECT problemId, row_idx FROM idx"))
+def q_global_row_index(spark, sf_dir):
+    """0-based position of every alert in time order (startTime, problemId)."""
+    return OR.global_row_index(alerts(spark, sf_dir).select("problemId", "startTime")) \
+        .select("problemId", "row_idx")
+
+
+@register("temporal_split", O.with_(O.ALERTS + ",\n" + O.ordered_index("alerts"), f"""
+  SELECT problemId, row_idx, CASE WHEN row_idx < {O.train_cut()} THEN 'train' ELSE 'test' END AS role
+  FROM idx"""))
+def q_temporal_split(spark, sf_dir):
+    """First 70 % of alerts in time order train, the rest test."""
+    idx = OR.global_row_index(alerts(spark, sf_dir).select("problemId", "startTime"))
+    n = idx.count()
+    train, test = OR.temporal_split(idx, n, C.TRAIN_FRACTION)
+    return (train.select("problemId", "row_idx", F.lit("train").alias("role"))
+            .unionByName(test.select("problemId", "row_idx", F.lit("test").alias("role"))))
+
+
+@register("time_series_folds", O.with_(O.ALERTS + ",\n" + O.ordered_index("alerts") + """,
+nn AS (SELECT count(*) AS n, count(*) // 6 AS size FROM idx),
+folds AS (SELECT f AS fold, n - (5 - f) * size AS test_start, n - (5 - f) * size + size AS test_end,
+                 n - (5 - f) * size - 168 AS train_end FROM nn, range(5) t(f))""", """
+  SELECT CAST(fold AS BIGINT) AS fold, problemId, row_idx,
+         CASE WHEN row_idx < train_end THEN 'train' ELSE 'test' END AS role
+  FROM idx JOIN folds ON row_idx < train_end OR (row_idx >= test_start AND row_idx < test_end)"""))
+def q_time_series_folds(spark, sf_dir):
+    """Rolling-origin folds (5 folds, 168-row gap): fold membership rows."""
+    idx = OR.global_row_index(alerts(spark, sf_dir).select("problemId", "startTime"))
+    n = idx.count()
+    return OR.time_series_folds(idx, n, C.CV_FOLDS, C.CV_GAP_ROWS).select("fold", "problemId", "row_idx", "role")
+
+
+def _train_test(spark, sf_dir):
+    idx, _ = _indexed_features(spark, sf_dir)
+    n = idx.count()
+    train, test = OR.temporal_split(idx, n, C.TRAIN_FRACTION)
+    return train, test, n
+
+
+_FEAT_IDX = O.FEATURES + ",\n" + O.ordered_index("feat")
+
+
+def _long_sql(src: str, fill: bool = True) -> str:
+    if fill:
+        inner = O.filled(MODEL_FEATURES, src)
+    else:
+        inner = "SELECT " + ", ".join(f'CAST("{f}" AS DOUBLE) AS "{f}"' for f in MODEL_FEATURES) + f" FROM {src}"
+    names = ", ".join(f'"{f}"' for f in MODEL_FEATURES)
+    return f"(SELECT * FROM ({inner}) UNPIVOT INCLUDE NULLS (v FOR feature IN ({names})))"
+
+
+@register("robust_scale", O.with_(_FEAT_IDX + f""",
+tr AS (SELECT * FROM idx WHERE row_idx < {O.train_cut()}),
+q AS (SELECT feature, quantile_cont(v, 0.25) AS q1, quantile_cont(v, 0.5) AS q2,
+             quantile_cont(v, 0.75) AS q3 FROM {_long_sql('tr')} GROUP BY feature)""", f"""
+  SELECT feature, {O.rnd('q2')} AS center,
+         {O.rnd(f'CASE WHEN q3 - q1 = 0 THEN {O.dbl(1)} ELSE q3 - q1 END')} AS scale FROM q"""))
+def q_robust_scale(spark, sf_dir):
+    """Median / IQR scaling constants fitted on the training rows (exact quantiles)."""
+    train, _, _ = _train_test(spark, sf_dir)
+    feats = _check_features(train)
+    scaling = M.fit_robust_scaling(M.fill_features(train, feats), feats)
+    return spark.createDataFrame(scaling.to_rows(), "feature string, center double, scale double")
+
+
+@register("class_weights", O.with_(O.SCORED, """
+  SELECT is_false_positive, count(*) AS n_class,
+         (SELECT count(*) FROM labelled) / (2 * count(*)) AS class_weight
+  FROM labelled GROUP BY is_false_positive"""))
+def q_class_weights(spark, sf_dir):
+    """Balanced class weights n / (2 n_class)."""
+    return M.class_weight_table(labelled_fallback(spark, sf_dir))
+
+
+_RULE_CUT = 0.3
+
+
+@register("binary_metrics", O.with_(O.SCORED + f""",
+pr AS (SELECT is_false_positive AS y, CASE WHEN score_rules >= {O.dbl(_RULE_CUT)} THEN 1 ELSE 0 END AS p,
+              score_rules AS s FROM labelled),
+c AS (SELECT count(*) FILTER (WHERE y = 1 AND p = 1) AS tp, count(*) FILTER (WHERE y = 0 AND p = 1) AS fp,
+             count(*) FILTER (WHERE y = 0 AND p = 0) AS tn, count(*) FILTER (WHERE y = 1 AND p = 0) AS fn FROM pr),
+m AS (SELECT *, CASE WHEN tp + fp + tn + fn = 0 THEN 0 ELSE (tp + tn) / (tp + fp + tn + fn) END AS accuracy,
+             CASE WHEN tp + fp = 0 THEN 0 ELSE tp / (tp + fp) END AS prec,
+             CASE WHEN tp + fn = 0 THEN 0 ELSE tp / (tp + fn) END AS rec FROM c),
+g AS (SELECT s, count(*) FILTER (WHERE y = 1) AS pos, count(*) FILTER (WHERE y = 0) AS neg FROM pr GROUP BY s),
+g2 AS (SELECT *, coalesce(sum(neg) OVER (ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM g),
+a AS (SELECT sum(pos * (below + 0.5 * neg)) / (sum(pos) * sum(neg)) AS auc FROM g2)""", f"""
+  SELECT tp, fp, tn, fn, {O.rnd('accuracy')} AS accuracy, {O.rnd('prec')} AS precision,
+         {O.rnd('rec')} AS recall,
+         {O.rnd('CASE WHEN prec + rec = 0 THEN 0 ELSE 2 * prec * rec / (prec + rec) END')} AS f1,
+         {O.rnd('auc')} AS auc
+  FROM m CROSS JOIN a"""))
+def q_binary_metrics(spark, sf_dir):
+    """Rule score as a classifier of the ensemble labels: confusion counts,
+    accuracy, precision, recall, F1 and exact ROC AUC."""
+    lab = labelled_fallback(spark, sf_dir)
+    pred = lab.select(F.col("is_false_positive").cast("double").alias("label"),
+                      (F.col("score_rules") >= _RULE_CUT).cast("double").alias("prediction"),
+                      F.col("score_rules").alias("p1"))
+    return M.binary_metrics(pred)
+
+
+@register("variance_profile", O.with_(O.FEATURES + f""",
+vp AS (SELECT feature, var_pop(v) AS variance FROM {_long_sql('feat', fill=False)} GROUP BY feature)""",
+                                      f"SELECT feature, {O.sig('variance')} AS variance FROM vp"))
+def q_variance_profile(spark, sf_dir):
+    """Population variance of every numeric feature (9 significant digits)."""
+    feats = features(spark, sf_dir)
+    cols = _check_features(feats)
+    vp = SEL.variance_profile(feats, cols)
+    return vp.select("feature", sig_round(F.col("variance")).alias("variance"))
+
+
+def _corr_sql() -> str:
+    pairs = [(a, b) for i, a in enumerate(MODEL_FEATURES) for b in MODEL_FEATURES[i + 1:]]
+    aggs = ", ".join(f'corr("{a}", "{b}") AS "{a}|{b}"' for a, b in pairs)
+    return O.with_(O.FEATURES + f""",
+fl AS (SELECT {", ".join(f'CAST("{f}" AS DOUBLE) AS "{f}"' for f in MODEL_FEATURES)} FROM feat),
+cp AS (SELECT * FROM (SELECT {aggs} FROM fl)
+       UNPIVOT INCLUDE NULLS (c FOR pair IN ({", ".join(f'"{a}|{b}"' for a, b in pairs)})))""", f"""
+  SELECT split_part(pair, '|', 1) AS feature_a, split_part(pair, '|', 2) AS feature_b,
+         {O.rnd('CASE WHEN isnan(c) THEN NULL ELSE c END')} AS corr FROM cp""")
+
+
+@register("correlation_pairs", _corr_sql())
+def q_correlation_pairs(spark, sf_dir):
+    """Pearson correlation of every feature pair (a before b); NaN -> null."""
+    feats = features(spark, sf_dir)
+    cols = _check_features(feats)
+    cp = SEL.correlation_pairs(feats, cols)
+    return cp.select("feature_a", "feature_b",
+                     F.when(F.isnan("corr"), F.lit(None)).otherwise(F.col("corr")).alias("corr"))
+
+
+@register("ks_statistic", O.with_(_FEAT_IDX + f""",
+sides AS (SELECT *, CASE WHEN row_idx < {O.train_cut()} THEN 'ref' ELSE 'cur' END AS side FROM idx),
+lr AS (SELECT 'ref' AS side, * FROM {_long_sql("(SELECT * FROM sides WHERE side = 'ref')")}),
+lc AS (SELECT 'cur' AS side, * FROM {_long_sql("(SELECT * FROM sides WHERE side = 'cur')")}),
+cnt AS (SELECT feature, v, count(*) FILTER (WHERE side = 'ref') AS c1,
+               count(*) FILTER (WHERE side = 'cur') AS c2
+        FROM (SELECT * FROM lr UNION ALL SELECT * FROM lc) GROUP BY feature, v),
+cum AS (SELECT feature, sum(c1) OVER w AS cum1, sum(c2) OVER w AS cum2,
+               sum(c1) OVER (PARTITION BY feature) AS n1, sum(c2) OVER (PARTITION BY feature) AS n2
+        FROM cnt WINDOW w AS (PARTITION BY feature ORDER BY v ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))""", f"""
+  SELECT feature, CAST(max(n1) AS BIGINT) AS n_ref, CAST(max(n2) AS BIGINT) AS n_cur,
+         {O.rnd('max(abs(cum1 / n1 - cum2 / n2))')} AS d
+  FROM cum GROUP BY feature"""))
+def q_ks_statistic(spark, sf_dir):
+    """Two-sample KS statistic of every feature: first 70 % vs last 30 %."""
+    train, test, _ = _train_test(spark, sf_dir)
+    feats = _check_features(train)
+    return DR.ks_statistic(train, test, feats)
+
+
+@register("ks_drift", None)
+def q_ks_drift(spark, sf_dir):
+    """KS drift test per feature with asymptotic p-values, Bonferroni decision."""
+    train, test, _ = _train_test(spark, sf_dir)
+    feats = _check_features(train)
+    return DR.ks_drift(train, test, feats, C.DRIFT_ALPHA)
+
+
+@register("select_features", None)
+def q_select_features(spark, sf_dir):
+    """Variance + correlation filter over the features (forced to run; the
+    method only runs it above 50 numeric columns)."""
+    feats = features(spark, sf_dir)
+    cols = _check_features(feats)
+    kept = set(SEL.select_features(feats, cols, force=True))
+    rows = [(c, i, c in kept) for i, c in enumerate(cols)]
+    return spark.createDataFrame(rows, "feature string, position int, kept boolean")
+
+
+def _suite(spark, sf_dir):
+    lab = labelled_forest(spark, sf_dir)
+    return M.model_suite(lab, trees=CATALOG_TREES, rounds=CATALOG_ROUNDS)
+
+
+@register("model_suite", None)
+def q_model_suite(spark, sf_dir):
+    """Four classifiers on the ensemble labels, 70/30 time split: metrics."""
+    return _suite(spark, sf_dir).metrics
+
+
+@register("temporal_cv", None)
+def q_temporal_cv(spark, sf_dir):
+    """Best classifier refitted on 5 rolling-origin folds (gap 168 rows): F1."""
+    res = _suite(spark, sf_dir)
+    spec = next(s for s in M.model_specs(CATALOG_TREES, CATALOG_ROUNDS) if s.name == res.best)
+    return M.temporal_cv(res.indexed, res.n_rows, res.features, spec, C.CV_FOLDS, C.CV_GAP_ROWS)
+
+
+@register("attribution_ranking", None)
+def q_attribution_ranking(spark, sf_dir):
+    """Sampled-Shapley importance of the best classifier over the first test
+    rows (200 rows x 10 permutations), ranked."""
+    res = _suite(spark, sf_dir)
+    best = next(t for t in res.trained if t.name == res.best).model
+    feats = res.features
+    test = res.scaling.transform(M.fill_features(res.test, feats, keep=["row_idx"]), keep=["row_idx"])
+    explained = test.where(F.col("row_idx") < F.lit(res.n_rows * C.TRAIN_FRACTION + 200))
+    background = res.scaling.transform(M.fill_features(res.train, feats, keep=["row_idx"]), keep=["row_idx"])
+    # a bounded background sample: 500 rows drawn by hash
+    background = background.orderBy(F.xxhash64("row_idx", F.lit(C.SEED))).limit(500)
+    return shapley_ranking(best, explained, background, feats, permutations=10, seed=C.SEED,
+                           id_col="row_idx")
+
+
+@register("linear_attribution", None)
+def q_linear_attribution(spark, sf_dir):
+    """Exact log-odds attribution of the logistic regression, ranked."""
+    res = _suite(spark, sf_dir)
+    lr = next(t for t in res.trained if t.name == "LogisticRegression").model
+    feats = res.features
+    test = res.scaling.transform(M.fill_features(res.test, feats), keep=())
+    means_row = test.agg(*[F.avg(c).alias(c) for c in feats]).first()
+    means = {c: means_row[c] for c in feats}
+    return linear_attribution(test, feats, list(lr.coefficients.toArray()), means)
+
+
+@register("model_roundtrip", None)
+def q_model_roundtrip(spark, sf_dir):
+    """Save the best classifier as a package, load it, score the test rows:
+    predictions must equal the in-memory model's."""
+    import uuid
+
+    from alertsieve.session import ensure_checkpoint_dir
+
+    res = _suite(spark, sf_dir)
+    best = next(t for t in res.trained if t.name == res.best).model
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/alertsieve/package-{uuid.uuid4().hex}"
+    M.save_model_package(path, best, res.features, res.scaling, metrics=res.metrics, name=res.best)
+    pkg = M.load_model_package(spark, path)
+    feats = res.test.select("problemId", *res.features)
+    before = M.ModelPackage(best, res.features, res.scaling).predict(feats)
+    after = pkg.predict(feats)
+    return (before.join(after.withColumnRenamed("prediction", "prediction_loaded")
+                        .withColumnRenamed("probability_fp", "probability_loaded"), "problemId")
+            .select("problemId", "prediction", "prediction_loaded", "probability_fp", "probability_loaded",
+                    ((F.col("prediction") == F.col("prediction_loaded"))
+                     & (F.col("probability_fp") == F.col("probability_loaded"))).alias("equal")))
+
+
+def _csv_sql() -> str:
+    from alertsieve.sources.alerts import CSV_NULL_TOKENS
+
+    tokens = ", ".join("'" + t.replace("'", "''") + "'" for t in CSV_NULL_TOKENS)
+    cols = []
+    for name, kind in RAW_OUT:
+        if kind == "s":
+            cols.append(f'CASE WHEN "{name}" IN ({tokens}) THEN NULL ELSE "{name}" END AS "{name}"')
+        else:
+            cols.append(f'strftime("{name}", \'%Y-%m-%d %H:%M:%S.%f\') AS "{name}"')
+    return O.with_(O.ALERTS, f"SELECT {', '.join(cols)} FROM alerts")
+
+
+@register("csv_roundtrip", _csv_sql())
+def q_csv_roundtrip(spark, sf_dir):
+    """Alerts written as CSV (epoch-ms times, quoted text) and scanned back
+    with the pinned-schema CSV reader."""
+    import uuid
+
+    from alertsieve.session import ensure_checkpoint_dir
+    from alertsieve.sources.alerts import read_alerts_csv
+
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/alertsieve/alerts-csv-{uuid.uuid4().hex}"
+    (alerts_from_events(spark, sf_dir).write.mode("overwrite").option("header", True)
+     .option("escape", '"').option("quoteAll", True)
+     .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path))
+    return _select(read_alerts_csv(spark, path), RAW_OUT)

@@ -181,3 +181,25 @@ fp AS (SELECT * FROM labelled WHERE is_false_positive = 1)"""
 
 def with_(ctes: str, body: str) -> str:
     return f"WITH {ctes}\n{body}"
+
+
+def sig(expr: str, digits: int = 9) -> str:
+    """Round to ``digits`` significant digits (for large-magnitude values)."""
+    e = f"floor(log10(abs({expr})))"
+    return (f"(CASE WHEN ({expr}) IS NULL THEN NULL WHEN ({expr}) = 0 THEN CAST(0.0 AS DOUBLE) "
+            f"ELSE round(({expr}) / pow(10, {e}), {digits - 1}) * pow(10, {e}) END)")
+
+
+def ordered_index(src: str, name: str = "idx") -> str:
+    """CTE adding the 0-based time-order index (startTime nulls first, problemId)."""
+    return (f"{name} AS (SELECT *, row_number() OVER (ORDER BY startTime ASC NULLS FIRST, problemId) - 1 "
+            f"AS row_idx FROM {src})")
+
+
+def train_cut(src: str = "idx", fraction: float = 0.7) -> str:
+    return f"(SELECT CAST(floor(CAST(count(*) AS DOUBLE) * {dbl(fraction)}) AS BIGINT) FROM {src})"
+
+
+def filled(features, src: str) -> str:
+    cols = ", ".join(f'coalesce(CAST("{f}" AS DOUBLE), {dbl(0)}) AS "{f}"' for f in features)
+    return f"SELECT {cols} FROM {src}"

@@ -34,3 +34,10 @@ def finalize(df: DataFrame, as_double=()) -> DataFrame:
             c = F.date_format(c, "yyyy-MM-dd")
         cols.append(c.alias(f.name))
     return df.select(*cols)
+
+
+def sig_round(c, digits: int = 9):
+    """Round to ``digits`` significant digits; same arithmetic as the SQL twin."""
+    e = F.floor(F.log10(F.abs(c)))
+    scaled = F.round(c / F.pow(F.lit(10.0), e), digits - 1) * F.pow(F.lit(10.0), e)
+    return F.when(c.isNull(), F.lit(None)).when(c == 0, F.lit(0.0)).otherwise(scaled)

@@ -56,7 +56,8 @@ def read_alerts_csv(spark: SparkSession, path: str) -> DataFrame:
     ``FileNotFoundError`` before any Spark job starts.
     """
     prepare(spark)
-    if "://" not in path and not os.path.exists(path):
+    local = path[len("file:"):] if path.startswith("file:") else path
+    if "://" not in local and not os.path.exists(local):
         raise FileNotFoundError(path)
     header = (spark.read.option("header", True).option("multiLine", True)
               .option("escape", '"').csv(path).columns)
@@ -67,6 +68,7 @@ def read_alerts_csv(spark: SparkSession, path: str) -> DataFrame:
     ordered = T.StructType([next(f for f in schema.fields if f.name == c) for c in header])
     df = (spark.read.schema(ordered).option("header", True).option("multiLine", True)
           .option("escape", '"').option("nullValue", "\u0000").option("emptyValue", "")
+          .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
           .csv(path))
     cols = []
     for f in ordered.fields:
