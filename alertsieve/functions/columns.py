@@ -47,9 +47,10 @@ def strip_unicode(col: Column) -> Column:
     return F.regexp_replace(col, r"(?U)^\s+|\s+$", "")
 
 
-def word_count(col: Column) -> Column:
-    """Number of whitespace-separated tokens; the empty string has none."""
-    return F.size(F.filter(F.split(col, r"(?U)\s+"), lambda t: t != F.lit("")))
+def word_count(stripped: Column) -> Column:
+    """Number of whitespace-separated tokens of an already stripped string;
+    the empty string has none.  (No lambda: stays inside codegen.)"""
+    return F.when(stripped == F.lit(""), F.lit(0)).otherwise(F.size(F.split(stripped, r"(?U)\s+")))
 
 
 def popstd(cols: Sequence[Column]) -> Column:

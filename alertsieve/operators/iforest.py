@@ -6,8 +6,9 @@ Spark ML has no isolation forest, so:
   key (map side, no shuffle) keeps about 3x the pool size, then a
   ``orderBy(hash).limit(pool)`` on that small remainder picks the pool.
   Each tree then draws ``max_samples`` rows from the pool without
-  replacement, ranked by a per-tree hash: independent subsamples, and
-  results do not depend on partitioning.
+  replacement, ranked by a per-tree hash (a map-side hash pre-filter keeps
+  only the candidates, ~3 x max_samples per tree): independent
+  subsamples, and results do not depend on partitioning.
 * **fit** -- ``groupBy("tree").applyInPandas``: one task grows one tree
   (random feature, uniform split point, depth cap ceil(log2 psi)).  The
   flat node table is at most trees x (2 psi - 1) rows (51,100 for the
@@ -24,7 +25,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -129,15 +130,18 @@ def fit_iforest(df: DataFrame, features, key: str = "problemId", n_trees: int =
     pool = (x.where(h < F.lit(keep)) if keep < 1.0 else x).select("*", h.alias("_h"))
     pool = pool.orderBy("_h", "_key").limit(pool_size)
     trees = F.explode(F.sequence(F.lit(0), F.lit(n_trees - 1))).alias("tree")
+    # Per tree, rows are ranked by their own hash; only the ~3 psi lowest
+    # hashes of the pool can be among the psi chosen, so a map-side filter
+    # keeps the shuffle at about 3 x trees x psi rows.
+    keep_tree = min(1.0, 3.0 * psi / max(pool_size, 1))
     per_tree = pool.select("*", trees).select(
         "*", _hash01(F.col("_key"), F.lit(seed), F.col("tree")).alias("_th"))
-    rank = F.row_number().over(Window.partitionBy("tree").orderBy("_th", "_key"))
-    chosen = per_tree.select("*", rank.alias("_r")).where(F.col("_r") <= psi)
+    chosen = per_tree.where(F.col("_th") < F.lit(keep_tree)) if keep_tree < 1.0 else per_tree
     max_depth = int(math.ceil(math.log2(max(psi, 2))))
 
     def build(pdf: pd.DataFrame) -> pd.DataFrame:
         tree = int(pdf["tree"].iloc[0])
-        pdf = pdf.sort_values(["_th", "_key"])
+        pdf = pdf.sort_values(["_th", "_key"]).head(psi)
         rng = np.random.default_rng([seed, tree])
         feat, thr, left, right, size = _grow_tree(pdf[list(features)].to_numpy(float), rng, max_depth)
         return pd.DataFrame({"tree": tree, "node": np.arange(len(feat), dtype=np.int32),

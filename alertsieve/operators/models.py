@@ -120,8 +120,9 @@ class ModelSpec:
 def model_specs(trees: int = 100, rounds: int = 100, seed: int = 42, rf_depth: int = 10) -> list[ModelSpec]:
     """The suite, in the order used to break F1 ties."""
     def lr(n):
+        # C = 1 and tol = 1e-4 as in the method's estimator defaults.
         return LogisticRegression(featuresCol="features", labelCol="label", weightCol="class_weight",
-                                  maxIter=1000, regParam=1.0 / max(n, 1), elasticNetParam=0.0,
+                                  maxIter=1000, tol=1e-4, regParam=1.0 / max(n, 1), elasticNetParam=0.0,
                                   standardization=False)
 
     def rf(n):
@@ -363,7 +364,7 @@ class SuiteResult:
 
 
 def model_suite(labelled: DataFrame, cfg: TriageConfig = DEFAULT, trees: int | None = None,
-                rounds: int | None = None, compat: bool = False, parallelism: int = 2) -> SuiteResult:
+                rounds: int | None = None, compat: bool = False, parallelism: int = 4) -> SuiteResult:
     """Time-ordered 70/30 split, scaling fitted on the training rows, suite fit."""
     from alertsieve.operators.ordering import global_row_index, temporal_split
 

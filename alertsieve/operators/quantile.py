@@ -10,7 +10,8 @@ in ONE aggregation buffer, which does not survive a continuous column over
 * the bucket holding a wanted rank becomes that search's next range.  The
   bucket function is monotonic, so a bucket is exactly the closed interval
   [its min, its max]; searches in one column have identical or disjoint
-  ranges, so every value row belongs to at most one range group;
+  ranges, so every value row belongs to at most one range group, found by
+  a broadcast range join against the (bounded) table of open ranges;
 * a range holding at most ``collect_limit`` rows, or a single value, is
   resolved by fetching those few values.
 
@@ -23,7 +24,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
@@ -34,11 +35,6 @@ def _lerp(a: float, b: float, t: float) -> float:
     return a + diff * t
 
 
-def _bucket(v: Column, lo: float, hi: float, bins: int) -> Column:
-    raw = F.floor((v - F.lit(lo)) / F.lit(hi - lo) * F.lit(float(bins)))
-    return F.least(F.greatest(raw, F.lit(0)), F.lit(bins - 1)).cast("int")
-
-
 def _long(df: DataFrame, cols: list[str]) -> DataFrame:
     args = []
     for i, c in enumerate(cols):
@@ -102,22 +98,23 @@ def _groups(searches) -> dict[tuple, int]:
     return keys
 
 
-def _group_expr(cid, groups: dict[tuple, int], with_bucket_bins: int | None = None):
-    gid = None
-    bucket = None
-    for (c, lo, hi), g in groups.items():
-        cond = (F.col("ci") == F.lit(cid[c])) & F.col("v").between(F.lit(lo), F.lit(hi))
-        gid = F.when(cond, F.lit(g)) if gid is None else gid.when(cond, F.lit(g))
-        if with_bucket_bins:
-            b = _bucket(F.col("v"), lo, hi, with_bucket_bins)
-            bucket = F.when(cond, b) if bucket is None else bucket.when(cond, b)
-    return gid, bucket
+def _assign(long: DataFrame, cid, groups: dict[tuple, int]) -> DataFrame:
+    """Rows of ``long`` inside a search range, tagged with the range group.
+
+    The range table has one row per open search range (a bounded number),
+    so it is broadcast; each value row probes it by column id and keeps
+    the (at most one) range that contains it.
+    """
+    spark = long.sparkSession
+    table = spark.createDataFrame([(cid[c], float(lo), float(hi), g) for (c, lo, hi), g in groups.items()],
+                                  "gci int, glo double, ghi double, g int")
+    cond = (F.col("ci") == F.col("gci")) & F.col("v").between(F.col("glo"), F.col("ghi"))
+    return long.join(F.broadcast(table), cond, "inner")
 
 
 def _resolve_small(long: DataFrame, cid, searches, result) -> None:
     groups = _groups(searches)
-    gid, _ = _group_expr(cid, groups)
-    rows = (long.select(gid.alias("g"), "v").where(F.col("g").isNotNull())
+    rows = (_assign(long, cid, groups).select("g", "v")
             .collect())  # bounded: at most collect_limit rows per range group
     values: dict[int, list[float]] = {}
     for r in rows:
@@ -130,9 +127,10 @@ def _resolve_small(long: DataFrame, cid, searches, result) -> None:
 
 def _refine(long: DataFrame, cid, searches, bins: int):
     groups = _groups(searches)
-    gid, bucket = _group_expr(cid, groups, bins)
-    hist = (long.select(gid.alias("g"), bucket.alias("b"), "v").where(F.col("g").isNotNull())
-            .groupBy("g", "b")
+    tagged = _assign(long, cid, groups)
+    raw = F.floor((F.col("v") - F.col("glo")) / (F.col("ghi") - F.col("glo")) * F.lit(float(bins)))
+    bucket = F.least(F.greatest(raw, F.lit(0)), F.lit(bins - 1)).cast("int")
+    hist = (tagged.groupBy("g", bucket.alias("b"))
             .agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
             .collect())  # bounded: <= groups x bins rows
     by_group: dict[int, list] = {}

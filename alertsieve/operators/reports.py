@@ -4,6 +4,14 @@ All are aggregates with map-side partial aggregation; the outputs are
 small (per hour, per title, per day, per bin) and stay DataFrames, so a
 caller can write them anywhere.  One-row totals are attached with a
 broadcast cross join of a one-row aggregate, never with ``collect()``.
+
+The false-alarm subset is selected INSIDE the aggregates (``count_if``,
+``avg(when(fp, x))``) and groups without false alarms are dropped after
+aggregation.  A row filter on ``is_false_positive`` would be pushed by
+the optimizer below the projection that computes the label, inlining the
+whole scoring expression into the filter and evaluating it twice per row
+(once to filter, once to project); conditional aggregation evaluates it
+once, wherever the label comes from.
 """
 
 from __future__ import annotations
@@ -34,17 +42,26 @@ def classification_summary(df: DataFrame) -> DataFrame:
     )
 
 
+def _is_fp() -> Column:
+    return F.col("is_false_positive") == 1
+
+
+def _fp(col) -> Column:
+    """The value on false-alarm rows, null elsewhere (aggregates skip it)."""
+    c = F.col(col) if isinstance(col, str) else col
+    return F.when(_is_fp(), c)
+
+
 def fp_summary(df: DataFrame) -> DataFrame:
     """One row over the false alarms: count, means, high-confidence count, period."""
-    fp = false_positives(df)
     conf = F.col("classification_confidence")
-    return fp.agg(
-        F.count(F.lit(1)).alias("fp_count"),
-        F.avg(conf).alias("avg_confidence"),
-        F.avg("duration_minutes").alias("avg_duration"),
-        F.count_if(conf > F.lit(C.HIGH_CONFIDENCE)).alias("high_confidence"),
-        F.min("startTime").alias("first_start"),
-        F.max("startTime").alias("last_start"),
+    return df.agg(
+        F.count_if(_is_fp()).alias("fp_count"),
+        F.avg(_fp(conf)).alias("avg_confidence"),
+        F.avg(_fp("duration_minutes")).alias("avg_duration"),
+        F.count_if(_is_fp() & (conf > F.lit(C.HIGH_CONFIDENCE))).alias("high_confidence"),
+        F.min(_fp("startTime")).alias("first_start"),
+        F.max(_fp("startTime")).alias("last_start"),
     )
 
 
@@ -53,34 +70,32 @@ def _with_total(counts: DataFrame, total: DataFrame) -> DataFrame:
     return counts.crossJoin(F.broadcast(total))
 
 
-def distribution(df: DataFrame, col: str, levels_from: DataFrame | None = None) -> DataFrame:
-    """Counts and percentages of ``col`` among the rows of ``df``.
+def distribution(df: DataFrame, col: str, all_levels: bool = False) -> DataFrame:
+    """Counts and percentages of ``col`` among the false alarms of ``df``.
 
-    With ``levels_from`` every non-null level present there is listed, with
-    count 0 when absent from ``df`` (categorical semantics).  Percentages
-    divide by all rows of ``df``, nulls included.
+    With ``all_levels`` every non-null level present in the whole table is
+    listed, with count 0 when no false alarm has it (categorical
+    semantics).  Percentages divide by all false alarms, nulls included.
     """
-    counts = (df.where(F.col(col).isNotNull()).groupBy(col)
-              .agg(F.count(F.lit(1)).alias("count")))
-    if levels_from is not None:
-        levels = levels_from.where(F.col(col).isNotNull()).select(col).distinct()
-        counts = (levels.join(counts, col, "left")
-                  .select(col, F.coalesce(F.col("count"), F.lit(0).cast("long")).alias("count")))
-    total = df.agg(F.count(F.lit(1)).alias("_total"))
+    grouped = df.groupBy(col).agg(F.count_if(_is_fp()).alias("count"))
+    total = grouped.agg(F.sum("count").alias("_total"))  # one row
+    counts = grouped.where(F.col(col).isNotNull())
+    if not all_levels:
+        counts = counts.where(F.col("count") > 0)
     return (_with_total(counts, total)
             .select(col, "count", (F.col("count") / F.col("_total") * 100).alias("percentage")))
 
 
 def severity_distribution(df: DataFrame) -> DataFrame:
-    return distribution(false_positives(df), "severityLevel", levels_from=df)
+    return distribution(df, "severityLevel", all_levels=True)
 
 
 def impact_distribution(df: DataFrame) -> DataFrame:
-    return distribution(false_positives(df), "impactLevel", levels_from=df)
+    return distribution(df, "impactLevel", all_levels=True)
 
 
 def hour_distribution(df: DataFrame) -> DataFrame:
-    return distribution(false_positives(df), "hour")
+    return distribution(df, "hour")
 
 
 def first_hours(df: DataFrame, k: int = C.FIRST_HOURS) -> DataFrame:
@@ -96,16 +111,18 @@ def busiest_hours(df: DataFrame, k: int = C.FIRST_HOURS) -> DataFrame:
 def pattern_analysis(df: DataFrame) -> DataFrame:
     """Per alert title among false alarms: frequency, duration and confidence
     statistics, most common hour (ties -> smallest).  Null titles excluded."""
-    fp = false_positives(df).where(F.col("title").isNotNull())
-    conf = F.col("classification_confidence")
-    return (fp.groupBy(F.col("title").alias("alert_title"))
-            .agg(F.count("problemId").alias("frequency"),
-                 F.avg("duration_minutes").alias("avg_duration"),
-                 F.stddev_samp("duration_minutes").alias("std_duration"),
+    conf = _fp("classification_confidence")
+    return (df.groupBy(F.col("title").alias("alert_title"))
+            .agg(F.count_if(_is_fp()).alias("_fps"),
+                 F.count(_fp("problemId")).alias("frequency"),
+                 F.avg(_fp("duration_minutes")).alias("avg_duration"),
+                 F.stddev_samp(_fp("duration_minutes")).alias("std_duration"),
                  F.avg(conf).alias("avg_confidence"),
                  F.min(conf).alias("min_confidence"),
                  F.max(conf).alias("max_confidence"),
-                 F.mode("hour", deterministic=True).alias("most_common_hour"))
+                 F.mode(_fp("hour"), deterministic=True).alias("most_common_hour"))
+            .where(F.col("alert_title").isNotNull() & (F.col("_fps") > 0))
+            .drop("_fps")
             .orderBy(F.desc("frequency"), "alert_title"))
 
 
@@ -124,19 +141,20 @@ def score_histogram(df: DataFrame, bins: int = C.SCORE_HISTOGRAM_BINS) -> DataFr
     unit-wide range, as the usual histogram routine does.  Empty bins are
     not listed."""
     s = F.col("fp_score_final")
-    scored = df.where(s.isNotNull())
-    bounds = scored.groupBy("is_false_positive").agg(F.min(s).alias("_min"), F.max(s).alias("_max"))
+    scored = df
+    bounds = (scored.groupBy("is_false_positive").agg(F.min(s).alias("_min"), F.max(s).alias("_max"))
+              .where(F.col("_min").isNotNull()))
     lo = F.when(F.col("_max") == F.col("_min"), F.col("_min") - 0.5).otherwise(F.col("_min"))
     hi = F.when(F.col("_max") == F.col("_min"), F.col("_max") + 0.5).otherwise(F.col("_max"))
     bounds = bounds.select("is_false_positive", lo.alias("lo"), hi.alias("hi"))
     # At most two classes: the bounds table has <= 2 rows.
     joined = scored.join(F.broadcast(bounds), "is_false_positive")
     raw_bin = F.floor((s - F.col("lo")) / (F.col("hi") - F.col("lo")) * bins)
-    b = F.least(F.greatest(raw_bin, F.lit(0)), F.lit(bins - 1)).cast("int")
-    width = (F.col("hi") - F.col("lo")) / bins
+    b = F.when(s.isNotNull(), F.least(F.greatest(raw_bin, F.lit(0)), F.lit(bins - 1)).cast("int"))
     return (joined.groupBy("is_false_positive", b.alias("bin"))
             .agg(F.count(F.lit(1)).alias("count"), F.first("lo").alias("lo"),
                  F.first("hi").alias("hi"))
+            .where(F.col("bin").isNotNull())
             .select("is_false_positive", "bin",
                     (F.col("lo") + F.col("bin") * (F.col("hi") - F.col("lo")) / bins).alias("bin_start"),
                     (F.col("lo") + (F.col("bin") + 1) * (F.col("hi") - F.col("lo")) / bins).alias("bin_end"),
@@ -151,13 +169,12 @@ def fp_pattern_flags(df: DataFrame) -> DataFrame:
     one row per pattern (pattern, metric, comparison, threshold, value,
     found, action).  A pattern whose metric column is absent is skipped.
     """
-    fp = false_positives(df)
-    present = [p for p in C.FP_PATTERNS if p[1] in fp.columns]
+    present = [p for p in C.FP_PATTERNS if p[1] in df.columns]
     if not present:
-        return fp.sparkSession.createDataFrame(
+        return df.sparkSession.createDataFrame(
             [], "pattern string, metric string, comparison string, threshold double, "
                 "value double, found boolean, action string")
-    means = fp.agg(*[F.avg(F.col(p[1]).cast("double")).alias(f"m{i}") for i, p in enumerate(present)])
+    means = df.agg(*[F.avg(_fp(F.col(p[1]).cast("double"))).alias(f"m{i}") for i, p in enumerate(present)])
     rows = []
     for i, (name, metric, op, thr, action) in enumerate(present):
         rows += [F.lit(name), F.lit(metric), F.lit(op), F.lit(float(thr)), F.col(f"m{i}"), F.lit(action)]
@@ -184,9 +201,11 @@ def _severity_class(sev: Column) -> Column:
 def top_fp(df: DataFrame, k: int = C.TOP_FP_ROWS) -> DataFrame:
     """The k false alarms with highest confidence (ties by problemId), laid
     out for review: ids and titles cut, severity class, high-confidence flag."""
-    fp = false_positives(df)
     conf = F.col("classification_confidence")
-    top = fp.orderBy(F.desc_nulls_last(_rank_key(conf)), "problemId").limit(k)
+    # False alarms sort first, so the k-row cut followed by the filter keeps
+    # exactly the top false alarms (the filter cannot move below a limit).
+    top = (df.orderBy(F.desc("is_false_positive"), F.desc_nulls_last(_rank_key(conf)), "problemId")
+           .limit(k).where(_is_fp()))
     title = F.coalesce(F.substring("title", 1, C.TITLE_CHARS), F.lit("N/A"))
     return top.select(
         F.substring(F.coalesce(F.col("problemId"), F.lit("N/A")), 1, C.PROBLEM_ID_CHARS).alias("problem_id"),
@@ -203,8 +222,8 @@ def top_fp(df: DataFrame, k: int = C.TOP_FP_ROWS) -> DataFrame:
 
 def top_titles(df: DataFrame, k: int = C.TOP_TITLES) -> DataFrame:
     """The k most frequent false-alarm titles (ties by title), cut to 70 chars."""
-    fp = false_positives(df).where(F.col("title").isNotNull())
-    counts = fp.groupBy("title").agg(F.count(F.lit(1)).alias("count"))
+    counts = (df.groupBy("title").agg(F.count_if(_is_fp()).alias("count"))
+              .where(F.col("title").isNotNull() & (F.col("count") > 0)))
     top = counts.orderBy(F.desc("count"), "title").limit(k)
     return top.select(F.substring("title", 1, C.TOP_TITLE_CHARS).alias("title"), "count")
 

@@ -78,3 +78,17 @@ def reliable_table(df, name: str):
     path = f"{root.rstrip('/')}/alertsieve/{name}-{uuid.uuid4().hex}"
     df.write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
+
+
+def ensure_parallelism(df, factor: int = 2):
+    """Spread a scan that yields fewer partitions than the cluster has cores.
+
+    A large table is read as many splits and is returned untouched (no
+    shuffle); a small one (e.g. one Parquet row group) would otherwise run
+    every later stage as a single task.  Only then is it round-robin
+    repartitioned to ``factor`` x the default parallelism.
+    """
+    target = df.sparkSession.sparkContext.defaultParallelism * factor
+    if df.rdd.getNumPartitions() < df.sparkSession.sparkContext.defaultParallelism:
+        return df.repartition(target)
+    return df

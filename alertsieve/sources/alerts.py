@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from alertsieve.session import prepare
+from alertsieve.session import ensure_parallelism, prepare
 
 RAW_COLUMNS = (
     "problemId", "displayId", "title", "severityLevel", "impactLevel",
@@ -74,13 +74,13 @@ def read_alerts_csv(spark: SparkSession, path: str) -> DataFrame:
     for f in ordered.fields:
         c = F.col(f.name)
         cols.append((_null_tokens(c) if isinstance(f.dataType, T.StringType) else c).alias(f.name))
-    return normalize_timestamps(df.select(*cols))
+    return normalize_timestamps(ensure_parallelism(df.select(*cols)))
 
 
 def read_alerts_parquet(spark: SparkSession, path: str) -> DataFrame:
     """Scan an alert table stored as Parquet and type its time columns."""
     prepare(spark)
-    df = spark.read.parquet(path)
+    df = ensure_parallelism(spark.read.parquet(path))
     return normalize_timestamps(df)
 
 
@@ -92,7 +92,8 @@ def alerts_from_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     projection, so it scales with ``events`` and adds no shuffle.
     """
     prepare(spark)
-    ev = spark.read.parquet(os.path.join(sf_dir, "events.parquet"))
+    ev = ensure_parallelism(spark.read.parquet(os.path.join(sf_dir, "events.parquet"))
+                            .select("event_id", "ts", "user_id", "event_type", "value"))
     eid = F.col("event_id")
     start_ms = F.unix_millis(F.col("ts").cast("timestamp"))
     title = (
