@@ -19,7 +19,6 @@
 from __future__ import annotations
 
 import json
-import os
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
@@ -304,7 +303,8 @@ def save_model_package(path: str, model, features: list[str], scaling: RobustSca
         if sm.forest is not None:
             spark.createDataFrame(sm.forest.to_pandas()).coalesce(1) \
                 .write.mode("overwrite").parquet(f"{path}/forest")
-            meta.update({"forest_features": list(sm.forest.features), "forest_psi": sm.forest.psi})
+            meta.update({"has_forest": True, "forest_features": list(sm.forest.features),
+                         "forest_psi": sm.forest.psi})
     spark.createDataFrame([(json.dumps(meta),)], "meta string").coalesce(1) \
         .write.mode("overwrite").text(f"{path}/meta")
 
@@ -342,7 +342,7 @@ def load_model_package(spark, path: str) -> ModelPackage:
         stats = AlertStats.from_rows(
             [(r["kind"], r["key"], r["value"]) for r in spark.read.parquet(f"{path}/alert_stats").collect()])
         forest = None
-        if "forest_features" in meta and os.path.exists(f"{path}/forest".replace("file:", "")):
+        if meta.get("has_forest"):
             forest = IForestModel.from_pandas(spark.read.parquet(f"{path}/forest").toPandas(),
                                               meta["forest_features"], meta["forest_psi"])
         scoring_model = ScoringModel(stats, forest, meta["anomaly_min"], meta["anomaly_max"],
