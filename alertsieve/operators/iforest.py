@@ -192,12 +192,15 @@ def path_scores(model: IForestModel, x: np.ndarray) -> np.ndarray:
 
 def isolation_score(df: DataFrame, model: IForestModel) -> Column:
     """Column expression: raw isolation score of each row (Arrow batches)."""
-    spark = df.sparkSession
-    bc = spark.sparkContext.broadcast(model)
+    try:
+        bc = df.sparkSession.sparkContext.broadcast(model)
+        get = lambda: bc.value  # noqa: E731 - one copy per executor
+    except Exception:  # noqa: BLE001 - no SparkContext: ship with the function
+        get = lambda: model
 
     @F.pandas_udf(T.DoubleType())
     def _score(*cols: pd.Series) -> pd.Series:
         x = np.column_stack([c.fillna(0.0).to_numpy(float) for c in cols])
-        return pd.Series(path_scores(bc.value, x))
+        return pd.Series(path_scores(get(), x))
 
     return _score(*[F.col(f).cast("double") for f in model.features])

@@ -88,7 +88,11 @@ def ensure_parallelism(df, factor: int = 2):
     every later stage as a single task.  Only then is it round-robin
     repartitioned to ``factor`` x the default parallelism.
     """
-    target = df.sparkSession.sparkContext.defaultParallelism * factor
-    if df.rdd.getNumPartitions() < df.sparkSession.sparkContext.defaultParallelism:
-        return df.repartition(target)
+    try:
+        cores = df.sparkSession.sparkContext.defaultParallelism
+        parts = df.rdd.getNumPartitions()
+    except Exception:  # noqa: BLE001 - sessions without RDD access keep the scan as is
+        return df
+    if parts < cores:
+        return df.repartition(cores * factor)
     return df
