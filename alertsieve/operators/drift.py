@@ -108,15 +108,18 @@ def running_counts(counts: DataFrame, partitions: int | None = None,
 
 def ks_statistic(ref: DataFrame, cur: DataFrame, features: list[str],
                  materialize=reliable_table) -> DataFrame:
-    """(feature, n_ref, n_cur, d): two-sample KS statistic per feature."""
+    """(feature, n_ref, n_cur, d): two-sample KS statistic per feature.
+
+    Missing values are read as 0, so every feature has exactly one value
+    per row: the sample sizes are the two row counts.
+    """
+    n_ref, n_cur = ref.count(), cur.count()
     counts = value_counts_by_side(ref, cur, features)
     cum = running_counts(counts, materialize=materialize)
-    sizes = counts.groupBy("feature").agg(F.sum("c1").alias("n_ref"), F.sum("c2").alias("n_cur"))
-    # one row per feature -> broadcast
-    gap = F.abs(F.col("cum1") / F.col("n_ref") - F.col("cum2") / F.col("n_cur"))
-    return (cum.join(F.broadcast(sizes), "feature")
-            .groupBy("feature").agg(F.first("n_ref").alias("n_ref"), F.first("n_cur").alias("n_cur"),
-                                    F.max(gap).alias("d")))
+    gap = F.abs(F.col("cum1") / F.lit(float(n_ref)) - F.col("cum2") / F.lit(float(n_cur)))
+    return (cum.groupBy("feature")
+            .agg(F.max(gap).alias("d"))
+            .select("feature", F.lit(n_ref).alias("n_ref"), F.lit(n_cur).alias("n_cur"), "d"))
 
 
 def ks_pvalue(d, n1, n2):

@@ -98,7 +98,7 @@ def fit_robust_scaling(filled: DataFrame, features: list[str]) -> RobustScaling:
 def class_weight_table(df: DataFrame, label: str = LABEL) -> DataFrame:
     """n / (2 * n_class) per class (M3): a two-row aggregate."""
     counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("n_class"))
-    total = df.agg(F.count(F.lit(1)).alias("n_total"))
+    total = counts.agg(F.sum("n_class").alias("n_total"))  # same shuffle, reused
     return (counts.crossJoin(F.broadcast(total))
             .select(label, "n_class", (F.col("n_total") / (2 * F.col("n_class"))).alias("class_weight")))
 

@@ -70,6 +70,10 @@ def order_statistics(df: DataFrame, requests: list[tuple[str, int]], bins: int =
             result[(c, r)] = None
         else:
             pending.append([c, r, float(lo), float(hi), n, (c, r)])
+    return _search(long, cid, pending, result, bins, collect_limit, max_passes)
+
+
+def _search(long: DataFrame, cid, pending, result, bins: int, collect_limit: int, max_passes: int):
     for _ in range(max_passes):
         big = []
         small = []
@@ -125,8 +129,8 @@ def _resolve_small(long: DataFrame, cid, searches, result) -> None:
         result[s[5]] = values[groups[(s[0], s[2], s[3])]][s[1]]
 
 
-def _refine(long: DataFrame, cid, searches, bins: int):
-    groups = _groups(searches)
+def _histogram(long: DataFrame, cid, groups: dict[tuple, int], bins: int) -> dict[int, list]:
+    """One pass: (count, min, max) per equal-width bucket of every range group."""
     tagged = _assign(long, cid, groups)
     raw = F.floor((F.col("v") - F.col("glo")) / (F.col("ghi") - F.col("glo")) * F.lit(float(bins)))
     bucket = F.least(F.greatest(raw, F.lit(0)), F.lit(bins - 1)).cast("int")
@@ -136,9 +140,21 @@ def _refine(long: DataFrame, cid, searches, bins: int):
     by_group: dict[int, list] = {}
     for h in hist:
         by_group.setdefault(h["g"], []).append(h)
+    for rows in by_group.values():
+        rows.sort(key=lambda h: h["b"])
+    return by_group
+
+
+def _refine(long: DataFrame, cid, searches, bins: int):
+    groups = _groups(searches)
+    return _descend(searches, groups, _histogram(long, cid, groups, bins))
+
+
+def _descend(searches, groups, by_group):
+    """Move each search into the bucket holding its rank."""
     nxt = []
     for s in searches:
-        rows = sorted(by_group[groups[(s[0], s[2], s[3])]], key=lambda h: h["b"])
+        rows = by_group[groups[(s[0], s[2], s[3])]]
         seen = 0
         for h in rows:
             if s[1] < seen + h["n"]:
@@ -148,8 +164,15 @@ def _refine(long: DataFrame, cid, searches, bins: int):
     return nxt
 
 
-def exact_quantiles(df: DataFrame, cols: list[str], qs: list[float], **kw) -> dict[str, dict[float, float]]:
-    """Linear-interpolated quantiles ``qs`` of each column (nulls skipped)."""
+def exact_quantiles(df: DataFrame, cols: list[str], qs: list[float], bounds: dict | None = None,
+                    **kw) -> dict[str, dict[float, float]]:
+    """Linear-interpolated quantiles ``qs`` of each column (nulls skipped).
+
+    ``bounds`` ({col: (lo, hi)}) may give a range known to contain every
+    value (e.g. a clipped score); the min/max pass is then skipped.
+    """
+    if bounds and all(c in bounds for c in cols):
+        return _bounded_quantiles(df, cols, qs, bounds, **kw)
     summaries = column_summaries(df, cols)
     requests, plan = [], {}
     for c in cols:
@@ -176,6 +199,46 @@ def exact_quantiles(df: DataFrame, cols: list[str], qs: list[float], **kw) -> di
     return out
 
 
+def _plan(n: int, q: float):
+    h = (n - 1) * q
+    k = int(math.floor(h))
+    t = h - k
+    return ([k] if t == 0 or k + 1 >= n else [k, k + 1]), t
+
+
+def _bounded_quantiles(df: DataFrame, cols: list[str], qs: list[float], bounds: dict,
+                       bins: int = 4096, collect_limit: int = 50_000, max_passes: int = 64):
+    """Quantiles of columns whose values lie in known ranges: the first
+    histogram pass over those ranges also yields the counts, so no separate
+    summary pass is needed."""
+    cols = list(cols)
+    cid = {c: i for i, c in enumerate(cols)}
+    long = _long(df, cols)
+    groups = {(c, float(bounds[c][0]), float(bounds[c][1])): i for i, c in enumerate(cols)}
+    if any(lo == hi for (_, lo, hi) in groups):
+        return exact_quantiles(df, cols, qs, **dict(bins=bins, collect_limit=collect_limit,
+                                                     max_passes=max_passes))
+    by_group = _histogram(long, cid, groups, bins)
+    out: dict[str, dict[float, float]] = {c: {} for c in cols}
+    pending, plans = [], {}
+    for (c, lo, hi), g in groups.items():
+        rows = by_group.get(g, [])
+        n = sum(int(h["n"]) for h in rows)
+        for q in qs:
+            if n == 0:
+                out[c][q] = None
+                continue
+            ranks, t = _plan(n, q)
+            plans[(c, q)] = (ranks, t)
+            pending += [[c, r, lo, hi, n, (c, r)] for r in ranks]
+    pending = _descend(pending, _groups(pending), by_group) if pending else []
+    stats = _search(long, cid, pending, {}, bins, collect_limit, max_passes)
+    for (c, q), (ranks, t) in plans.items():
+        out[c][q] = stats[(c, ranks[0])] if len(ranks) == 1 else _lerp(stats[(c, ranks[0])],
+                                                                        stats[(c, ranks[1])], t)
+    return out
+
+
 def exact_quantile(df: DataFrame, col: str, q: float, **kw) -> float | None:
     """Linear-interpolated quantile of the non-null values of ``col``."""
     return exact_quantiles(df, [col], [q], **kw)[col][q]

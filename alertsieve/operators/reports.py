@@ -2,8 +2,7 @@
 
 All are aggregates with map-side partial aggregation; the outputs are
 small (per hour, per title, per day, per bin) and stay DataFrames, so a
-caller can write them anywhere.  One-row totals are attached with a
-broadcast cross join of a one-row aggregate, never with ``collect()``.
+caller can write them anywhere; nothing is collected.
 
 The false-alarm subset is selected INSIDE the aggregates (``count_if``,
 ``avg(when(fp, x))``) and groups without false alarms are dropped after
@@ -16,7 +15,7 @@ once, wherever the label comes from.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from alertsieve import config as C
@@ -65,11 +64,6 @@ def fp_summary(df: DataFrame) -> DataFrame:
     )
 
 
-def _with_total(counts: DataFrame, total: DataFrame) -> DataFrame:
-    """Attach a one-row total (broadcast; its size is 1 row by construction)."""
-    return counts.crossJoin(F.broadcast(total))
-
-
 def distribution(df: DataFrame, col: str, all_levels: bool = False) -> DataFrame:
     """Counts and percentages of ``col`` among the false alarms of ``df``.
 
@@ -77,13 +71,17 @@ def distribution(df: DataFrame, col: str, all_levels: bool = False) -> DataFrame
     listed, with count 0 when no false alarm has it (categorical
     semantics).  Percentages divide by all false alarms, nulls included.
     """
+    # One aggregation feeds both the per-level counts and the total (the
+    # null group counts in the total only), so the data is scanned and
+    # scored once.  The total is a window sum over the AGGREGATED table --
+    # one row per level, i.e. the report's own rows -- not over the data;
+    # predicates after the window cannot be pushed below it.
     grouped = df.groupBy(col).agg(F.count_if(_is_fp()).alias("count"))
-    total = grouped.agg(F.sum("count").alias("_total"))  # one row
-    counts = grouped.where(F.col(col).isNotNull())
+    with_total = grouped.select("*", F.sum("count").over(Window.partitionBy()).alias("_total"))
+    counts = with_total.where(F.col(col).isNotNull())
     if not all_levels:
         counts = counts.where(F.col("count") > 0)
-    return (_with_total(counts, total)
-            .select(col, "count", (F.col("count") / F.col("_total") * 100).alias("percentage")))
+    return counts.select(col, "count", (F.col("count") / F.col("_total") * 100).alias("percentage"))
 
 
 def severity_distribution(df: DataFrame) -> DataFrame:

@@ -116,7 +116,8 @@ def fp_threshold(df: DataFrame, cfg: TriageConfig = DEFAULT, col: str = "fp_scor
     q = cfg.fp_threshold_percentile / 100.0
     if cfg.quantile_method == "approx":
         return approx_quantile(df, col, q, cfg.quantile_accuracy)
-    return exact_quantile(df, col, q)
+    # the ensemble is clipped to [0, 1]: no min/max pass needed
+    return exact_quantile(df, col, q, bounds={col: (0.0, 1.0)})
 
 
 def label(df: DataFrame, threshold: float | None) -> DataFrame:
@@ -169,9 +170,10 @@ def fit_scoring(raw: DataFrame, cfg: TriageConfig = DEFAULT, anomaly: str = "ifo
     """Fit the scoring state on ``raw`` and return it with the scored batch.
 
     ``anomaly="iforest"`` fits the forest; ``"fallback"`` uses the constant
-    .5 anomaly score.  With the forest, the raw isolation scores are
-    written once (``materialize``: a reliable table in the checkpoint
-    folder) so the min/max and quantile passes do not re-run Python.
+    .5 anomaly score.  With ``materialize`` (a reliable table in the
+    checkpoint folder) the scored table is written once, so the min/max
+    and quantile passes read one stored column instead of re-reading the
+    source and re-running the features and the forest.
     """
     prepare(raw.sparkSession)
     feats, stats = engineer_features(raw, None, cfg)
@@ -189,6 +191,9 @@ def fit_scoring(raw: DataFrame, cfg: TriageConfig = DEFAULT, anomaly: str = "ifo
         scored = final_score(method_scores(with_raw, anomaly_col), cfg).drop("_iso")
     else:
         scored = final_score(method_scores(feats, F.lit(C.ANOMALY_FALLBACK)), cfg)
+        if materialize is not None:
+            # threshold passes then read one Parquet column, not the source
+            scored = materialize(scored, "scores")
     threshold = fp_threshold(scored, cfg)
     model = ScoringModel(stats, forest, lo, hi, threshold, cfg)
     return model, label(scored, threshold)

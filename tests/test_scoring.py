@@ -81,3 +81,15 @@ def test_transform_reproduces_fit(fallback, spark):
     a = {r["problemId"]: (r["fp_score_final"], r["is_false_positive"]) for r in df.collect()}
     b = {r["problemId"]: (r["fp_score_final"], r["is_false_positive"]) for r in again.collect()}
     assert a == b
+
+
+def test_bounded_quantiles_match_numpy(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(11)
+    vals = np.clip(np.concatenate([rng.normal(scale=0.2, size=2500), np.full(300, 0.125)]), -1, 1)
+    df = spark.createDataFrame([(float(v),) for v in vals], "x double")
+    got = exact_quantiles(df, ["x"], [0.05, 0.5, 0.75, 0.99], bounds={"x": (-1.0, 1.0)},
+                          bins=8, collect_limit=30)
+    for q in (0.05, 0.5, 0.75, 0.99):
+        assert got["x"][q] == np.quantile(vals, q), q
