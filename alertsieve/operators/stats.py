@@ -1,16 +1,21 @@
 """Global statistics fitted once and then applied row-locally.
 
-``fit_alert_stats`` runs ONE Spark job: a grouping-sets aggregation over
-the (hour), (day_of_week) and () groups.  Partial aggregation happens map
-side, so the shuffle carries at most (#hours + #weekdays + 1) rows per
-partition whatever the data size.  The result is tiny and bounded (<= 25
-hour groups, <= 8 weekday groups, one total row), so it is brought to the
-driver and inlined into later plans as literals: the transform stays a
-map-only stage, and works unchanged on a streaming DataFrame.
+``fit_alert_stats`` runs ONE Spark job: a plain aggregation grouped by
+(hour, day_of_week) computing count, mean and second central moment of
+the cleaned duration per group.  Partial aggregation happens map side, so
+the shuffle carries at most 25 x 8 rows per partition whatever the data
+size.  The <= 200 group summaries are combined on the driver: hour and
+weekday counts are sums, and the global mean / sample standard deviation
+follow from the parallel-variance merge of (n, mean, M2) (Chan, Golub &
+LeVeque), which is exact up to rounding and avoids the row duplication of
+a grouping-sets Expand.  The result is inlined into later plans as
+literals: the transform stays a map-only stage, and works unchanged on a
+streaming DataFrame.
 """
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
@@ -56,24 +61,31 @@ def fit_alert_stats(df: DataFrame) -> AlertStats:
     """
     keys = [c for c in ("hour", "day_of_week") if c in df.columns]
     d = F.col("duration_minutes")
-    aggs = [F.count(F.lit(1)).alias("n"), F.avg(d).alias("mean"), F.stddev_samp(d).alias("std")]
-    if not keys:
-        row = df.agg(*aggs).first()
-        return AlertStats(int(row["n"]), row["mean"], row["std"])
-    sets = [[k] for k in keys] + [[]]
-    grouped = df.groupingSets(sets, *keys).agg(F.grouping_id().alias("gid"), *aggs)
-    rows = grouped.collect()  # bounded: <= 25 + 8 + 1 rows
-    full_gid = (1 << len(keys)) - 1
-    total = next(r for r in rows if r["gid"] == full_gid)
-    hour_counts, day_counts = {}, {}
+    aggs = [F.count(F.lit(1)).alias("n"), F.count(d).alias("nd"), F.avg(d).alias("mean"),
+            (F.var_pop(d) * F.count(d)).alias("m2")]
+    rows = (df.groupBy(*keys).agg(*aggs) if keys else df.agg(*aggs)).collect()  # <= 200 rows
+    # merge in key order so the result does not depend on collect order
+    rows.sort(key=lambda r: tuple((r[k] is None, r[k] or 0) for k in keys))
+    n_rows = 0
+    hour_counts: dict = {}
+    day_counts: dict = {}
+    nd, mean, m2 = 0, 0.0, 0.0
     for r in rows:
-        if r["gid"] == full_gid:
-            continue
-        for i, k in enumerate(keys):
-            # grouping_id bit for key i is 0 when that key is grouped on.
-            if not (r["gid"] >> (len(keys) - 1 - i)) & 1 and r[k] is not None:
-                (hour_counts if k == "hour" else day_counts)[int(r[k])] = int(r["n"])
-    return AlertStats(int(total["n"]), total["mean"], total["std"], hour_counts, day_counts)
+        n_rows += int(r["n"])
+        for k, counts in (("hour", hour_counts), ("day_of_week", day_counts)):
+            if k in keys and r[k] is not None:
+                counts[int(r[k])] = counts.get(int(r[k]), 0) + int(r["n"])
+        if r["nd"]:
+            # merge (n_b, mean_b, M2_b) into the running (nd, mean, m2)
+            nb, mb, m2b = int(r["nd"]), float(r["mean"]), float(r["m2"])
+            total = nd + nb
+            delta = mb - mean
+            mean = mean + delta * nb / total
+            m2 = m2 + m2b + delta * delta * nd * nb / total
+            nd = total
+    duration_mean = mean if nd else None
+    duration_std = math.sqrt(m2 / (nd - 1)) if nd > 1 else None
+    return AlertStats(n_rows, duration_mean, duration_std, hour_counts, day_counts)
 
 
 def _lookup(counts: dict, key: Column) -> Column:
