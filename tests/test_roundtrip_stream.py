@@ -72,3 +72,23 @@ def test_run_triage_writes_every_report(spark):
                 assert v == pytest.approx(rb[k], rel=1e-12), k
             else:
                 assert v == rb[k], k
+
+
+def test_exports_write_expected_columns(spark):
+    from alertsieve.config import FP_DETAIL_COLUMNS, PROCESSED_EXPORT_COLUMNS
+    from alertsieve.operators import reports as R
+    from alertsieve.sources import sinks
+
+    _, lab = S.fit_scoring(alerts(spark, SF_SMALL), anomaly="fallback")
+    root = tempfile.mkdtemp(prefix="alertsieve-export-")
+    sinks.export_processed(lab, os.path.join(root, "processed"))
+    sinks.export_fp_detail(lab, os.path.join(root, "detail"), fmt="csv")
+    sinks.export_patterns(R.pattern_analysis(lab), os.path.join(root, "patterns"))
+    processed = spark.read.parquet(os.path.join(root, "processed"))
+    assert processed.columns == list(PROCESSED_EXPORT_COLUMNS)
+    assert processed.count() == lab.count()
+    detail = spark.read.option("header", True).csv(os.path.join(root, "detail"))
+    assert detail.columns == list(FP_DETAIL_COLUMNS)
+    assert detail.count() == lab.where("is_false_positive = 1").count()
+    patterns = spark.read.option("header", True).csv(os.path.join(root, "patterns"))
+    assert patterns.count() == R.pattern_analysis(lab).count()
