@@ -514,7 +514,8 @@ def _check_features(df: DataFrame) -> list[str]:
 
 def _indexed_features(spark, sf_dir):
     feats = features(spark, sf_dir)
-    return OR.global_row_index(feats), feats
+    # index (and write once) only the id, the order key and the model features
+    return OR.global_row_index(feats.select("problemId", "startTime", *MODEL_FEATURES)), feats
 
 
 @register("global_row_index", O.with_(O.ALERTS + ",\n" + O.ordered_index("alerts"),
