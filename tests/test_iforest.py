@@ -48,3 +48,34 @@ def test_path_scores_shape():
                      np.array([1, -1, -1]), np.array([2, -1, -1]), np.array([4, 1, 3]), np.array([0]))
     s = path_scores(m, np.array([[0.0], [1.0]]))
     assert s[0] > s[1]
+
+
+def test_forest_transform_reproduces_fit_and_package_roundtrip(spark):
+    import tempfile
+
+    from alertsieve.operators import models as M
+
+    raw = alerts(spark, SF_SMALL)
+    model, labelled = fit_scoring(raw, materialize=reliable_table)
+    again = model.transform(raw)
+    a = {r["problemId"]: (r["fp_score_final"], r["is_false_positive"]) for r in labelled.collect()}
+    b = {r["problemId"]: (r["fp_score_final"], r["is_false_positive"]) for r in again.collect()}
+    assert a.keys() == b.keys()
+    assert all(abs(a[k][0] - b[k][0]) < 1e-12 and a[k][1] == b[k][1] for k in a if a[k][0] is not None)
+
+    # package with the scoring state: the loaded model labels the same way
+    from pyspark.ml.classification import LogisticRegression
+
+    feats = M.feature_columns(labelled)
+    filled = M.fill_features(labelled, feats, keep=["problemId", "is_false_positive"])
+    scaling = M.fit_robust_scaling(filled, feats)
+    data = M.assemble(scaling.transform(filled, keep=["is_false_positive"]), feats) \
+        .withColumn("label", F.col("is_false_positive").cast("double"))
+    clf = LogisticRegression(maxIter=20).fit(data)
+    path = tempfile.mkdtemp(prefix="alertsieve-pkg-") + "/pkg"
+    M.save_model_package(path, clf, feats, scaling, scoring_model=model)
+    pkg = M.load_model_package(spark, path)
+    assert pkg.scoring_model.forest is not None
+    assert pkg.scoring_model.threshold == model.threshold
+    c = {r["problemId"]: r["is_false_positive"] for r in pkg.scoring_model.transform(raw).collect()}
+    assert c == {k: v[1] for k, v in a.items()}
