@@ -24,9 +24,44 @@ def prepare(spark: SparkSession) -> SparkSession:
     for key, value in _RUNTIME_SETTINGS.items():
         if spark.conf.get(key, None) != value:
             spark.conf.set(key, value)
+    ship_code(spark)
     return spark
 
 
+_SHIPPED: set = set()
+
+
+def ship_code(spark: SparkSession) -> None:
+    """Make this package importable by the executors' Python workers.
+
+    The pandas UDFs and grouped/partition functions refer to this package's
+    functions, which executors must import.  The package is zipped once and
+    added with ``addPyFile`` (Spark serves it to every executor), once per
+    SparkContext; an installed or PYTHONPATH copy makes this a no-op
+    safeguard.
+    """
+    try:
+        sc = spark.sparkContext
+    except Exception:  # noqa: BLE001 - no SparkContext (e.g. a Connect session)
+        return
+    key = sc.applicationId
+    if key in _SHIPPED:
+        return
+    import zipfile
+
+    pkg_dir = os.path.dirname(os.path.abspath(__file__))
+    root = os.path.dirname(pkg_dir)
+    out = os.path.join(tempfile.mkdtemp(prefix="alertsieve-code-"), "alertsieve.zip")
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as zf:
+        for folder, _, files in os.walk(pkg_dir):
+            for name in files:
+                if name.endswith(".py"):
+                    full = os.path.join(folder, name)
+                    zf.write(full, os.path.relpath(full, root))
+    sc.addPyFile(out)
+    _SHIPPED.add(key)
+
+
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
                   app: str = "alertsieve") -> SparkSession:
     """Session for tests and local benchmarks (no UI, UTC)."""
