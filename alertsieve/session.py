@@ -35,9 +35,10 @@ def ship_code(spark: SparkSession) -> None:
     """Make this package importable by the executors' Python workers.
 
     The pandas UDFs and grouped/partition functions refer to this package's
-    functions, which executors must import.  The package is zipped once and
-    added with ``addPyFile`` (Spark serves it to every executor), once per
-    SparkContext; an installed or PYTHONPATH copy makes this a no-op
+    functions, which executors must import.  The package is zipped once on
+    the driver and added with ``addPyFile``; Spark's file server then hands
+    it to every executor (the zip holds code only, never data).  Once per
+    SparkContext; with an installed or PYTHONPATH copy it is a harmless
     safeguard.
     """
     try:
