@@ -97,3 +97,29 @@ def test_text_timestamps_and_junk(spark):
     out = {r["problemId"]: r for r in normalize_timestamps(df).collect()}
     assert out["a"]["endTime"] is None
     assert out["a"]["startTime"] == out["b"]["startTime"]
+
+
+def test_read_alerts_csv_hand_made(spark, tmp_path):
+    from alertsieve.sources.alerts import read_alerts_csv
+
+    csv = tmp_path / "alerts.csv"
+    csv.write_text(
+        'problemId,displayId,title,severityLevel,impactLevel,startTime,endTime\n'
+        'P1,D1,"Network, timeout",ERROR,APPLICATION,1747191600000,1747191630000\n'
+        'P2,D2,"two\nlines",NA,None,2025-05-14 03:00:00,2025-05-14 03:05:00\n'
+        'P3,D3,,none,SERVICES,junk,\n',
+        encoding="utf-8")
+    rows = {r["problemId"]: r for r in read_alerts_csv(spark, str(csv)).collect()}
+    assert rows["P1"]["title"] == "Network, timeout"
+    assert rows["P2"]["title"] == "two\nlines"
+    # pandas default null tokens ('NA', 'None', '') -> null; 'none' is kept
+    assert rows["P2"]["severityLevel"] is None and rows["P2"]["impactLevel"] is None
+    assert rows["P3"]["title"] is None and rows["P3"]["severityLevel"] == "none"
+    # epoch ms and text parse to the same instant; junk and empty -> null
+    assert rows["P1"]["startTime"] == rows["P2"]["startTime"]
+    assert rows["P3"]["startTime"] is None and rows["P3"]["endTime"] is None
+    assert "status" not in rows["P1"].asDict()
+    import pytest as _pt
+
+    with _pt.raises(FileNotFoundError):
+        read_alerts_csv(spark, str(tmp_path / "missing.csv"))
