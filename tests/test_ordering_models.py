@@ -108,3 +108,20 @@ def test_shapley_efficiency(spark):
         "row_id", M.vector_to_array("probability")[1].alias("p")).collect()}
     for rid, s in total.items():
         assert s == pytest.approx(pred[rid] - pred[5], abs=1e-9)
+
+
+def test_folds_with_time_gap(spark):
+    import datetime as dt
+
+    base = dt.datetime(2025, 1, 1)
+    rows = [(f"p{i:04d}", base + dt.timedelta(hours=i)) for i in range(600)]
+    df = spark.createDataFrame(rows, "problemId string, startTime timestamp")
+    idx = OR.global_row_index(df, partitions=3)
+    folds = OR.time_series_folds(idx, 600, k=5, gap_hours=24)
+    got = {r["fold"]: r["n"] for r in folds.where("role = 'train'").groupBy("fold").count()
+           .withColumnRenamed("count", "n").collect()}
+    # one row per hour: a 24 h gap drops the 24 rows before each test block
+    assert got == {i: (i + 1) * 100 - 24 for i in range(5)}
+    tests = {r["fold"]: r["n"] for r in folds.where("role = 'test'").groupBy("fold").count()
+             .withColumnRenamed("count", "n").collect()}
+    assert tests == {i: 100 for i in range(5)}
