@@ -132,3 +132,17 @@ def ensure_parallelism(df, factor: int = 2):
     if parts < cores:
         return df.repartition(cores * factor)
     return df
+
+
+def clear_reliable_tables(spark) -> bool:
+    """Delete every table ``reliable_table`` wrote for this application.
+
+    Call it when the DataFrames read from them are no longer needed (they
+    read the tables lazily).  Uses Hadoop's FileSystem API, so it works on
+    the shared file system behind ``spark.checkpoint.dir``.
+    """
+    sc = spark.sparkContext
+    root = ensure_checkpoint_dir(spark)
+    jpath = sc._jvm.org.apache.hadoop.fs.Path(f"{root.rstrip('/')}/alertsieve")
+    fs = jpath.getFileSystem(sc._jsc.hadoopConfiguration())
+    return bool(fs.exists(jpath) and fs.delete(jpath, True))

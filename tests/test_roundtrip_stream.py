@@ -92,3 +92,12 @@ def test_exports_write_expected_columns(spark):
     assert detail.count() == lab.where("is_false_positive = 1").count()
     patterns = spark.read.option("header", True).csv(os.path.join(root, "patterns"))
     assert patterns.count() == R.pattern_analysis(lab).count()
+
+
+def test_clear_reliable_tables(spark):
+    from alertsieve.session import clear_reliable_tables, reliable_table
+
+    t = reliable_table(spark.range(10), "scratch")
+    assert t.count() == 10
+    assert clear_reliable_tables(spark)
+    assert not clear_reliable_tables(spark)  # nothing left
