@@ -11,8 +11,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from alertsieve.llm import line_dedup, mixing, sharding, url_filter
-from alertsieve.session import prepare
+from alertsieve.llm import (cover_tree, line_dedup, mixing, packing, pii, quality_rules, sharding, simhash, token_store,
+                            url_filter)
+from alertsieve.session import ensure_checkpoint_dir, prepare
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -71,6 +72,26 @@ def op1_url_filter(spark, sf_dir):
     return url_filter.filter_urls(pages, rules).select("page_id", "host", "path", "rule", "verdict")
 
 
+# ----------------------------------------------------------- exact search --
+
+SQL_TOPK = r"""
+WITH vecs AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v FROM embeddings
+              WHERE embedding IS NOT NULL AND vec_id IS NOT NULL
+                AND list_bool_and(list_transform(embedding, lambda x: coalesce(isfinite(x), false)))),
+scored AS (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v, c.v)::BIGINT AS score
+           FROM vecs q JOIN vecs c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0)
+SELECT query_id, rank::INTEGER AS rank, vec_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored)
+WHERE rank <= 5
+"""
+
+
+@query("op2_top_k", SQL_TOPK)
+def op2_top_k(spark, sf_dir):
+    """The 5 best rows of all embeddings for each row whose id is divisible by 50."""
+    return cover_tree.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5, scale=256)
+
+
 # ------------------------------------------------------------- line dedup --
 
 SQL_LINES = r"""
@@ -96,6 +117,16 @@ def op3_line_dedup(spark, sf_dir):
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
 
 
+# ---------------------------------------------------------- quality rules --
+
+@query("op5_quality_rules")
+def op5_quality_rules(spark, sf_dir):
+    """Counts and verdicts of all documents; cutoffs from all labels, a stratum for each language."""
+    out = quality_rules.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+                      "base_failed", "kept")
+
+
 # ----------------------------------------------------------------- mixing --
 
 MIX_WEIGHTS = (5, 2, 1)
@@ -144,6 +175,20 @@ def op6_mix_sources(spark, sf_dir):
                     (F.col("whole") * F.col("size") + F.col("extra")).cast("long").alias("taken")))
 
 
+# -------------------------------------------------------------------- PII --
+
+@query("op7_pii")
+def op7_pii(spark, sf_dir):
+    """Personal data in all documents: base spans and those the boosted trees add."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = pii.document_spans(docs).select("doc_id", "pii_spans")
+    base = F.filter("pii_spans", lambda s: s["base"])
+    counts = [F.size(F.filter(base, lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{name}")
+              for k, name in enumerate(pii.KINDS, 1)]
+    return out.select("doc_id", *counts, F.sha2(pii.span_text(base).cast("binary"), 256).alias("base_sha256"),
+                      pii.span_text(F.col("pii_spans")).alias("spans"))
+
+
 # --------------------------------------------------------------- sharding --
 
 @query("op8_shard")
@@ -159,6 +204,41 @@ def op8_shard(spark, sf_dir):
                       F.lit(None).cast("int").alias("grown_shard"))
 
 
+# ----------------------------------------------------------- token output --
+
+def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+@query("op4_token_ids")
+def op4_token_ids(spark, sf_dir):
+    """All documents as token-id files, read back document by document."""
+    import uuid
+
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/alertsieve/token-ids-{uuid.uuid4().hex}"
+    token_store.write_token_files(table(spark, sf_dir, "documents"), path, tokenizer_path(), end_id=2)
+    return token_store.read_index(spark, path).select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
+# ---------------------------------------------------------------- packing --
+
+@query("op9_pack")
+def op9_pack(spark, sf_dir):
+    """All documents packed into sequences of at most 2048 tokens."""
+    return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path(), end_id=1, window=2048)
+
+
+# ---------------------------------------------------------------- SimHash --
+
+@query("op10_simhash")
+def op10_simhash(spark, sf_dir):
+    """Fingerprints and near-duplicate groups of all documents: 3-word shingles, 2 bits."""
+    out = simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=3, radius=2)
+    return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 
