@@ -183,8 +183,9 @@ def op7_pii(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     out = pii.document_spans(docs).select("doc_id", "pii_spans")
     base = F.filter("pii_spans", lambda s: s["base"])
-    counts = [F.size(F.filter(base, lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{name}")
-              for k, name in enumerate(pii.KINDS, 1)]
+    kinds = F.transform(base, lambda s: s["kind"])
+    counts = [F.size(F.filter(kinds, lambda x: x == F.lit(pii.KINDS.index(kind) + 1))).cast("long").alias(f"n_{kind}")
+              for kind in pii.KINDS]
     return out.select("doc_id", *counts, F.sha2(pii.span_text(base).cast("binary"), 256).alias("base_sha256"),
                       pii.span_text(F.col("pii_spans")).alias("spans"))
 

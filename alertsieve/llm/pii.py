@@ -139,7 +139,7 @@ def _features() -> dict[str, Column]:
         "dots": F.length(F.regexp_replace(m, r"[^.]", "")).cast("double"),
         "at_sign": flag(m.contains("@")), "plus": flag(m.startswith("+") | before.rlike(r"\+[0-9]{0,3}\x20?$")),
         "paren": flag(m.contains("(")), "spaces": flag(m.contains(" ")),
-        "luhn": flag(F.when(n.between(12, 19), luhn(digits)).otherwise(F.lit(False))),
+        "luhn": flag(F.when(n.between(13, 19), luhn(digits)).otherwise(F.lit(False))),
         "parts_ok": flag(F.when(m.rlike(r"^[0-9]+(\.[0-9]+){3}$"), _ip_parts_ok(m)).otherwise(F.lit(False))),
         "glued_before": flag(before.rlike(r"[^\x20\n(,:;]$")), "glued_after": flag(after.rlike(r"^[^\x20\n),.:;]")),
         "cue": flag(F.coalesce(*[F.when(F.col("kind") == k, F.lower(before).rlike(c)) for k, c in CUES.items()])),
@@ -166,7 +166,7 @@ def _settled(spans: DataFrame) -> DataFrame:
     m, kind = F.col("match"), F.col("kind")
     n = F.length(_digits(m))
     breaks = (((kind == "ip") & m.rlike(r"^[0-9.]+$") & ~(m.rlike(r"^[0-9]+(\.[0-9]+){3}$") & _ip_parts_ok(m)))
-              | ((kind == "card") & ~F.when(n.between(12, 19), luhn(_digits(m))).otherwise(F.lit(False)))
+              | ((kind == "card") & ~F.when(n.between(13, 19), luhn(_digits(m))).otherwise(F.lit(False)))
               | ((kind == "phone") & ~n.between(7, 15)))
     label = (F.when(F.array_contains("__kinds", kind), 1.0).when(F.size("__kinds") > 0, 0.0)
              .when(breaks, 0.0))
