@@ -87,15 +87,15 @@ WARNING_SEVERITIES = ("RESOURCE_CONTENTION",)
 # (name, metric column, comparison, threshold, action).
 FP_PATTERNS = (
     ("Ultra-Short Duration Alerts", "duration_minutes", "<", 2.0,
-     "Configure minimum duration threshold in Dynatrace"),
+     "Alert only after a problem has lasted for a minimum time"),
     ("Reconciliation Window Alerts", "is_reconciliacion", ">", 0.5,
-     "Create maintenance window in APM system"),
+     "Mute alerts during the nightly reconciliation"),
     ("Weekend Maintenance Activity", "is_weekend", ">", 0.3,
-     "Schedule automated deployments with alert suppression"),
+     "Suppress alerts while planned weekend work runs"),
     ("Network/Timeout Keywords", "fp_keyword_score", ">", 2.0,
-     "Create keyword-based suppression rules"),
+     "Filter alerts whose titles name known noisy checks"),
     ("Quincena Load Spikes", "is_quincena", ">", 0.2,
-     "Adjust baselines for quincena periods"),
+     "Use separate baselines for pay days"),
 )
 
 # ROI model (USD).
@@ -114,6 +114,11 @@ CV_FOLDS = 5
 CV_GAP_ROWS = 168
 SEED = 42
 SHAP_SAMPLE = 1000
+SHAP_BACKGROUND = 500
+SHAP_PERMUTATIONS = 10
+MODEL_TREES = 100
+MODEL_ROUNDS = 100
+FOREST_DEPTH = 30                 # the most Spark's trees allow; the method sets no limit
 DRIFT_ALPHA = 0.05
 VARIANCE_THRESHOLD = 0.01
 CORRELATION_THRESHOLD = 0.95
@@ -159,7 +164,14 @@ class TriageConfig:
     train_fraction: float = TRAIN_FRACTION
     cv_folds: int = CV_FOLDS
     cv_gap_rows: int = CV_GAP_ROWS
+    cv_gap_hours: float | None = None     # a gap in time in place of rows
+    # attribution: rows explained, background rows drawn by hash, permutations a row
     shap_sample: int = SHAP_SAMPLE
+    shap_background: int = SHAP_BACKGROUND
+    shap_permutations: int = SHAP_PERMUTATIONS
+    model_trees: int = MODEL_TREES
+    model_rounds: int = MODEL_ROUNDS
+    forest_depth: int = FOREST_DEPTH
     drift_alpha: float = DRIFT_ALPHA
     variance_threshold: float = VARIANCE_THRESHOLD
     correlation_threshold: float = CORRELATION_THRESHOLD

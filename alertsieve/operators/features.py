@@ -55,7 +55,7 @@ def temporal_features(df: DataFrame) -> DataFrame:
 def clean_duration(df: DataFrame) -> DataFrame:
     """duration_seconds (raw, may be negative) and cleaned duration_minutes.
 
-    Minutes: missing -> 5, then clipped to [0, 1440] (fill before clip).
+    Minutes: missing or NaN -> 5, then clipped to [0, 1440] (fill before clip).
     Without start/end the given duration_minutes is cleaned the same way;
     with no duration information at all this raises.
     """
@@ -63,17 +63,16 @@ def clean_duration(df: DataFrame) -> DataFrame:
     if "startTime" in df.columns and "endTime" in df.columns:
         secs = (F.unix_micros(F.col("endTime")) - F.unix_micros(F.col("startTime"))) / F.lit(1e6)
         minutes = secs / 60
-        base = df.drop("duration_minutes") if "duration_minutes" in df.columns else df
         extra = [secs.alias("duration_seconds")]
     elif "duration_minutes" in df.columns:
         minutes = F.col("duration_minutes").cast("double")
-        base = df.drop("duration_minutes")
         extra = []
     else:
         raise ValueError("alerts need startTime and endTime, or duration_minutes")
-    filled = F.coalesce(minutes, F.lit(C.DURATION_FILL_MINUTES))
+    filled = F.coalesce(F.when(~F.isnan(minutes), minutes), F.lit(C.DURATION_FILL_MINUTES))
     cleaned = F.greatest(F.lit(lo), F.least(filled, F.lit(hi)))
-    return base.select("*", *extra, cleaned.alias("duration_minutes"))
+    others = [F.col(f"`{c}`") for c in df.columns if c not in ("duration_minutes", "duration_seconds")]
+    return df.select(*others, *extra, cleaned.alias("duration_minutes"))
 
 
 def duration_category(col) -> F.Column:

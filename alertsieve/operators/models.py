@@ -20,8 +20,9 @@ from __future__ import annotations
 
 import json
 from concurrent.futures import ThreadPoolExecutor
-from dataclasses import dataclass, field
+from dataclasses import asdict, dataclass, field, fields
 
+from pyspark import StorageLevel
 from pyspark.ml import PipelineModel
 from pyspark.ml.classification import (
     GBTClassificationModel,
@@ -31,15 +32,15 @@ from pyspark.ml.classification import (
     RandomForestClassificationModel,
     RandomForestClassifier,
 )
-from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from alertsieve.config import DEFAULT, TriageConfig
+from alertsieve.config import DEFAULT, FOREST_DEPTH, TriageConfig
 from alertsieve.operators.quantile import exact_quantiles
+from alertsieve.session import reliable_table
 
 LABEL = "is_false_positive"
 EXCLUDED = {"is_false_positive", "fp_score_final", "score_rules", "score_statistical",
@@ -116,7 +117,7 @@ class ModelSpec:
     make: object  # callable(n_train) -> estimator
 
 
-def model_specs(trees: int = 100, rounds: int = 100, seed: int = 42, rf_depth: int = 10) -> list[ModelSpec]:
+def model_specs(trees: int = 100, rounds: int = 100, seed: int = 42, rf_depth: int = FOREST_DEPTH) -> list[ModelSpec]:
     """The suite, in the order used to break F1 ties."""
     def lr(n):
         # C = 1 and tol = 1e-4 as in the method's estimator defaults.
@@ -145,12 +146,22 @@ def assemble(df: DataFrame, features: list[str]) -> DataFrame:
 
 def binary_metrics(pred: DataFrame, label: str = "label", prediction: str = "prediction",
                    score: str | None = "p1") -> DataFrame:
-    """accuracy, precision, recall, f1 (class 1; 0 when undefined), auc (M7)."""
-    y = F.col(label).cast("double")
-    p = F.col(prediction).cast("double")
-    counts = pred.agg(
-        F.count_if((y == 1) & (p == 1)).alias("tp"), F.count_if((y == 0) & (p == 1)).alias("fp"),
-        F.count_if((y == 0) & (p == 0)).alias("tn"), F.count_if((y == 1) & (p == 0)).alias("fn"))
+    """accuracy, precision, recall, f1 (class 1; 0 when undefined), auc (M7).
+
+    ``pred`` is read once: one aggregation by (score, label, prediction), kept
+    as a small table when scores repeat and never larger than the input;
+    counts and the exact ROC area (ties count one half) both come from it.
+    """
+    keys = [F.col(label).cast("double").alias("y"), F.col(prediction).cast("double").alias("p")]
+    if score is not None:
+        keys.append(F.col(score).cast("double").alias("s"))
+    levels = pred.select(*keys).groupBy(*(["y", "p"] + (["s"] if score is not None else []))).agg(
+        F.count(F.lit(1)).alias("n"))
+    if score is not None:
+        levels = reliable_table(levels, "score_levels")
+    y, p = F.col("y"), F.col("p")
+    counts = levels.agg(*[F.coalesce(F.sum(F.when((y == a) & (p == b), F.col("n"))), F.lit(0)).alias(name)
+                          for name, a, b in (("tp", 1, 1), ("fp", 0, 1), ("tn", 0, 0), ("fn", 1, 0))])
     tp, fp, tn, fn = (F.col(c).cast("double") for c in ("tp", "fp", "tn", "fn"))
     precision = F.coalesce(tp / F.nullif(tp + fp, F.lit(0.0)), F.lit(0.0))
     recall = F.coalesce(tp / F.nullif(tp + fn, F.lit(0.0)), F.lit(0.0))
@@ -162,19 +173,35 @@ def binary_metrics(pred: DataFrame, label: str = "label", prediction: str = "pre
                                      / F.nullif(F.col("precision") + F.col("recall"), F.lit(0.0)),
                                      F.lit(0.0)).alias("f1"))
     if score is not None:
-        out = out.select("*", F.lit(roc_auc(pred, label, score)).alias("auc"))
+        out = out.select("*", F.lit(roc_auc(levels)).cast("double").alias("auc"))
     return out
 
 
-def roc_auc(pred: DataFrame, label: str = "label", score: str = "p1") -> float | None:
-    """Exact area under the ROC curve (ties count one half)."""
-    n = pred.agg(F.count_if(F.col(label) == 1).alias("p"), F.count_if(F.col(label) == 0).alias("n")).first()
-    if not n["p"] or not n["n"]:
+def roc_auc(levels: DataFrame) -> float | None:
+    """Exact area under the ROC curve from counts ``n`` by (``y``, ``s``).
+
+    The negatives below each score are a running sum over score levels in
+    range partitions (partition totals on the driver, one row a partition), so
+    no task holds all levels.
+    """
+    by_score = levels.where(F.col("s").isNotNull()).groupBy("s").agg(
+        F.coalesce(F.sum(F.when(F.col("y") == 1, F.col("n"))), F.lit(0)).alias("pos"),
+        F.coalesce(F.sum(F.when(F.col("y") == 0, F.col("n"))), F.lit(0)).alias("neg"))
+    parts = reliable_table(by_score.repartitionByRange("s").withColumn("part", F.spark_partition_id()), "auc_levels")
+    totals = parts.groupBy("part").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"),
+                                       F.min("s").alias("s")).collect()
+    n_pos, n_neg, before, offsets = sum(r.pos for r in totals), sum(r.neg for r in totals), 0, []
+    if not n_pos or not n_neg:
         return None
-    ev = BinaryClassificationEvaluator(rawPredictionCol=score, labelCol=label,
-                                       metricName="areaUnderROC", numBins=0)
-    return ev.evaluate(pred.select(F.col(score).cast("double").alias(score),
-                                   F.col(label).cast("double").alias(label)))
+    for r in sorted(totals, key=lambda r: r.s):
+        offsets.append((r.part, before))
+        before += r.neg
+    starts = parts.sparkSession.createDataFrame(offsets, "part int, start long")
+    running = Window.partitionBy("part").orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
+    below = F.coalesce(F.sum("neg").over(running), F.lit(0))
+    area = (parts.withColumn("below", below).join(F.broadcast(starts), "part")
+            .agg(F.sum(F.col("pos") * (F.col("start") + F.col("below") + 0.5 * F.col("neg")))).first()[0])
+    return float(area) / (n_pos * n_neg)
 
 
 def _positive_probability(pred: DataFrame) -> DataFrame:
@@ -205,8 +232,8 @@ def train_suite(train: DataFrame, test: DataFrame, features: list[str], specs: l
     """Fit every spec on ``train``; metrics on ``test``.  Returns the fitted
     models (in spec order), a metrics DataFrame and the best model's name
     (max F1, first in spec order on ties)."""
-    tr = _prepare(train, features, scaling).cache()
-    te = _prepare(test, features, scaling).cache()
+    tr = _prepare(train, features, scaling).persist(StorageLevel.MEMORY_AND_DISK)
+    te = _prepare(test, features, scaling).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         def run(spec):
             model = fit_one(spec, tr, n_train)
@@ -233,20 +260,28 @@ def train_suite(train: DataFrame, test: DataFrame, features: list[str], specs: l
 
 def temporal_cv(indexed: DataFrame, n_rows: int, features: list[str], spec: ModelSpec,
                 k: int = 5, gap: int = 168, parallelism: int = 2,
-                index_col: str = "row_idx") -> DataFrame:
+                index_col: str = "row_idx", gap_hours: float | None = None) -> DataFrame:
     """F1 of ``spec`` refitted on each rolling-origin fold (M8).
 
-    Each fold fits its own robust scaling on its training rows.
+    Each fold fits its own robust scaling on its training rows.  The gap
+    between training and test rows counts rows, or with ``gap_hours`` the time
+    before the fold's first test row (``startTime`` must then be in the table).
     """
     from alertsieve.operators.ordering import fold_bounds
 
-    bounds = fold_bounds(n_rows, k, gap)
-    base = indexed.select(index_col, LABEL, *features).cache()
+    bounds = fold_bounds(n_rows, k, 0 if gap_hours is not None else gap)
+    time = ["startTime"] if gap_hours is not None else []
+    base = indexed.select(index_col, LABEL, *time, *features).persist(StorageLevel.MEMORY_AND_DISK)
 
     def run(b):
         fold, train_end, test_start, test_end = b
         idx = F.col(index_col)
         train = base.where(idx < train_end)
+        if gap_hours is not None:
+            first = base.where((idx >= test_start) & (idx < test_end)).agg(F.min("startTime")).first()[0]
+            cut = F.lit(first) - F.make_dt_interval(secs=F.lit(gap_hours * 3600.0).cast("decimal(18,6)"))
+            train = train.where(F.col("startTime").isNull() | (F.col("startTime") < cut))
+            train_end = train.count()
         test = base.where((idx >= test_start) & (idx < test_end))
         scaling = fit_robust_scaling(fill_features(train, features), features)
         tr = _prepare(train, features, scaling)
@@ -278,8 +313,10 @@ _MODEL_CLASSES = {
 
 
 def save_model_package(path: str, model, features: list[str], scaling: RobustScaling,
-                       scoring_model=None, metrics: DataFrame | None = None, name: str = "") -> None:
-    """Persist classifier + scaling + (optional) scoring state + metrics (S9).
+                       scoring_model=None, metrics: DataFrame | None = None, name: str = "",
+                       attribution: DataFrame | None = None) -> None:
+    """Persist classifier + scaling + (optional) scoring state with its
+    configuration, metrics and attribution (S9).
 
     Everything is written with Spark writers, so ``path`` may be any
     shared file system URI.
@@ -293,9 +330,12 @@ def save_model_package(path: str, model, features: list[str], scaling: RobustSca
         .coalesce(1).write.mode("overwrite").parquet(f"{path}/scaling")
     if metrics is not None:
         metrics.coalesce(1).write.mode("overwrite").parquet(f"{path}/metrics")
+    if attribution is not None:
+        attribution.write.mode("overwrite").parquet(f"{path}/attribution")
     meta = {"model_class": type(model).__name__, "features": list(features), "name": name}
     if scoring_model is not None:
         sm = scoring_model
+        meta["config"] = asdict(sm.cfg)
         spark.createDataFrame(sm.stats.to_rows(), "kind string, key int, value double") \
             .coalesce(1).write.mode("overwrite").parquet(f"{path}/alert_stats")
         meta.update({"threshold": sm.threshold, "anomaly_min": sm.anomaly_min,
@@ -326,6 +366,14 @@ class ModelPackage:
         return pred.select(*keep, F.col("prediction"), F.col("p1").alias("probability_fp"))
 
 
+def _config_of(saved: dict) -> TriageConfig:
+    """The saved configuration; an unknown field is an error."""
+    known = {f.name for f in fields(TriageConfig)}
+    if unknown := set(saved) - known:
+        raise ValueError(f"package configuration has unknown fields: {sorted(unknown)}")
+    return TriageConfig(**{k: tuple(v) if isinstance(v, list) else v for k, v in saved.items()})
+
+
 def load_model_package(spark, path: str) -> ModelPackage:
     from alertsieve.operators.iforest import IForestModel
     from alertsieve.operators.scoring import ScoringModel
@@ -346,7 +394,7 @@ def load_model_package(spark, path: str) -> ModelPackage:
             forest = IForestModel.from_pandas(spark.read.parquet(f"{path}/forest").toPandas(),
                                               meta["forest_features"], meta["forest_psi"])
         scoring_model = ScoringModel(stats, forest, meta["anomaly_min"], meta["anomaly_max"],
-                                     meta["threshold"], DEFAULT)
+                                     meta["threshold"], _config_of(meta["config"]))
     return ModelPackage(model, meta["features"], scaling, scoring_model, meta)
 
 
@@ -364,8 +412,10 @@ class SuiteResult:
 
 
 def model_suite(labelled: DataFrame, cfg: TriageConfig = DEFAULT, trees: int | None = None,
-                rounds: int | None = None, compat: bool = False, parallelism: int = 4) -> SuiteResult:
-    """Time-ordered 70/30 split, scaling fitted on the training rows, suite fit."""
+                rounds: int | None = None, compat: bool = False, parallelism: int = 4,
+                only: tuple | None = None) -> SuiteResult:
+    """Time-ordered 70/30 split, scaling fitted on the training rows, suite fit
+    (``only``: the named models)."""
     from alertsieve.operators.ordering import global_row_index, temporal_split
 
     features = feature_columns(labelled, compat)
@@ -374,7 +424,8 @@ def model_suite(labelled: DataFrame, cfg: TriageConfig = DEFAULT, trees: int | N
     train, test = temporal_split(indexed, n_rows, cfg.train_fraction)
     fit_rows = indexed if compat else train
     scaling = fit_robust_scaling(fill_features(fit_rows, features), features)
-    specs = model_specs(trees or 100, rounds or 100, cfg.seed)
+    specs = model_specs(trees or cfg.model_trees, rounds or cfg.model_rounds, cfg.seed, cfg.forest_depth)
+    specs = [s for s in specs if only is None or s.name in only]
     trained, metrics, best = train_suite(train, test, features, specs, scaling,
                                          int(n_rows * cfg.train_fraction), parallelism)
     return SuiteResult(trained, metrics, best, features, scaling, train, test, n_rows, indexed)

@@ -2,21 +2,21 @@
 
 Spark's ``percentile`` is exact but keeps every distinct value of a group
 in ONE aggregation buffer, which does not survive a continuous column over
-10^11 rows.  Here order statistics are found by histogram refinement:
-
-* the columns are unpivoted to (column id, value) rows and each pass is one
-  scan with a map-side partial ``groupBy(range group, bucket)`` whose
-  output is at most ``groups x bins`` rows of (count, min, max);
+10^11 rows.  Here order statistics are found by histogram refinement, the
+same way at every size:
+
+* one aggregate gives each column's count, finite minimum and maximum and
+  its infinities (null and NaN values are skipped);
+* each pass unpivots the columns that still have an open search, keeps the
+  values inside an open range and counts them with a map-side partial
+  ``groupBy(range, bucket)``; the driver gets at most ``ranges x bins``
+  rows of (count, min, max), never values of the table as such;
 * the bucket holding a wanted rank becomes that search's next range.  The
   bucket function is monotonic, so a bucket is exactly the closed interval
-  [its min, its max]; searches in one column have identical or disjoint
-  ranges, so every value row belongs to at most one range group, found by
-  a broadcast range join against the (bounded) table of open ranges;
-* a range holding at most ``collect_limit`` rows, or a single value, is
-  resolved by fetching those few values.
-
-Equal-width buckets over the tight range shrink it by about ``bins`` per
-pass, so a double column needs a handful of passes, all columns at once.
+  [its min, its max]; a search ends when both are equal.  The smallest and
+  the largest value of a range fall into different buckets, so every pass
+  strictly narrows it (by about ``bins`` where values are spread).
+
 Interpolation is numpy's "linear" rule (two-sided lerp).
 """
 
@@ -27,6 +27,8 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+BINS = 1024
+
 
 def _lerp(a: float, b: float, t: float) -> float:
     diff = b - a
@@ -35,64 +37,59 @@ def _lerp(a: float, b: float, t: float) -> float:
     return a + diff * t
 
 
+def _value(c: str):
+    x = F.col(c).cast("double")
+    return F.when(~F.isnan(x), x)
+
+
 def _long(df: DataFrame, cols: list[str]) -> DataFrame:
     args = []
     for i, c in enumerate(cols):
-        args += [F.lit(i), F.col(c).cast("double")]
+        args += [F.lit(i), _value(c)]
     return (df.select(F.stack(F.lit(len(cols)), *args).alias("ci", "v"))
-            .where(F.col("v").isNotNull()))
+            .where(F.col("v").isNotNull() & (F.abs("v") < float("inf"))))
 
 
-def column_summaries(df: DataFrame, cols: list[str]) -> dict[str, tuple[int, float, float]]:
-    """(non-null count, min, max) of each column, one pass."""
+def column_summaries(df: DataFrame, cols: list[str]) -> dict[str, tuple]:
+    """(count, finite min, finite max, -inf count, +inf count) of each column, one pass."""
+    inf = float("inf")
     aggs = []
     for i, c in enumerate(cols):
-        x = F.col(c).cast("double")
-        aggs += [F.count(x).alias(f"n{i}"), F.min(x).alias(f"lo{i}"), F.max(x).alias(f"hi{i}")]
+        x = _value(c)
+        finite = F.when(F.abs(x) < inf, x)
+        aggs += [F.count(x).alias(f"n{i}"), F.min(finite).alias(f"lo{i}"), F.max(finite).alias(f"hi{i}"),
+                 F.count_if(x == -inf).alias(f"a{i}"), F.count_if(x == inf).alias(f"b{i}")]
     row = df.agg(*aggs).first()
-    return {c: (int(row[f"n{i}"]), row[f"lo{i}"], row[f"hi{i}"]) for i, c in enumerate(cols)}
+    return {c: tuple(row[f"{k}{i}"] for k in ("n", "lo", "hi", "a", "b")) for i, c in enumerate(cols)}
 
 
-def order_statistics(df: DataFrame, requests: list[tuple[str, int]], bins: int = 4096,
-                     collect_limit: int = 50_000, max_passes: int = 64,
+def order_statistics(df: DataFrame, requests: list[tuple[str, int]], bins: int = BINS,
                      summaries: dict | None = None) -> dict[tuple[str, int], float]:
-    """Values at 0-based ranks of the non-null values: {(col, rank): value}."""
-    cols = sorted({c for c, _ in requests})
-    cid = {c: i for i, c in enumerate(cols)}
-    summaries = summaries or column_summaries(df, cols)
-    long = _long(df, cols)
+    """Values at 0-based ranks of the values: {(col, rank): value}."""
+    summaries = summaries or column_summaries(df, sorted({c for c, _ in requests}))
     result: dict[tuple[str, int], float] = {}
-    # Open search: [col, rank within range, lo, hi, count, request key]
-    pending = []
+    pending = []  # open searches: [col, rank within range, lo, hi, request key]
     for c, r in requests:
-        n, lo, hi = summaries[c]
-        if n == 0 or r >= n:
+        n, lo, hi, below, above = summaries[c]
+        if r >= n:
             result[(c, r)] = None
+        elif r < below or r >= n - above:
+            result[(c, r)] = -math.inf if r < below else math.inf
         else:
-            pending.append([c, r, float(lo), float(hi), n, (c, r)])
-    return _search(long, cid, pending, result, bins, collect_limit, max_passes)
+            pending.append([c, r - below, float(lo), float(hi), (c, r)])
+    return _search(df, pending, result, bins)
 
 
-def _search(long: DataFrame, cid, pending, result, bins: int, collect_limit: int, max_passes: int):
-    for _ in range(max_passes):
-        big = []
-        small = []
+def _search(df: DataFrame, pending: list, result: dict, bins: int) -> dict:
+    while True:
         for s in pending:
             if s[2] == s[3]:
-                result[s[5]] = s[2]
-            elif s[4] <= collect_limit:
-                small.append(s)
-            else:
-                big.append(s)
-        if small:
-            _resolve_small(long, cid, small, result)
-        if not big:
-            pending = []
-            break
-        pending = _refine(long, cid, big, bins)
-    if pending:
-        raise RuntimeError("order statistic search did not converge")
-    return result
+                result[s[4]] = s[2]
+        pending = [s for s in pending if s[2] != s[3]]
+        if not pending:
+            return result
+        groups = _groups(pending)
+        pending = _descend(pending, groups, _histogram(df, groups, bins))
 
 
 def _groups(searches) -> dict[tuple, int]:
@@ -102,103 +99,42 @@ def _groups(searches) -> dict[tuple, int]:
     return keys
 
 
-def _assign(long: DataFrame, cid, groups: dict[tuple, int]) -> DataFrame:
-    """Rows of ``long`` inside a search range, tagged with the range group.
+def _histogram(df: DataFrame, groups: dict[tuple, int], bins: int) -> dict[int, list]:
+    """One pass: (count, min, max) per equal-width bucket of every open range.
 
-    The range table has one row per open search range (a bounded number),
-    so it is broadcast; each value row probes it by column id and keeps
-    the (at most one) range that contains it.
+    Ranges of one column are equal or disjoint, so each value meets at most
+    one; the range table (one row an open range) is broadcast.
     """
-    spark = long.sparkSession
-    table = spark.createDataFrame([(cid[c], float(lo), float(hi), g) for (c, lo, hi), g in groups.items()],
-                                  "gci int, glo double, ghi double, g int")
-    cond = (F.col("ci") == F.col("gci")) & F.col("v").between(F.col("glo"), F.col("ghi"))
-    return long.join(F.broadcast(table), cond, "inner")
-
-
-def _resolve_small(long: DataFrame, cid, searches, result) -> None:
-    groups = _groups(searches)
-    rows = (_assign(long, cid, groups).select("g", "v")
-            .collect())  # bounded: at most collect_limit rows per range group
-    values: dict[int, list[float]] = {}
-    for r in rows:
-        values.setdefault(r["g"], []).append(r["v"])
-    for vals in values.values():
-        vals.sort()
-    for s in searches:
-        result[s[5]] = values[groups[(s[0], s[2], s[3])]][s[1]]
-
-
-def _histogram(long: DataFrame, cid, groups: dict[tuple, int], bins: int) -> dict[int, list]:
-    """One pass: (count, min, max) per equal-width bucket of every range group."""
-    tagged = _assign(long, cid, groups)
-    raw = F.floor((F.col("v") - F.col("glo")) / (F.col("ghi") - F.col("glo")) * F.lit(float(bins)))
-    bucket = F.least(F.greatest(raw, F.lit(0)), F.lit(bins - 1)).cast("int")
+    cols = sorted({c for c, _, _ in groups})
+    table = df.sparkSession.createDataFrame(
+        [(cols.index(c), lo, hi, g) for (c, lo, hi), g in groups.items()], "gci int, glo double, ghi double, g int")
+    inside = (F.col("ci") == F.col("gci")) & F.col("v").between(F.col("glo"), F.col("ghi"))
+    tagged = _long(df, cols).join(F.broadcast(table), inside)
+    # halves first: the width of the widest range of doubles would overflow
+    raw = F.floor((F.col("v") / 2 - F.col("glo") / 2) / (F.col("ghi") / 2 - F.col("glo") / 2) * F.lit(float(bins)))
+    bucket = (F.when(F.col("v") == F.col("glo"), 0).when(F.col("v") == F.col("ghi"), bins - 1)
+              .otherwise(F.least(F.greatest(F.coalesce(raw, F.lit(0)), F.lit(0)), F.lit(bins - 1))).cast("int"))
     hist = (tagged.groupBy("g", bucket.alias("b"))
             .agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
-            .collect())  # bounded: <= groups x bins rows
+            .collect())  # bounded: <= ranges x bins rows
     by_group: dict[int, list] = {}
-    for h in hist:
+    for h in sorted(hist, key=lambda h: h["b"]):
         by_group.setdefault(h["g"], []).append(h)
-    for rows in by_group.values():
-        rows.sort(key=lambda h: h["b"])
     return by_group
 
 
-def _refine(long: DataFrame, cid, searches, bins: int):
-    groups = _groups(searches)
-    return _descend(searches, groups, _histogram(long, cid, groups, bins))
-
-
 def _descend(searches, groups, by_group):
     """Move each search into the bucket holding its rank."""
     nxt = []
-    for s in searches:
-        rows = by_group[groups[(s[0], s[2], s[3])]]
-        seen = 0
-        for h in rows:
-            if s[1] < seen + h["n"]:
-                nxt.append([s[0], s[1] - seen, float(h["lo"]), float(h["hi"]), int(h["n"]), s[5]])
+    for c, rank, lo, hi, key in searches:
+        for h in by_group[groups[(c, lo, hi)]]:
+            if rank < h["n"]:
+                nxt.append([c, rank, float(h["lo"]), float(h["hi"]), key])
                 break
-            seen += h["n"]
+            rank -= h["n"]
     return nxt
 
 
-def exact_quantiles(df: DataFrame, cols: list[str], qs: list[float], bounds: dict | None = None,
-                    **kw) -> dict[str, dict[float, float]]:
-    """Linear-interpolated quantiles ``qs`` of each column (nulls skipped).
-
-    ``bounds`` ({col: (lo, hi)}) may give a range known to contain every
-    value (e.g. a clipped score); the min/max pass is then skipped.
-    """
-    if bounds and all(c in bounds for c in cols):
-        return _bounded_quantiles(df, cols, qs, bounds, **kw)
-    summaries = column_summaries(df, cols)
-    requests, plan = [], {}
-    for c in cols:
-        n = summaries[c][0]
-        for q in qs:
-            if n == 0:
-                plan[(c, q)] = None
-                continue
-            h = (n - 1) * q
-            k = int(math.floor(h))
-            t = h - k
-            ranks = [k] if t == 0 or k + 1 >= n else [k, k + 1]
-            plan[(c, q)] = (ranks, t)
-            requests += [(c, r) for r in ranks]
-    stats = order_statistics(df, sorted(set(requests)), summaries=summaries, **kw) if requests else {}
-    out: dict[str, dict[float, float]] = {c: {} for c in cols}
-    for (c, q), p in plan.items():
-        if p is None:
-            out[c][q] = None
-        elif len(p[0]) == 1:
-            out[c][q] = stats[(c, p[0][0])]
-        else:
-            out[c][q] = _lerp(stats[(c, p[0][0])], stats[(c, p[0][1])], p[1])
-    return out
-
-
 def _plan(n: int, q: float):
     h = (n - 1) * q
     k = int(math.floor(h))
@@ -206,36 +142,17 @@ def _plan(n: int, q: float):
     return ([k] if t == 0 or k + 1 >= n else [k, k + 1]), t
 
 
-def _bounded_quantiles(df: DataFrame, cols: list[str], qs: list[float], bounds: dict,
-                       bins: int = 4096, collect_limit: int = 50_000, max_passes: int = 64):
-    """Quantiles of columns whose values lie in known ranges: the first
-    histogram pass over those ranges also yields the counts, so no separate
-    summary pass is needed."""
-    cols = list(cols)
-    cid = {c: i for i, c in enumerate(cols)}
-    long = _long(df, cols)
-    groups = {(c, float(bounds[c][0]), float(bounds[c][1])): i for i, c in enumerate(cols)}
-    if any(lo == hi for (_, lo, hi) in groups):
-        return exact_quantiles(df, cols, qs, **dict(bins=bins, collect_limit=collect_limit,
-                                                     max_passes=max_passes))
-    by_group = _histogram(long, cid, groups, bins)
-    out: dict[str, dict[float, float]] = {c: {} for c in cols}
-    pending, plans = [], {}
-    for (c, lo, hi), g in groups.items():
-        rows = by_group.get(g, [])
-        n = sum(int(h["n"]) for h in rows)
-        for q in qs:
-            if n == 0:
-                out[c][q] = None
-                continue
-            ranks, t = _plan(n, q)
-            plans[(c, q)] = (ranks, t)
-            pending += [[c, r, lo, hi, n, (c, r)] for r in ranks]
-    pending = _descend(pending, _groups(pending), by_group) if pending else []
-    stats = _search(long, cid, pending, {}, bins, collect_limit, max_passes)
+def exact_quantiles(df: DataFrame, cols: list[str], qs: list[float],
+                    bins: int = BINS) -> dict[str, dict[float, float]]:
+    """Linear-interpolated quantiles ``qs`` of each column (null and NaN skipped)."""
+    summaries = column_summaries(df, cols)
+    plans = {(c, q): _plan(summaries[c][0], q) for c in cols for q in qs if summaries[c][0]}
+    requests = sorted({(c, r) for (c, _), (ranks, _) in plans.items() for r in ranks})
+    stats = order_statistics(df, requests, bins, summaries) if requests else {}
+    out: dict[str, dict[float, float]] = {c: dict.fromkeys(qs) for c in cols}
     for (c, q), (ranks, t) in plans.items():
-        out[c][q] = stats[(c, ranks[0])] if len(ranks) == 1 else _lerp(stats[(c, ranks[0])],
-                                                                        stats[(c, ranks[1])], t)
+        values = [stats[(c, r)] for r in ranks]
+        out[c][q] = values[0] if len(set(values)) == 1 else _lerp(*values, t)
     return out
 
 

@@ -108,19 +108,37 @@ def busiest_hours(df: DataFrame, k: int = C.FIRST_HOURS) -> DataFrame:
 
 def pattern_analysis(df: DataFrame) -> DataFrame:
     """Per alert title among false alarms: frequency, duration and confidence
-    statistics, most common hour (ties -> smallest).  Null titles excluded."""
-    conf = _fp("classification_confidence")
-    return (df.groupBy(F.col("title").alias("alert_title"))
-            .agg(F.count_if(_is_fp()).alias("_fps"),
-                 F.count(_fp("problemId")).alias("frequency"),
-                 F.avg(_fp("duration_minutes")).alias("avg_duration"),
-                 F.stddev_samp(_fp("duration_minutes")).alias("std_duration"),
-                 F.avg(conf).alias("avg_confidence"),
-                 F.min(conf).alias("min_confidence"),
-                 F.max(conf).alias("max_confidence"),
-                 F.mode(_fp("hour"), deterministic=True).alias("most_common_hour"))
-            .where(F.col("alert_title").isNotNull() & (F.col("_fps") > 0))
-            .drop("_fps")
+    statistics, most common hour (ties -> smallest).  Null titles excluded.
+
+    Counted by (title, hour) first, so the most common hour is a maximum over
+    at most 25 rows a title and every step is a hash aggregation with a
+    map-side part; means and deviations are merged from centred moments.
+    """
+    conf, minutes = _fp("classification_confidence"), _fp("duration_minutes")
+    hours = (df.where(F.col("title").isNotNull()).groupBy(F.col("title").alias("alert_title"), "hour")
+             .agg(F.count_if(_is_fp()).alias("fps"), F.count(_fp("problemId")).alias("n"),
+                  F.count(minutes).alias("n_min"), F.sum(minutes).alias("s_min"),
+                  (F.var_pop(minutes) * F.count(minutes)).alias("m2"),
+                  F.count(conf).alias("n_conf"), F.sum(conf).alias("s_conf"),
+                  F.min(conf).alias("lo"), F.max(conf).alias("hi"))
+             .where("fps > 0"))
+    title = Window.partitionBy("alert_title")  # at most 25 rows, dealt as the aggregation after it
+    mean = F.col("s_min") / F.col("n_min")
+    centre = F.sum("s_min").over(title) / F.sum("n_min").over(title)
+    # count and hour in one number: the largest is the most common hour, the smallest of ties
+    rank = F.when(F.col("hour").isNotNull(), F.col("fps") * 32 + (24 - F.col("hour")))
+    merged = (hours.withColumn("m2", F.col("m2") + F.col("n_min") * F.pow(mean - centre, F.lit(2.0)))
+              .withColumn("busiest", rank.cast("long")).groupBy("alert_title")
+              .agg(F.sum("n").alias("frequency"), F.sum("s_min").alias("s"), F.sum("n_min").alias("w"),
+                   F.sum("m2").alias("m2"), F.sum("s_conf").alias("sc"), F.sum("n_conf").alias("nc"),
+                   F.min("lo").alias("min_confidence"), F.max("hi").alias("max_confidence"),
+                   F.max("busiest").alias("busiest")))
+    # one value has no sample deviation
+    deviation = F.when(F.col("w") > 1, F.sqrt(F.col("m2") / (F.col("w") - 1)))
+    return (merged.select("alert_title", "frequency", (F.col("s") / F.nullif("w", F.lit(0))).alias("avg_duration"),
+                          deviation.alias("std_duration"), (F.col("sc") / F.nullif("nc", F.lit(0))).alias("avg_confidence"),
+                          "min_confidence", "max_confidence",
+                          (24 - F.col("busiest") % 32).cast("int").alias("most_common_hour"))
             .orderBy(F.desc("frequency"), "alert_title"))
 
 

@@ -16,7 +16,7 @@ BENEFITS = ("labor_savings", "productivity_gain", "sla_improvement", "fatigue_re
 
 
 def roi(df: DataFrame, cfg: TriageConfig = DEFAULT) -> DataFrame:
-    counts = df.agg(F.sum("is_false_positive").cast("long").alias("fp_detected"),
+    counts = df.agg(F.coalesce(F.sum("is_false_positive"), F.lit(0)).cast("long").alias("fp_detected"),
                     F.count(F.lit(1)).alias("total_alerts"))
     fp = F.col("fp_detected").cast("double")
     monthly = fp * F.lit(C.MONTHLY_FACTOR) / F.lit(30.0)
@@ -48,7 +48,7 @@ def roi(df: DataFrame, cfg: TriageConfig = DEFAULT) -> DataFrame:
         (net * 12).alias("annual_net_benefit"),
         (net / F.lit(max(total_costs, 1.0)) * 100).alias("roi_percentage"),
         (F.col("monthly_costs") / F.greatest(net, F.lit(1.0))).alias("payback_months"),
-        (F.col("fp_detected") / F.col("total_alerts")).alias("fp_ratio"),
+        (F.col("fp_detected") / F.nullif("total_alerts", F.lit(0))).alias("fp_ratio"),
     )
 
 

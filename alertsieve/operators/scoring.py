@@ -22,7 +22,7 @@ from alertsieve.operators.features import engineer_features
 from alertsieve.operators.iforest import IForestModel, fit_iforest, isolation_score
 from alertsieve.operators.quantile import approx_quantile, exact_quantile
 from alertsieve.operators.stats import AlertStats
-from alertsieve.session import prepare
+from alertsieve.session import prepare, reliable_table
 
 METHODS = ("rules", "statistical", "anomaly", "pattern")
 SCORE_COLUMNS = tuple(f"score_{m}" for m in METHODS)
@@ -31,7 +31,7 @@ SCORE_COLUMNS = tuple(f"score_{m}" for m in METHODS)
 SCORE_DIGITS = 12
 
 
-def score_rules(df: DataFrame) -> Column:
+def score_rules(df: DataFrame, cfg: TriageConfig = DEFAULT) -> Column:
     """Short duration, night window and keyword rules; max reachable .75."""
     names = set(df.columns)
     parts = []
@@ -43,7 +43,7 @@ def score_rules(df: DataFrame) -> Column:
     if "is_reconciliacion" in names:
         parts.append(F.col("is_reconciliacion") * F.lit(C.RULE_RECONCILIATION))
     if "fp_keyword_score" in names:
-        kw = clip(F.col("fp_keyword_score") / F.lit(float(len(C.FP_KEYWORDS))), 0.0, 1.0)
+        kw = clip(F.col("fp_keyword_score") / F.lit(float(max(len(cfg.keywords), 1))), 0.0, 1.0)
         parts.append(kw * F.lit(C.RULE_KEYWORDS))
     return clip(_sum(parts), 0.0, 1.0)
 
@@ -96,9 +96,9 @@ def anomaly_inputs(df: DataFrame) -> list[str]:
     return [f for f in C.IFOREST_FEATURES if f in df.columns]
 
 
-def method_scores(df: DataFrame, anomaly: Column) -> DataFrame:
+def method_scores(df: DataFrame, anomaly: Column, cfg: TriageConfig = DEFAULT) -> DataFrame:
     """Adds score_rules, score_statistical, score_anomaly, score_pattern."""
-    return df.select("*", score_rules(df).alias("score_rules"),
+    return df.select("*", score_rules(df, cfg).alias("score_rules"),
                      score_statistical(df).alias("score_statistical"),
                      anomaly.alias("score_anomaly"),
                      score_pattern(df).alias("score_pattern"))
@@ -116,8 +116,7 @@ def fp_threshold(df: DataFrame, cfg: TriageConfig = DEFAULT, col: str = "fp_scor
     q = cfg.fp_threshold_percentile / 100.0
     if cfg.quantile_method == "approx":
         return approx_quantile(df, col, q, cfg.quantile_accuracy)
-    # the ensemble is clipped to [0, 1]: no min/max pass needed
-    return exact_quantile(df, col, q, bounds={col: (0.0, 1.0)})
+    return exact_quantile(df, col, q)
 
 
 def label(df: DataFrame, threshold: float | None) -> DataFrame:
@@ -150,7 +149,7 @@ class ScoringModel:
     def transform(self, raw: DataFrame) -> DataFrame:
         """Features, method scores, final score, label and confidence."""
         feats, _ = engineer_features(raw, self.stats, self.cfg)
-        scored = final_score(method_scores(feats, self.anomaly_column(feats)), self.cfg)
+        scored = final_score(method_scores(feats, self.anomaly_column(feats), self.cfg), self.cfg)
         return label(scored, self.threshold)
 
 
@@ -166,14 +165,14 @@ def normalise_anomaly(raw: Column, lo: float | None, hi: float | None) -> Column
 
 
 def fit_scoring(raw: DataFrame, cfg: TriageConfig = DEFAULT, anomaly: str = "iforest",
-                materialize=None) -> tuple[ScoringModel, DataFrame]:
+                materialize=reliable_table) -> tuple[ScoringModel, DataFrame]:
     """Fit the scoring state on ``raw`` and return it with the scored batch.
 
     ``anomaly="iforest"`` fits the forest; ``"fallback"`` uses the constant
-    .5 anomaly score.  With ``materialize`` (a reliable table in the
-    checkpoint folder) the scored table is written once, so the min/max
-    and quantile passes read one stored column instead of re-reading the
-    source and re-running the features and the forest.
+    .5 anomaly score.  The scored table is written once (``materialize``: a
+    reliable table in the checkpoint folder; None keeps it lazy), so the
+    min/max and quantile passes read one stored column instead of re-reading
+    the source and re-running the features and the forest.
     """
     prepare(raw.sparkSession)
     feats, stats = engineer_features(raw, None, cfg)
@@ -188,9 +187,9 @@ def fit_scoring(raw: DataFrame, cfg: TriageConfig = DEFAULT, anomaly: str = "ifo
         mm = with_raw.agg(F.min("_iso").alias("lo"), F.max("_iso").alias("hi")).first()
         lo, hi = mm["lo"], mm["hi"]
         anomaly_col = normalise_anomaly(F.col("_iso"), lo, hi)
-        scored = final_score(method_scores(with_raw, anomaly_col), cfg).drop("_iso")
+        scored = final_score(method_scores(with_raw, anomaly_col, cfg), cfg).drop("_iso")
     else:
-        scored = final_score(method_scores(feats, F.lit(C.ANOMALY_FALLBACK)), cfg)
+        scored = final_score(method_scores(feats, F.lit(C.ANOMALY_FALLBACK), cfg), cfg)
         if materialize is not None:
             # threshold passes then read one Parquet column, not the source
             scored = materialize(scored, "scores")

@@ -54,7 +54,10 @@ def register(name: str, sql: str | None, nullable_ints: tuple = ()):
 # ---------------------------------------------------------------- inputs --
 
 def alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return normalize_timestamps(alerts_from_events(spark, sf_dir))
+    """Alerts of the events table; the session may ask for more partitions
+    than the file has splits (``alertsieve.scan.partitions``, unset: as scanned)."""
+    wanted = spark.conf.get("alertsieve.scan.partitions", None)
+    return normalize_timestamps(alerts_from_events(spark, sf_dir, int(wanted) if wanted else None))
 
 
 def features(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -500,10 +503,6 @@ MODEL_FEATURES = (
                                              "hour_frequency_ratio", "day_frequency"]
     + [n for n, _ in INTERACTION])
 
-# Reduced model sizes for the catalogue runs; the API defaults stay 100/100.
-CATALOG_TREES = 20
-CATALOG_ROUNDS = 20
-
 
 def _check_features(df: DataFrame) -> list[str]:
     found = M.feature_columns(df)
@@ -694,9 +693,9 @@ def q_select_features(spark, sf_dir):
     return spark.createDataFrame(rows, "feature string, position int, kept boolean")
 
 
-def _suite(spark, sf_dir):
-    lab = labelled_forest(spark, sf_dir)
-    return M.model_suite(lab, trees=CATALOG_TREES, rounds=CATALOG_ROUNDS)
+def _suite(spark, sf_dir, only=None):
+    """The suite at its stated sizes, or the named models of it."""
+    return M.model_suite(labelled_forest(spark, sf_dir), only=only)
 
 
 @register("model_suite", None)
@@ -709,31 +708,24 @@ def q_model_suite(spark, sf_dir):
 def q_temporal_cv(spark, sf_dir):
     """Best classifier refitted on 5 rolling-origin folds (gap 168 rows): F1."""
     res = _suite(spark, sf_dir)
-    spec = next(s for s in M.model_specs(CATALOG_TREES, CATALOG_ROUNDS) if s.name == res.best)
+    spec = next(s for s in M.model_specs() if s.name == res.best)
     return M.temporal_cv(res.indexed, res.n_rows, res.features, spec, C.CV_FOLDS, C.CV_GAP_ROWS)
 
 
 @register("attribution_ranking", None)
 def q_attribution_ranking(spark, sf_dir):
-    """Sampled-Shapley importance of the best classifier over the first test
-    rows (200 rows x 10 permutations), ranked."""
-    res = _suite(spark, sf_dir)
-    best = next(t for t in res.trained if t.name == res.best).model
-    feats = res.features
-    test = res.scaling.transform(M.fill_features(res.test, feats, keep=["row_idx"]), keep=["row_idx"])
-    explained = test.where(F.col("row_idx") < F.lit(res.n_rows * C.TRAIN_FRACTION + 200))
-    background = res.scaling.transform(M.fill_features(res.train, feats, keep=["row_idx"]), keep=["row_idx"])
-    # a bounded background sample: 500 rows drawn by hash
-    background = background.orderBy(F.xxhash64("row_idx", F.lit(C.SEED))).limit(500)
-    return shapley_ranking(best, explained, background, feats, permutations=10, seed=C.SEED,
-                           id_col="row_idx")
+    """Sampled-Shapley importance of the best classifier over the first 1,000
+    test rows (10 permutations, 500 background rows), ranked."""
+    from alertsieve.plans.triage import best_attribution
+
+    return best_attribution(_suite(spark, sf_dir))
 
 
 @register("linear_attribution", None)
 def q_linear_attribution(spark, sf_dir):
     """Exact log-odds attribution of the logistic regression, ranked."""
-    res = _suite(spark, sf_dir)
-    lr = next(t for t in res.trained if t.name == "LogisticRegression").model
+    res = _suite(spark, sf_dir, only=("LogisticRegression",))
+    lr = res.trained[0].model
     feats = res.features
     test = res.scaling.transform(M.fill_features(res.test, feats), keep=())
     means_row = test.agg(*[F.avg(c).alias(c) for c in feats]).first()
@@ -743,14 +735,14 @@ def q_linear_attribution(spark, sf_dir):
 
 @register("model_roundtrip", None)
 def q_model_roundtrip(spark, sf_dir):
-    """Save the best classifier as a package, load it, score the test rows:
+    """Save a classifier (the logistic regression) as a package, load it, score the test rows:
     predictions must equal the in-memory model's."""
     import uuid
 
     from alertsieve.session import ensure_checkpoint_dir
 
-    res = _suite(spark, sf_dir)
-    best = next(t for t in res.trained if t.name == res.best).model
+    res = _suite(spark, sf_dir, only=("LogisticRegression",))
+    best = res.trained[0].model
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/alertsieve/package-{uuid.uuid4().hex}"
     M.save_model_package(path, best, res.features, res.scaling, metrics=res.metrics, name=res.best)
     pkg = M.load_model_package(spark, path)

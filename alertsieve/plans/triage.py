@@ -14,12 +14,17 @@ labelling, ROI, report tables) arranged for a cluster:
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from alertsieve.config import DEFAULT, TriageConfig
+from alertsieve.operators import models as M
 from alertsieve.operators import reports as R
+from alertsieve.operators.attribution import shapley_ranking
+from alertsieve.operators.drift import ks_drift
 from alertsieve.operators.roi import roi, roi_breakdown
 from alertsieve.operators.scoring import ScoringModel, fit_scoring
 from alertsieve.session import reliable_table
+from alertsieve.sources import sinks
 from alertsieve.sources.sinks import write_table
 
 REPORTS = {
@@ -55,8 +60,53 @@ def run_triage(raw: DataFrame, out_dir: str | None = None, cfg: TriageConfig = D
         table = raw.sparkSession.read.parquet(f"{out_dir}/labelled")
     else:
         table = reliable_table(labelled, "labelled")
-    reports = {name: fn(table) for name, fn in REPORTS.items()}
+    reports = {name: fn(table, cfg) if name.startswith("roi") else fn(table) for name, fn in REPORTS.items()}
     if out_dir:
         for name, df in reports.items():
-            write_table(df.coalesce(1), f"{out_dir}/{name}")
+            write_table(df, f"{out_dir}/{name}")
     return model, table, reports
+
+
+def best_attribution(suite: M.SuiteResult, cfg: TriageConfig = DEFAULT) -> DataFrame:
+    """Sampled-Shapley ranking of the suite's best model over the first
+    ``cfg.shap_sample`` test rows."""
+    best = next(t for t in suite.trained if t.name == suite.best).model
+    feats = suite.features
+
+    def scaled(rows):
+        return suite.scaling.transform(M.fill_features(rows, feats, keep=["row_idx"]), keep=["row_idx"])
+
+    first = suite.test.agg(F.min("row_idx")).first()[0]
+    explained = scaled(suite.test).where(F.col("row_idx") < F.lit((first or 0) + cfg.shap_sample))
+    return shapley_ranking(best, explained, scaled(suite.train), feats, permutations=cfg.shap_permutations,
+                           seed=cfg.seed, id_col="row_idx", background_rows=cfg.shap_background)
+
+
+def run_all(raw: DataFrame, out_dir: str, cfg: TriageConfig = DEFAULT, anomaly: str = "iforest") -> dict[str, DataFrame]:
+    """The whole method: scoring and reports, model suite, temporal
+    cross-validation, attribution, drift, exports and the model package.
+
+    Every result is written below ``out_dir``; returns them by name.  All
+    sizes and thresholds come from ``cfg``.
+    """
+    spark = raw.sparkSession
+    model, table, out = run_triage(raw, out_dir, cfg, anomaly)
+    suite = M.model_suite(table, cfg)
+    out["model_metrics"] = suite.metrics
+    spec = next(s for s in M.model_specs(cfg.model_trees, cfg.model_rounds, cfg.seed, cfg.forest_depth)
+                if s.name == suite.best)
+    out["cross_validation"] = M.temporal_cv(suite.indexed, suite.n_rows, suite.features, spec, cfg.cv_folds,
+                                            cfg.cv_gap_rows, gap_hours=cfg.cv_gap_hours)
+    out["attribution"] = best_attribution(suite, cfg)
+    out["drift"] = ks_drift(suite.train, suite.test, suite.features, cfg.drift_alpha)
+    for name in ("model_metrics", "cross_validation", "attribution", "drift"):
+        write_table(out[name], f"{out_dir}/{name}")
+        out[name] = spark.read.parquet(f"{out_dir}/{name}")
+    sinks.export_processed(table, f"{out_dir}/export_processed")
+    sinks.export_fp_detail(table, f"{out_dir}/export_detail")
+    sinks.export_patterns(out["pattern_analysis"], f"{out_dir}/export_patterns")
+    sinks.export_attribution(out["attribution"], f"{out_dir}/export_attribution")
+    best = next(t for t in suite.trained if t.name == suite.best).model
+    M.save_model_package(f"{out_dir}/package", best, suite.features, suite.scaling, model, suite.metrics, suite.best,
+                         out["attribution"])
+    return out

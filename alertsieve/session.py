@@ -85,8 +85,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the reliable checkpoint folder of the session.
 
     On a cluster the folder comes from ``spark.checkpoint.dir`` (a shared
-    file system).  Only when nothing is configured (unit tests) is a fresh
-    scratch folder created.
+    file system); without that setting this raises, since executors could
+    not see each other's files.  Only a local master, where all tasks share
+    one machine, gets a fresh scratch folder.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -94,6 +95,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current
     configured = sc.getConf().get("spark.checkpoint.dir", None)
     if not configured:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         configured = tempfile.mkdtemp(prefix="alertsieve-ckpt-")
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir()
@@ -116,24 +119,6 @@ def reliable_table(df, name: str):
     return spark.read.parquet(path)
 
 
-def ensure_parallelism(df, factor: int = 2):
-    """Spread a scan that yields fewer partitions than the cluster has cores.
-
-    A large table is read as many splits and is returned untouched (no
-    shuffle); a small one (e.g. one Parquet row group) would otherwise run
-    every later stage as a single task.  Only then is it round-robin
-    repartitioned to ``factor`` x the default parallelism.
-    """
-    try:
-        cores = df.sparkSession.sparkContext.defaultParallelism
-        parts = df.rdd.getNumPartitions()
-    except Exception:  # noqa: BLE001 - sessions without RDD access keep the scan as is
-        return df
-    if parts < cores:
-        return df.repartition(cores * factor)
-    return df
-
-
 def clear_reliable_tables(spark) -> bool:
     """Delete every table ``reliable_table`` wrote for this application.
 

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from alertsieve.session import ensure_parallelism, prepare
+from alertsieve.session import prepare
 
 RAW_COLUMNS = (
     "problemId", "displayId", "title", "severityLevel", "impactLevel",
@@ -49,51 +49,85 @@ def _null_tokens(col: Column) -> Column:
     return F.when(col.isin(list(CSV_NULL_TOKENS)), F.lit(None)).otherwise(col)
 
 
-def read_alerts_csv(spark: SparkSession, path: str) -> DataFrame:
-    """Scan alert CSV file(s) with a pinned schema (header row required).
+def clean_tokens(df: DataFrame) -> DataFrame:
+    """Text columns with the null tokens read as null."""
+    return df.select(*[(_null_tokens(F.col(f"`{f.name}`")) if isinstance(f.dataType, T.StringType)
+                        else F.col(f"`{f.name}`")).alias(f.name) for f in df.schema.fields])
 
-    Columns absent from the file come back null; a missing path raises
-    ``FileNotFoundError`` before any Spark job starts.
+
+def _csv_options(reader, multi_line: bool):
+    return (reader.option("header", True).option("multiLine", multi_line).option("escape", '"')
+            .option("nullValue", "\u0000").option("emptyValue", "")
+            .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False))
+
+
+def _csv_headers(spark: SparkSession, path: str, multi_line: bool) -> dict[tuple, list[str]]:
+    """Files at ``path`` (file, folder or glob) by their header row.
+
+    The file system is the path's own (the cluster's default without a
+    scheme); a path that matches nothing raises ``FileNotFoundError``.
     """
-    prepare(spark)
-    local = path[len("file:"):] if path.startswith("file:") else path
-    if "://" not in local and not os.path.exists(local):
+    hadoop = spark._jsc.hadoopConfiguration()
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = where.getFileSystem(hadoop)
+    found = fs.globStatus(where)
+    if not found:
         raise FileNotFoundError(path)
-    header = (spark.read.option("header", True).option("multiLine", True)
-              .option("escape", '"').csv(path).columns)
-    present = [f for f in ALERT_CSV_SCHEMA.fields if f.name in header]
-    extra = [c for c in header if c not in {f.name for f in present}]
-    schema = T.StructType(present + [T.StructField(c, T.StringType()) for c in extra])
-    # Read with the header's own column order so the pinned types line up.
-    ordered = T.StructType([next(f for f in schema.fields if f.name == c) for c in header])
-    df = (spark.read.schema(ordered).option("header", True).option("multiLine", True)
-          .option("escape", '"').option("nullValue", "\u0000").option("emptyValue", "")
-          .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
-          .csv(path))
-    cols = []
-    for f in ordered.fields:
-        c = F.col(f.name)
-        cols.append((_null_tokens(c) if isinstance(f.dataType, T.StringType) else c).alias(f.name))
-    return normalize_timestamps(ensure_parallelism(df.select(*cols)))
+    files = []
+    for status in found:
+        inside = [f for f in fs.listStatus(status.getPath())] if status.isDirectory() else [status]
+        files += [f.getPath().toString() for f in inside if not f.isDirectory()
+                  and not f.getPath().getName().startswith(("_", "."))]
+    groups: dict[tuple, list[str]] = {}
+    for name in sorted(files):
+        header = tuple(_csv_options(spark.read, multi_line).csv(name).columns)
+        groups.setdefault(header, []).append(name)
+    return groups
+
+
+def read_alerts_csv(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
+    """Scan alert CSV file(s) with pinned types (header row required).
+
+    Columns are taken by header name: files are grouped by their header, so
+    a batch with another column order or fewer columns reads right, and any
+    text column of the alert schema that no file has comes back null (the two
+    times and ``duration_minutes`` stay absent: they decide how durations are
+    found).  Extra columns stay, as text.  ``path`` may be a file, a folder or a glob on any file system;
+    nothing there raises ``FileNotFoundError``.  ``multi_line`` allows line
+    breaks inside quoted fields, at the price of one task a file; without it
+    large files are split.
+    """
+    prepare(spark)
+    pinned = {f.name: f for f in ALERT_CSV_SCHEMA.fields}
+    parts = []
+    for header, files in _csv_headers(spark, path, multi_line).items():
+        schema = T.StructType([pinned.get(c, T.StructField(c, T.StringType())) for c in header])
+        parts.append(clean_tokens(_csv_options(spark.read.schema(schema), multi_line).csv(files)))
+    df = concat_alerts(*parts) if parts else spark.createDataFrame([], ALERT_CSV_SCHEMA)
+    missing = [F.lit(None).cast("string").alias(c) for c in pinned
+               if c not in df.columns and c not in ("startTime", "endTime", "duration_minutes")]
+    return normalize_timestamps(df.select("*", *missing))
 
 
 def read_alerts_parquet(spark: SparkSession, path: str) -> DataFrame:
     """Scan an alert table stored as Parquet and type its time columns."""
     prepare(spark)
-    df = ensure_parallelism(spark.read.parquet(path))
-    return normalize_timestamps(df)
+    return normalize_timestamps(spark.read.parquet(path))
 
 
-def alerts_from_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+def alerts_from_events(spark: SparkSession, sf_dir: str, partitions: int | None = None) -> DataFrame:
     """Raw alerts (epoch-ms times) projected from the ``events`` test table.
 
     This is the stand-in input for the test data: it only lays the event
     rows out in the alert schema (FIXTURES.md section 2).  It is a pure
-    projection, so it scales with ``events`` and adds no shuffle.
+    projection, so it scales with ``events`` and adds no shuffle; with
+    ``partitions`` the caller asks for the rows to be spread (a file of one
+    row group is one task otherwise).
     """
     prepare(spark)
-    ev = ensure_parallelism(spark.read.parquet(os.path.join(sf_dir, "events.parquet"))
-                            .select("event_id", "ts", "user_id", "event_type", "value"))
+    ev = (spark.read.parquet(os.path.join(sf_dir, "events.parquet"))
+          .select("event_id", "ts", "user_id", "event_type", "value"))
+    ev = ev.repartition(partitions) if partitions else ev
     eid = F.col("event_id")
     start_ms = F.unix_millis(F.col("ts").cast("timestamp"))
     title = (
@@ -140,11 +174,22 @@ def alerts_from_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+# Timestamps outside years 1 to 9999 are no times of alerts.
+_MS_RANGE = (-62_135_596_800_000, 253_402_300_799_999)
+
+
+def _from_millis(ms: Column) -> Column:
+    """Epoch milliseconds (double) as a timestamp; NaN and out-of-range give null."""
+    ok = ms.between(*map(float, _MS_RANGE))  # NaN is above every number
+    return F.when(ok, F.timestamp_micros(F.round(F.when(ok, ms) * 1000).cast("long")))
+
+
 def _to_timestamp(col: Column, dtype: T.DataType) -> Column:
     if isinstance(dtype, (T.LongType, T.IntegerType, T.ShortType, T.ByteType)):
-        return F.timestamp_millis(col.cast("long"))
+        ms = col.cast("long")
+        return F.timestamp_millis(F.when(ms.between(*_MS_RANGE), ms))
     if isinstance(dtype, (T.DoubleType, T.FloatType, T.DecimalType)):
-        return F.timestamp_micros(F.round(col.cast("double") * 1000).cast("long"))
+        return _from_millis(col.cast("double"))
     if isinstance(dtype, T.TimestampNTZType):
         return col.cast("timestamp")
     if isinstance(dtype, T.TimestampType):
@@ -152,11 +197,8 @@ def _to_timestamp(col: Column, dtype: T.DataType) -> Column:
     if isinstance(dtype, T.DateType):
         return col.cast("timestamp")
     text = F.trim(col.cast("string"))
-    as_ms = F.when(
-        text.rlike(_NUMERIC_TEXT),
-        F.timestamp_micros(F.round(text.try_cast("double") * 1000).cast("long")),
-    )
-    return F.coalesce(as_ms, F.try_to_timestamp(text))
+    number = F.when(text.rlike(_NUMERIC_TEXT), text.try_cast("double"))
+    return F.coalesce(_from_millis(number), F.try_to_timestamp(text))
 
 
 def normalize_timestamps(df: DataFrame) -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 from alertsieve.operators.scoring import ScoringModel
-from alertsieve.sources.alerts import normalize_timestamps
+from alertsieve.sources.alerts import ALERT_CSV_SCHEMA, _csv_options, clean_tokens, normalize_timestamps
 
 RAW_PARQUET_SCHEMA = T.StructType([
     T.StructField("problemId", T.StringType()),
@@ -27,14 +27,20 @@ RAW_PARQUET_SCHEMA = T.StructType([
 ])
 
 
-def read_alert_stream(spark: SparkSession, path: str, schema: T.StructType = RAW_PARQUET_SCHEMA,
+def read_alert_stream(spark: SparkSession, path: str, schema: T.StructType | None = None,
                       fmt: str = "parquet", max_files_per_trigger: int | None = None) -> DataFrame:
+    """Alert files as a stream.  CSV has the batch reader's types, null tokens
+    and time parsing; its columns must stand in the order of ``schema``
+    (a header in another order fails the batch)."""
+    if schema is None:
+        schema = ALERT_CSV_SCHEMA if fmt == "csv" else RAW_PARQUET_SCHEMA
     reader = spark.readStream.format(fmt).schema(schema)
     if fmt == "csv":
-        reader = reader.option("header", True)
+        reader = _csv_options(reader, False).option("enforceSchema", False)
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
-    return normalize_timestamps(reader.load(path))
+    stream = reader.load(path)
+    return normalize_timestamps(clean_tokens(stream) if fmt == "csv" else stream)
 
 
 def score_stream(model: ScoringModel, stream: DataFrame) -> DataFrame:

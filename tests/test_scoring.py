@@ -52,8 +52,8 @@ def test_exact_quantile_matches_numpy(spark):
     df = spark.createDataFrame([(float(v) if v == v else None,) for v in vals], "x double")
     clean = vals[~np.isnan(vals)]
     for q in (0.0, 0.1, 0.5, 0.75, 0.9, 1.0):
-        # small collect limit and bins force several refinement passes
-        got = exact_quantile(df, "x", q, bins=16, collect_limit=50)
+        # few bins force several refinement passes
+        got = exact_quantile(df, "x", q, bins=16)
         assert got == np.quantile(clean, q), q
 
 
@@ -62,7 +62,7 @@ def test_exact_quantiles_many_columns(spark):
 
     df = spark.range(2000).select((F.col("id") % 37).cast("double").alias("a"),
                                   (F.col("id") * 1.5).alias("b"))
-    got = exact_quantiles(df, ["a", "b"], [0.25, 0.5, 0.75], bins=8, collect_limit=40)
+    got = exact_quantiles(df, ["a", "b"], [0.25, 0.5, 0.75], bins=8)
     a = np.arange(2000) % 37
     b = np.arange(2000) * 1.5
     for q in (0.25, 0.5, 0.75):
@@ -89,8 +89,7 @@ def test_bounded_quantiles_match_numpy(spark):
     rng = np.random.default_rng(11)
     vals = np.clip(np.concatenate([rng.normal(scale=0.2, size=2500), np.full(300, 0.125)]), -1, 1)
     df = spark.createDataFrame([(float(v),) for v in vals], "x double")
-    got = exact_quantiles(df, ["x"], [0.05, 0.5, 0.75, 0.99], bounds={"x": (-1.0, 1.0)},
-                          bins=8, collect_limit=30)
+    got = exact_quantiles(df, ["x"], [0.05, 0.5, 0.75, 0.99], bins=8)
     for q in (0.05, 0.5, 0.75, 0.99):
         assert got["x"][q] == np.quantile(vals, q), q
 
