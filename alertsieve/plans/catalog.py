@@ -674,7 +674,27 @@ def q_ks_statistic(spark, sf_dir):
     return DR.ks_statistic(train, test, feats)
 
 
-@register("ks_drift", None)
+def _drift_sql() -> str:
+    terms = ("list_sum(list_transform(range(1, 101), lambda i: (CASE WHEN i % 2 = 1 THEN 1 ELSE -1 END)"
+             " * exp(-2 * i * i * lam * lam)))")
+    return _KS_CTES + f""",
+kd AS (SELECT feature, CAST(max(n1) AS BIGINT) AS n_ref, CAST(max(n2) AS BIGINT) AS n_cur,
+              max(abs(cum1 / n1 - cum2 / n2)) AS d FROM cum GROUP BY feature),
+kl AS (SELECT *, d * sqrt(n_ref::DOUBLE * n_cur / (n_ref + n_cur)) AS lam FROM kd),
+kp AS (SELECT *, CASE WHEN lam < {O.dbl(0.2)} THEN {O.dbl(1)}
+                      ELSE least(1, greatest(0, 2 * {terms})) END AS p FROM kl)
+SELECT feature, n_ref, n_cur, {O.rnd('d')} AS d, {O.rnd('p')} AS p_value,
+       {O.rnd('min(p) OVER ()')} AS min_p, {O.rnd('max(p) OVER ()')} AS max_p,
+       min(p) OVER () < {O.dbl(C.DRIFT_ALPHA)} / (count(*) OVER ()) AS drift_detected,
+       p < {O.dbl(C.DRIFT_ALPHA)} / (count(*) OVER ()) AS feature_drift
+FROM kp"""
+
+
+_KS_SQL = REGISTRY["ks_statistic"].sql
+_KS_CTES = _KS_SQL[:_KS_SQL.rindex("  SELECT feature, CAST(max(n1)")].rstrip()
+
+
+@register("ks_drift", _drift_sql())
 def q_ks_drift(spark, sf_dir):
     """KS drift test per feature with asymptotic p-values, Bonferroni decision."""
     train, test, _ = _train_test(spark, sf_dir)
@@ -682,7 +702,22 @@ def q_ks_drift(spark, sf_dir):
     return DR.ks_drift(train, test, feats, C.DRIFT_ALPHA)
 
 
-@register("select_features", None)
+def _select_sql() -> str:
+    pairs = REGISTRY["correlation_pairs"].sql
+    ctes = pairs[:pairs.rindex("  SELECT split_part(pair")].rstrip()
+    at = ", ".join(f"('{f}', {i})" for i, f in enumerate(MODEL_FEATURES))
+    return ctes + f""",
+pos(feature, position) AS (VALUES {at}),
+vp AS (SELECT feature, var_pop(v) AS variance FROM {_long_sql('feat', fill=False)} GROUP BY feature),
+varied AS (SELECT feature FROM vp WHERE variance > {O.dbl(C.VARIANCE_THRESHOLD)}),
+twins AS (SELECT split_part(pair, '|', 2) AS feature FROM cp
+          WHERE NOT isnan(c) AND abs(c) > {O.dbl(C.CORRELATION_THRESHOLD)}
+            AND split_part(pair, '|', 1) IN (SELECT feature FROM varied))
+SELECT feature, CAST(position AS BIGINT) AS position,
+       feature IN (SELECT feature FROM varied) AND feature NOT IN (SELECT feature FROM twins) AS kept FROM pos"""
+
+
+@register("select_features", _select_sql())
 def q_select_features(spark, sf_dir):
     """Variance + correlation filter over the features (forced to run; the
     method only runs it above 50 numeric columns)."""
@@ -693,6 +728,87 @@ def q_select_features(spark, sf_dir):
     return spark.createDataFrame(rows, "feature string, position int, kept boolean")
 
 
+@register("selected_table", _sql(_cols("problemId:s", "title:s", "startTime:t", "endTime:t", "severityLevel:s",
+                                       "impactLevel:s", "duration_minutes:d"), "feat", O.FEATURES))
+def q_selected_table(spark, sf_dir):
+    """The selection's table (A14): identifying text and time columns beside a
+    selected feature."""
+    feats = features(spark, sf_dir)
+    return feats.select("problemId", *SEL.identity_columns(feats), "duration_minutes")
+
+
+# ------------------------------------------- a wider input of the same rows --
+
+def spread_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The alerts with starts and ends moved by up to 400 days and every third
+    title replaced by one of about 2,000, so that months, month ends, many
+    titles and tied hours occur."""
+    raw = alerts_from_events(spark, sf_dir)
+    eid = F.substring("problemId", 3, 20).cast("long")
+    shift = (eid * 37 % 400) * 86_400_000
+    title = F.when(eid % 3 == 0, F.concat(F.lit("Title "), (eid * 7919 % 2003).cast("string"))).otherwise(F.col("title"))
+    return normalize_timestamps(raw.withColumns({"startTime": F.col("startTime") + shift,
+                                                 "endTime": F.col("endTime") + shift, "title": title}))
+
+
+def _spread(sql: str, varied: bool = False) -> str:
+    """The twin of a query over the wider input (and a varying anomaly score)."""
+    wide = (O.RAW.replace("epoch_us(ts) // 1000", "(epoch_us(ts) // 1000 + (event_id * 37 % 400) * 86400000)")
+            .replace(f"{O._TITLE} AS title", "CASE WHEN event_id % 3 = 0 THEN 'Title ' || CAST(event_id * 7919 % 2003 "
+                     f"AS VARCHAR) ELSE {O._TITLE} END AS title"))
+    assert O.RAW in sql and wide != O.RAW
+    sql = sql.replace(O.RAW, wide)
+    if varied:
+        fixed = f"{O.dbl(C.ANOMALY_FALLBACK)} AS score_anomaly"
+        assert fixed in sql
+        sql = sql.replace(fixed, "(CAST(substr(problemId, 3) AS BIGINT) * 7907 % 1000) / 999.0::DOUBLE AS score_anomaly")
+    return sql
+
+
+def _spread_labelled(spark, sf_dir):
+    """Labels over the wider input; the anomaly score varies with the event."""
+    feats = FE.engineer_features(spread_alerts(spark, sf_dir))[0]
+    anomaly = (F.substring("problemId", 3, 20).cast("long") * 7907 % 1000) / F.lit(999.0)
+    scored = reliable_table(S.final_score(S.method_scores(feats, anomaly)), "spread_scores")
+    return S.label(scored, S.fp_threshold(scored))
+
+
+def _register_spread():
+    def add(name, build, varied, nullable=()):
+        def q(spark, sf_dir):
+            return build(spark, sf_dir)
+        q.__name__ = f"q_{name}_spread"
+        q.__doc__ = f"``{name}`` over the wider input."
+        register(f"{name}_spread", _spread(REGISTRY[name].sql, varied), nullable_ints=nullable)(q)
+
+    for name, cols in (("temporal_features", PID + TEMPORAL), ("calendar_features", PID + CALENDAR),
+                       ("text_features", PID + TEXT), ("hour_frequency", HOUR_FREQ), ("day_frequency", DAY_FREQ)):
+        add(name, lambda s, d, cols=cols: _select(FE.engineer_features(spread_alerts(s, d))[0], cols), False)
+    for name, cols in (("label_fallback", LABEL), ("confidence_fallback", CONF)):
+        add(name, lambda s, d, cols=cols: _select(_spread_labelled(s, d), cols), True)
+    add("pattern_analysis", lambda s, d: R.pattern_analysis(_spread_labelled(s, d)), True, ("most_common_hour",))
+    add("top_titles", lambda s, d: R.top_titles(_spread_labelled(s, d)), True)
+    add("daily_trend", lambda s, d: R.daily_trend(_spread_labelled(s, d)), True)
+
+
+_register_spread()
+
+
+# --------------------------------------------------------------- sources --
+
+@register("duration_passthrough", """
+SELECT 'P-' || CAST(event_id AS VARCHAR) AS "problemId",
+       round(greatest(0, least(coalesce(CASE WHEN event_id % 7 = 0 THEN NULL ELSE value * 20 - 100 END, 5), 1440))::DOUBLE, 9)
+           + 0.0 AS duration_minutes FROM events""")
+def q_duration_passthrough(spark, sf_dir):
+    """Cleaned durations of alerts that carry minutes but no times (D3)."""
+    eid = F.substring("problemId", 3, 20).cast("long")
+    ev = spark.read.parquet(f"{sf_dir}/events.parquet").select(
+        F.concat(F.lit("P-"), F.col("event_id").cast("string")).alias("problemId"), "value")
+    given = F.when(eid % 7 != 0, F.col("value") * 20 - 100)
+    return FE.clean_duration(ev.select("problemId", given.alias("duration_minutes")))
+
+
 def _suite(spark, sf_dir, only=None):
     """The suite at its stated sizes, or the named models of it."""
     return M.model_suite(labelled_forest(spark, sf_dir), only=only)
@@ -733,7 +849,8 @@ def q_linear_attribution(spark, sf_dir):
     return linear_attribution(test, feats, list(lr.coefficients.toArray()), means)
 
 
-@register("model_roundtrip", None)
+@register("model_roundtrip", O.with_(O.ALERTS + ",\n" + O.ordered_index("alerts"), f"""
+  SELECT problemId, true AS equal FROM idx WHERE row_idx >= {O.train_cut()}"""))
 def q_model_roundtrip(spark, sf_dir):
     """Save a classifier (the logistic regression) as a package, load it, score the test rows:
     predictions must equal the in-memory model's."""
@@ -751,9 +868,8 @@ def q_model_roundtrip(spark, sf_dir):
     after = pkg.predict(feats)
     return (before.join(after.withColumnRenamed("prediction", "prediction_loaded")
                         .withColumnRenamed("probability_fp", "probability_loaded"), "problemId")
-            .select("problemId", "prediction", "prediction_loaded", "probability_fp", "probability_loaded",
-                    ((F.col("prediction") == F.col("prediction_loaded"))
-                     & (F.col("probability_fp") == F.col("probability_loaded"))).alias("equal")))
+            .select("problemId", ((F.col("prediction") == F.col("prediction_loaded"))
+                                  & (F.col("probability_fp") == F.col("probability_loaded"))).alias("equal")))
 
 
 def _csv_sql() -> str:
@@ -783,3 +899,20 @@ def q_csv_roundtrip(spark, sf_dir):
      .option("escape", '"').option("quoteAll", True)
      .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path))
     return _select(read_alerts_csv(spark, path), RAW_OUT)
+
+
+@register("csv_union", _csv_sql())
+def q_csv_union(spark, sf_dir):
+    """Two CSV files with different column orders, read as one table."""
+    import uuid
+
+    from alertsieve.session import ensure_checkpoint_dir
+    from alertsieve.sources.alerts import read_alerts_csv
+
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/alertsieve/alerts-csv-{uuid.uuid4().hex}"
+    raw = alerts_from_events(spark, sf_dir)
+    first = F.coalesce(F.col("impactLevel") == "SERVICES", F.lit(False))
+    for rows in (raw.where(first), raw.where(~first).select(*reversed(raw.columns))):
+        (rows.write.mode("append").option("header", True).option("escape", '"').option("quoteAll", True)
+         .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path))
+    return _select(read_alerts_csv(spark, path), RAW_OUT)
