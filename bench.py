@@ -51,6 +51,8 @@ def main() -> None:
 
     spark = local_session(cpus, shuffle_partitions=int(os.environ.get("BENCH_SHUFFLE", "16")),
                           app="alertsieve-bench")
+    # the events file is one row group: ask for as many partitions as there are tasks at once
+    spark.conf.set("alertsieve.scan.partitions", str(2 * int(cpus)) if cpus.isdigit() else "16")
     qs = catalog.queries()
 
     def features_all(s, d):

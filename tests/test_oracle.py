@@ -8,6 +8,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as E
+from alertsieve.plans import catalog
 from conftest import SF_SMALL
 
 TABLES = ["events"]
@@ -36,10 +37,10 @@ def con():
     return c
 
 
-@pytest.mark.parametrize("name", sorted(E.oracle_sql()))
+@pytest.mark.parametrize("name", sorted(catalog.oracle_sql()))
 def test_sql_twin(spark, con, name):
-    sp = E.queries()[name](spark, SF_SMALL).toPandas()
-    dk = con.sql(E.oracle_sql()[name]).df()
+    sp = catalog.queries()[name](spark, SF_SMALL).toPandas()
+    dk = con.sql(catalog.oracle_sql()[name]).df()
     sc, sr = _rows(sp)
     dc, dr = _rows(dk)
     assert sc == dc
@@ -49,6 +50,10 @@ def test_sql_twin(spark, con, name):
 
 def test_every_query_has_a_builder():
     assert set(E.oracle_sql()) <= set(E.queries())
+    assert set(catalog.queries()) <= set(E.queries())
+    without = set(catalog.queries()) - set(catalog.oracle_sql())
+    assert without == {"score_anomaly", "score_alerts", "model_suite", "temporal_cv", "attribution_ranking",
+                       "linear_attribution"}
 
 
 def test_entry_smoke(spark):

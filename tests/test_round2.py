@@ -151,3 +151,30 @@ def test_binary_metrics_reads_its_input_once(spark):
     assert (row.tp, row.fn) == (((y == 1) & (s > 0.5)).sum(), ((y == 1) & (s <= 0.5)).sum())
     assert M.binary_metrics(df.where("label = 1")).first().auc is None
     assert M.binary_metrics(df.where(F.lit(False))).first().f1 == 0.0
+
+
+def test_whole_flow(spark, tmp_path):
+    """All phases in one run; the configuration's sizes reach every phase."""
+    from alertsieve.plans.triage import run_all
+
+    cfg = dataclasses.replace(DEFAULT, model_trees=5, model_rounds=2, forest_depth=3, cv_folds=2, cv_gap_rows=20,
+                              shap_sample=7, shap_permutations=2, shap_background=11, drift_alpha=0.01)
+    out = run_all(catalog.alerts(spark, SF).limit(300), str(tmp_path), cfg, anomaly="fallback")
+    assert out["model_metrics"].count() == 4
+    assert out["cross_validation"].count() == 2
+    n_features = out["attribution"].count()
+    assert n_features == out["drift"].count() > 30
+    for name in ("export_processed", "export_detail", "package/attribution"):
+        assert spark.read.parquet(f"{tmp_path}/{name}").count() > 0
+    package = M.load_model_package(spark, f"{tmp_path}/package")
+    assert package.scoring_model.cfg == cfg
+
+
+def test_cross_validation_gap_in_hours(spark):
+    rows = spark.range(240).select(F.col("id").alias("row_idx"), (F.col("id") % 2).cast("int").alias(M.LABEL),
+                                   F.timestamp_seconds(F.col("id") * 3600).alias("startTime"),
+                                   (F.col("id") % 2 + F.col("id") % 7 / 10).alias("x"))
+    spec = M.model_specs()[0]
+    got = [[(r.train_rows, r.test_rows) for r in M.temporal_cv(rows, 240, ["x"], spec, 2, 5, gap_hours=g).collect()]
+           for g in (None, 24.0)]
+    assert got == [[(75, 80), (155, 80)], [(56, 80), (136, 80)]]
