@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from alertsieve.llm.common import SPACES, ascii_lower, hash128, with_columns
+from alertsieve.llm.common import SPACES, ascii_lower, hash128, paths_table, with_columns
 
 
 def line_key(line: Column) -> Column:
@@ -46,9 +46,10 @@ def dedup_lines(docs: DataFrame, *, min_docs: int = 10, min_chars: int = 1,
              .select("__r1", "__r2", "id", "pos", line_key(F.col("line")).alias("key"))
              .where(F.length("key") >= min_chars)
              .select("__r1", "__r2", "id", "pos", h1.alias("h1"), h2.alias("h2")))
-    frequent = (lines.select("h1", "h2", "id").distinct()
-                .groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"))
-                .where(F.col("n") >= min_docs).select("h1", "h2"))
+    # written, so that the join below deals both its sides anew and AQE may split a hot hash
+    frequent = paths_table(lines.select("h1", "h2", "id").distinct()
+                           .groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"))
+                           .where(F.col("n") >= min_docs).select("h1", "h2"), "frequent-lines")
     dropped = (lines.select("__r1", "__r2", "pos", "h1", "h2").join(frequent, ["h1", "h2"])
                .groupBy("__r1", "__r2").agg(F.collect_set("pos").alias("__drop")))
     # the text travels as its lines, split before the exchange and never again
