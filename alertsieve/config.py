@@ -149,6 +149,8 @@ class TriageConfig:
     reconciliation_hours: tuple = RECONCILIATION_HOURS
     backup_hours: tuple = BACKUP_HOURS
     business_hours: tuple = BUSINESS_HOURS
+    duration_bin_edges: tuple = DURATION_BIN_EDGES
+    duration_bin_labels: tuple = DURATION_BIN_LABELS
     ensemble_weights: dict = field(default_factory=lambda: dict(ENSEMBLE_WEIGHTS))
     fp_threshold_percentile: float = FP_THRESHOLD_PERCENTILE
     # "exact": distributed exact quantile (bounded memory per task);

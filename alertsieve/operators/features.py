@@ -75,9 +75,9 @@ def clean_duration(df: DataFrame) -> DataFrame:
     return df.select(*others, *extra, cleaned.alias("duration_minutes"))
 
 
-def duration_category(col) -> F.Column:
-    """Right-closed bins (0,.5], (.5,1], ... (60,1440]; exactly 0 -> null."""
-    edges, labels = C.DURATION_BIN_EDGES, C.DURATION_BIN_LABELS
+def duration_category(col, cfg: TriageConfig = DEFAULT) -> F.Column:
+    """Right-closed bins (0,.5], (.5,1], ... (60,1440] by default; exactly 0 -> null."""
+    edges, labels = cfg.duration_bin_edges, cfg.duration_bin_labels
     expr = None
     for i, label in enumerate(labels):
         cond = (col > edges[i]) & (col <= edges[i + 1])
@@ -85,14 +85,14 @@ def duration_category(col) -> F.Column:
     return expr
 
 
-def duration_features(df: DataFrame, stats: AlertStats) -> DataFrame:
+def duration_features(df: DataFrame, stats: AlertStats, cfg: TriageConfig = DEFAULT) -> DataFrame:
     """Bins, log1p, sqrt and z-score of the cleaned duration."""
     d = F.col("duration_minutes")
     mean = F.lit(stats.duration_mean).cast("double")
     std = F.lit(stats.duration_std).cast("double")
     return df.select(
         "*",
-        duration_category(d).alias("duration_category"),
+        duration_category(d, cfg).alias("duration_category"),
         F.log1p(d).alias("duration_log"),
         F.sqrt(d).alias("duration_sqrt"),
         ((d - mean) / (std + F.lit(C.ZSCORE_EPS))).alias("duration_zscore"),
@@ -166,7 +166,7 @@ def engineer_features(raw: DataFrame, stats: AlertStats | None = None,
     base = base_features(raw)
     if stats is None:
         stats = fit_alert_stats(base)
-    out = duration_features(base, stats)
+    out = duration_features(base, stats, cfg)
     out = calendar_features(out, cfg)
     out = text_features(out, cfg)
     out = frequency_features(out, stats)

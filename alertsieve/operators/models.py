@@ -53,7 +53,7 @@ def feature_columns(df: DataFrame, compat: bool = False) -> list[str]:
     """Numeric feature columns in table order (M1)."""
     excluded = EXCLUDED - ({"classification_confidence"} if compat else set())
     return [f.name for f in df.schema.fields
-            if isinstance(f.dataType, _NUMERIC) and f.name not in excluded
+            if isinstance(f.dataType, _NUMERIC) and f.name not in excluded and not f.name.startswith("score_")
             and not f.name.startswith("_")]
 
 
@@ -335,6 +335,8 @@ def save_model_package(path: str, model, features: list[str], scaling: RobustSca
     meta = {"model_class": type(model).__name__, "features": list(features), "name": name}
     if scoring_model is not None:
         sm = scoring_model
+        if sm.extra:
+            raise ValueError("a scoring model with further methods cannot be saved: they are code")
         meta["config"] = asdict(sm.cfg)
         spark.createDataFrame(sm.stats.to_rows(), "kind string, key int, value double") \
             .coalesce(1).write.mode("overwrite").parquet(f"{path}/alert_stats")

@@ -26,10 +26,6 @@ def false_positives(df: DataFrame) -> DataFrame:
     return df.where(F.col("is_false_positive") == 1)
 
 
-def genuine(df: DataFrame) -> DataFrame:
-    return df.where(F.col("is_false_positive") == 0)
-
-
 def classification_summary(df: DataFrame) -> DataFrame:
     """Total alerts, false alarms, their share, mean confidence (nulls skipped)."""
     fp = F.col("is_false_positive")

@@ -96,17 +96,24 @@ def anomaly_inputs(df: DataFrame) -> list[str]:
     return [f for f in C.IFOREST_FEATURES if f in df.columns]
 
 
-def method_scores(df: DataFrame, anomaly: Column, cfg: TriageConfig = DEFAULT) -> DataFrame:
-    """Adds score_rules, score_statistical, score_anomaly, score_pattern."""
+def method_scores(df: DataFrame, anomaly: Column, cfg: TriageConfig = DEFAULT, extra: dict | None = None) -> DataFrame:
+    """Adds score_rules, score_statistical, score_anomaly, score_pattern and
+    ``score_<name>`` of each further method in ``extra`` ({name: function of
+    the feature table giving a score column in [0, 1]})."""
     return df.select("*", score_rules(df, cfg).alias("score_rules"),
                      score_statistical(df).alias("score_statistical"),
                      anomaly.alias("score_anomaly"),
-                     score_pattern(df).alias("score_pattern"))
+                     score_pattern(df).alias("score_pattern"),
+                     *[make(df).cast("double").alias(f"score_{name}") for name, make in (extra or {}).items()])
 
 
-def final_score(df: DataFrame, cfg: TriageConfig = DEFAULT) -> DataFrame:
+def score_columns(extra=()) -> list[str]:
+    return [*SCORE_COLUMNS, *(f"score_{name}" for name in extra or ())]
+
+
+def final_score(df: DataFrame, cfg: TriageConfig = DEFAULT, extra=()) -> DataFrame:
     """Adds fp_score_final (the ensemble, rounded to 12 places)."""
-    scores = {m: F.col(f"score_{m}") for m in METHODS}
+    scores = {m: F.col(f"score_{m}") for m in (*METHODS, *(extra or ()))}
     return df.select("*", F.round(ensemble(scores, cfg.ensemble_weights), SCORE_DIGITS)
                      .alias("fp_score_final"))
 
@@ -119,13 +126,13 @@ def fp_threshold(df: DataFrame, cfg: TriageConfig = DEFAULT, col: str = "fp_scor
     return exact_quantile(df, col, q)
 
 
-def label(df: DataFrame, threshold: float | None) -> DataFrame:
+def label(df: DataFrame, threshold: float | None, extra=()) -> DataFrame:
     """is_false_positive (score >= threshold; null -> 0) and the confidence."""
     t = F.lit(threshold).cast("double")
     return df.select(
         "*",
         flag(F.col("fp_score_final") >= t).alias("is_false_positive"),
-        confidence([F.col(c) for c in SCORE_COLUMNS]).alias("classification_confidence"),
+        confidence([F.col(c) for c in score_columns(extra)]).alias("classification_confidence"),
     )
 
 
@@ -139,6 +146,7 @@ class ScoringModel:
     anomaly_max: float | None
     threshold: float | None
     cfg: TriageConfig = DEFAULT
+    extra: dict | None = None  # further methods: code, so not part of a saved package
 
     def anomaly_column(self, df: DataFrame) -> Column:
         if self.forest is None:
@@ -149,8 +157,8 @@ class ScoringModel:
     def transform(self, raw: DataFrame) -> DataFrame:
         """Features, method scores, final score, label and confidence."""
         feats, _ = engineer_features(raw, self.stats, self.cfg)
-        scored = final_score(method_scores(feats, self.anomaly_column(feats), self.cfg), self.cfg)
-        return label(scored, self.threshold)
+        scored = final_score(method_scores(feats, self.anomaly_column(feats), self.cfg, self.extra), self.cfg, self.extra)
+        return label(scored, self.threshold, self.extra)
 
 
 def normalise_anomaly(raw: Column, lo: float | None, hi: float | None) -> Column:
@@ -165,10 +173,11 @@ def normalise_anomaly(raw: Column, lo: float | None, hi: float | None) -> Column
 
 
 def fit_scoring(raw: DataFrame, cfg: TriageConfig = DEFAULT, anomaly: str = "iforest",
-                materialize=reliable_table) -> tuple[ScoringModel, DataFrame]:
+                materialize=reliable_table, extra: dict | None = None) -> tuple[ScoringModel, DataFrame]:
     """Fit the scoring state on ``raw`` and return it with the scored batch.
 
-    ``anomaly="iforest"`` fits the forest; ``"fallback"`` uses the constant
+    ``extra`` adds methods (see :func:`method_scores`); a method without a
+    weight in ``cfg.ensemble_weights`` weighs .25.  ``anomaly="iforest"`` fits the forest; ``"fallback"`` uses the constant
     .5 anomaly score.  The scored table is written once (``materialize``: a
     reliable table in the checkpoint folder; None keeps it lazy), so the
     min/max and quantile passes read one stored column instead of re-reading
@@ -187,12 +196,12 @@ def fit_scoring(raw: DataFrame, cfg: TriageConfig = DEFAULT, anomaly: str = "ifo
         mm = with_raw.agg(F.min("_iso").alias("lo"), F.max("_iso").alias("hi")).first()
         lo, hi = mm["lo"], mm["hi"]
         anomaly_col = normalise_anomaly(F.col("_iso"), lo, hi)
-        scored = final_score(method_scores(with_raw, anomaly_col, cfg), cfg).drop("_iso")
+        scored = final_score(method_scores(with_raw, anomaly_col, cfg, extra), cfg, extra).drop("_iso")
     else:
-        scored = final_score(method_scores(feats, F.lit(C.ANOMALY_FALLBACK), cfg), cfg)
+        scored = final_score(method_scores(feats, F.lit(C.ANOMALY_FALLBACK), cfg, extra), cfg, extra)
         if materialize is not None:
             # threshold passes then read one Parquet column, not the source
             scored = materialize(scored, "scores")
     threshold = fp_threshold(scored, cfg)
-    model = ScoringModel(stats, forest, lo, hi, threshold, cfg)
-    return model, label(scored, threshold)
+    model = ScoringModel(stats, forest, lo, hi, threshold, cfg, extra)
+    return model, label(scored, threshold, extra)

@@ -117,9 +117,3 @@ def duration_stats(df: DataFrame) -> DataFrame:
     d = F.col("duration_minutes")
     return df.agg(F.count(F.lit(1)).alias("n_rows"), F.avg(d).alias("duration_mean"),
                   F.stddev_samp(d).alias("duration_std"))
-
-
-def value_counts(df: DataFrame, col: str, count_name: str = "count") -> DataFrame:
-    """Non-null counts per value (map-side partial aggregation)."""
-    return (df.where(F.col(col).isNotNull()).groupBy(col)
-            .agg(F.count(F.lit(1)).alias(count_name)))

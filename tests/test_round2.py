@@ -178,3 +178,17 @@ def test_cross_validation_gap_in_hours(spark):
     got = [[(r.train_rows, r.test_rows) for r in M.temporal_cv(rows, 240, ["x"], spec, 2, 5, gap_hours=g).collect()]
            for g in (None, 24.0)]
     assert got == [[(75, 80), (155, 80)], [(56, 80), (136, 80)]]
+
+
+def test_further_methods_and_bins(spark):
+    cfg = dataclasses.replace(DEFAULT, duration_bin_edges=(0.0, 10.0, 1440.0), duration_bin_labels=("low", "high"))
+    extra = {"short": lambda df: (F.col("duration_minutes") < 1).cast("double")}
+    model, labelled = S.fit_scoring(catalog.alerts(spark, SF), cfg, anomaly="fallback", extra=extra)
+    rows = labelled.where("score_statistical is not null").collect()
+    assert {r.duration_category for r in rows} <= {"low", "high", None}
+    for r in rows[:200]:
+        w = cfg.ensemble_weights
+        want = sum(w[m] * r[f"score_{m}"] for m in S.METHODS) + 0.25 * r.score_short
+        assert r.fp_score_final == pytest.approx(min(1.0, max(0.0, want)))
+    again = model.transform(catalog.alerts(spark, SF)).where("score_statistical is not null")
+    assert {r.problemId: r.is_false_positive for r in again.collect()} == {r.problemId: r.is_false_positive for r in rows}
