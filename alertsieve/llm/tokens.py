@@ -60,38 +60,42 @@ class Encoder:
             return [np.asarray(e.ids, dtype=self.dtype).tobytes()
                     for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
         cut = [_CUT.split(t) if _SPACE_RUN.search(t) else t.split(" ") for t in texts]
-        known = self.spaced
-        fresh: dict[str, bytes] = {}
+        heads = self._library([parts[0] for parts in cut])
+        # one look into the (large) cache for each segment; only misses are looked up again
+        known, fresh, found = self.spaced, set(), []
         for parts in cut:
-            for p in parts[1:]:
-                if p not in known and p not in fresh:
-                    fresh[p] = b""
-        if fresh:
-            # a final comma or full stop behind letters is a piece of its own: look the word up without it
-            words, tails = {}, []
-            for p in fresh:
-                w = p[:-1]
-                if p[-1:] in (",", ".") and w.isalpha():
-                    tails.append((p, w, p[-1]))
-                    if w not in known:
-                        words[" " + w] = w
-                else:
-                    words[" " + p] = p
-            if tails:
-                words[","], words["."] = ",", "."
-            got = dict(zip(words.values(), self._library(list(words))))
-            marks = {m: got.pop(m) for m in (",", ".") if tails}
-            fresh.update((w, ids) for w, ids in got.items())
-            for p, w, mark in tails:
-                fresh[p] = (fresh[w] if w in fresh else known[w]) + marks[mark]
-            room = self.limit - len(known)
-            if room > 0:
-                known.update(fresh if len(fresh) <= room else list(fresh.items())[:room])
-        heads = self._library([p[0] for p in cut])
+            del parts[0]
+            ids = list(map(known.get, parts))
+            if None in ids:
+                fresh.update([p for p, known_ids in zip(parts, ids) if known_ids is None])
+            found.append(ids)
+        self._learn(fresh)
+        out = []
+        for head, parts, ids in zip(heads, cut, found):
+            if None in ids:
+                ids = [known[p] if known_ids is None else known_ids for p, known_ids in zip(parts, ids)]
+            out.append(head + b"".join(ids))
+        while len(known) > self.limit:  # the segments learnt last make room
+            known.popitem()
+        return out
+
+    def _learn(self, fresh: set[str]) -> None:
+        """Put the ids of unknown segments into the cache."""
         if not fresh:
-            return [head + b"".join(map(known.__getitem__, parts[1:])) for head, parts in zip(heads, cut)]
-        return [head + b"".join([known[p] if p in known else fresh[p] for p in parts[1:]])
-                for head, parts in zip(heads, cut)]
+            return
+        known, words, tails = self.spaced, {}, []
+        for p in fresh:
+            w = p[:-1]
+            # a final comma or full stop behind letters is a piece of its own: look the word up without it
+            if p[-1:] in (",", ".") and w.isalpha():
+                tails.append(p)
+                if w not in known:
+                    words[w] = " " + w
+            else:
+                words[p] = " " + p
+        known.update(zip(words, self._library(list(words.values()))))
+        marks = dict(zip(",.", self._library([",", "."])))
+        known.update((p, known[p[:-1]] + marks[p[-1]]) for p in tails)
 
 
 def worker_encoder(definition: str) -> Encoder:
