@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from alertsieve.llm.common import ascii_lower, hash128, with_columns
+from alertsieve.llm.common import ascii_lower, hash128, paths_table, with_columns
 
 PREFIX_HEX = 8  # 32 bits of the digest travel through the join
 
@@ -90,7 +90,8 @@ def filter_urls(pages: DataFrame, rules: DataFrame, *, url_col: str = "url",
             .where("e_digest = digest AND e_host = r_host AND e_path = r_path"))
     best = F.max(F.struct((F.length("r_host") + F.length("r_path")).alias("n"), F.length("r_host").alias("h"),
                           F.concat("r_host", "r_path").alias("rule"), "allow"))
-    verdicts = hits.groupBy("__u1", "__u2").agg(best.alias("__best"))
+    # written, so that the join deals both its sides anew and AQE may split a hot URL's pages
+    verdicts = paths_table(hits.groupBy("__u1", "__u2").agg(best.alias("__best")), "url-verdicts")
     joined = keyed.join(verdicts, ["__u1", "__u2"], "left").drop("__u1", "__u2")
     out = with_columns(joined, host=host, path=path, rule=F.col("__best.rule"),
                        verdict=F.when(F.col("__best.rule").isNull(), F.lit(default))
