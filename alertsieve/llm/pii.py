@@ -3,20 +3,23 @@
 Base rules find well-formed e-mail addresses, IP addresses, payment cards
 (Luhn) and international phone numbers; their spans always stay.  Beside them,
 high-recall generators propose overlapping spans of each kind (other
-separators, missing prefixes, bracketed "at", longer number chains).  Boosted
-trees score every proposal from its format and context; they learn from
-proposals that the base rules settle (a proposal that shares its place with a
-base span of its kind is one, a proposal on a span of another kind or with a
-failing check is none).  The score cutoff is calibrated on held-out settled
-proposals with an exact binomial bound on false alarms; unsettled proposals
-above it are added, the best of each cluster of overlapping ones.
+separators, missing prefixes, bracketed "at"): from every digit group, or local
+part of an address, every number of further groups that the kind allows, so a
+neighbouring number hides none.  Boosted trees score every proposal from its
+format and context; they learn from proposals that the base rules settle (a
+proposal of the digits or the text of a base span of its kind is one, any other
+that overlaps a base span or fails a check is none).  The score cutoff is
+calibrated on held-out settled proposals with an exact binomial bound on false
+alarms; unsettled proposals above it are added, the best first, each unless it
+overlaps one already added.
 
 Everything is DataFrame functions and Spark ML trees.  Offsets are code
 points: the lengths of what lies between matches, summed in a window over the
 matches of one document.
 
 Scale: a cheap test per kind keeps most texts away from the patterns; all
-patterns run in time linear in the text.  Only narrow match rows are shuffled.
+patterns run in time linear in the text.  Only narrow match rows are shuffled;
+a group starts at most eight proposals of a kind.
 The trees are fitted on at most ``fit_rows`` settled proposals, chosen by hash.
 """
 
@@ -43,17 +46,42 @@ BASE = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 BASE_TEST = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9](?:[\x20-]?[0-9]){15}", "phone": r"\+[0-9]"}
-#: Generators: overlapping, generous forms.
-GENERATORS = {
-    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+\x20?(?:@|[\[(]\x20?at\x20?[\])])\x20?[A-Za-z0-9-]{1,63}+"
-             r"(?:\x20?(?:\.|[\[(]\x20?dot\x20?[\])])\x20?[A-Za-z0-9-]{1,63}+){1,8}",
-    "ip": r"(?<![0-9A-Za-z.])[0-9]{1,6}(?:\.[0-9]{1,6}){3,7}(?![0-9A-Za-z])",
-    "card": r"(?<![0-9A-Za-z])[0-9]{3,19}(?:[\x20./-]{1,2}[0-9]{2,6}){0,5}(?![0-9A-Za-z])",
-    "phone": r"(?<![0-9A-Za-z.])\+?(?:[0-9]{7,15}|\(?[0-9]{1,4}\)?(?:(?:[\x20./-]{1,2}|(?<=\)))\(?[0-9]{2,4}\)?){2,5})"
-             r"(?![0-9A-Za-z])",
+_AT = r"\x20?(?:@|[\[(]\x20?at\x20?[\])])\x20?[A-Za-z0-9-]{1,63}+"
+_DOT = r"(?:\x20?(?:\.|[\[(]\x20?dot\x20?[\])])\x20?[A-Za-z0-9-]{1,63}+)"
+_PHONE = r"(?:(?:[\x20./-]{1,2}|(?<=\)))\(?[0-9]{2,4}\)?)"
+_ALONE = r"(?![0-9A-Za-z])"
+#: Generators: overlapping, generous forms.  Of each kind: what may not stand
+#: before, the first piece, the further pieces and how few and many of them
+#: (or a form of its own without any), what may not follow.
+FORMS = {
+    "email": (r"(?<![A-Za-z0-9._%+-])", r"[A-Za-z0-9._%+-]{1,64}+", _AT, _DOT, 1, 8, None, ""),
+    "ip": (r"(?<![0-9A-Za-z])", r"[0-9]{1,6}", "", r"(?:\.[0-9]{1,6})", 3, 3, None, _ALONE),
+    "card": (r"(?<![0-9A-Za-z])", r"[0-9]{3,19}", "", r"(?:[\x20./-]{1,2}[0-9]{2,6})", 0, 5, None, _ALONE),
+    "phone": (r"(?<![0-9A-Za-z])", r"\+?\(?[0-9]{1,4}", r"\)?", _PHONE, 2, 5, r"\+?[0-9]{7,15}", _ALONE),
 }
+AFTER = 8
+#: Digits that a card or phone number may have.
+DIGITS = {"card": (13, 19), "phone": (7, 15)}
+#: Any code point; the last one, written out, has Java count code points when it looks back.
+_ANY = "[\\x00-\U0010FFFF]"
+
+
+def _generator(kind: str) -> str:
+    """Matches the first piece of a proposal.  Group 1 is the text from there
+    to the end of its longest form and of the context behind it, group 2 the
+    context before."""
+    before, first, joint, more, least, most, bare, end = FORMS[kind]
+    form = f"{first}{joint}{more}{{{least},{most}}}"
+    form = f"(?:{bare}{end}|{form})" if bare else form
+    digits = f"(?=(?:[^0-9A-Za-z]{{0,4}}[0-9]){{{DIGITS[kind][0]}}})" if kind in DIGITS else ""
+    taken = first if kind == "email" else r"\+?\(?[0-9]+"
+    context = rf"(?<=(\A{_ANY}{{0,{CONTEXT - 1}}}|{_ANY}{{{CONTEXT}}}))"
+    return f"{before}{digits}(?=({form}{_ANY}{{0,{AFTER}}})){context}{taken}"
+
+
+GENERATORS = {k: _generator(k) for k in KINDS}
 GENERATOR_TEST = {"email": r"@|[\[(]\x20?at\x20?[\])]", "ip": r"[0-9]\.[0-9]",
-                  "card": r"[0-9](?:[^0-9A-Za-z]{0,2}[0-9]){11}", "phone": r"[0-9](?:[^0-9A-Za-z]{0,3}[0-9]){6}"}
+                  "card": r"[0-9](?:[^0-9A-Za-z]{0,2}[0-9]){11}", "phone": r"[0-9](?:[^0-9A-Za-z]{0,4}[0-9]){6}"}
 CUES = {"email": r"e-?mail|contact|write", "ip": r"\bip\b|address|server|host", "card": r"card|visa|credit|pay",
         "phone": r"tel|phone|call|mobile|fax"}
 
@@ -66,30 +94,44 @@ def _matches(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
     def cut(kind, proposed, pattern, test):
         test = text.contains("@") if test == "@" else text.rlike(test)
+        group = lambda i: F.regexp_extract_all(text, F.lit(pattern), F.lit(i))
+        none = F.array().cast("array<string>")
         return F.when(test, F.struct(F.lit(kind).alias("kind"), F.lit(proposed).alias("proposed"),
-                                     F.split(text, pattern, -1).alias("pieces"),
-                                     F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("hits")))
+                                     F.transform(F.split(text, pattern, -1), F.length).alias("gaps"),
+                                     group(0).alias("hits"), (group(1) if proposed else none).alias("seen"),
+                                     (group(2) if proposed else none).alias("before")))
 
     cuts = [cut(k, False, BASE[k], BASE_TEST[k]) for k in KINDS]
     cuts += [cut(k, True, GENERATORS[k], GENERATOR_TEST[k]) for k in KINDS]
-    # a match lies between the pieces of its number and of the next
-    pieces = F.transform("pieces", lambda p: F.struct(F.length(p).alias("gap"), F.right(p, F.lit(CONTEXT)).alias("before"),
-                                                      F.left(p, F.lit(8)).alias("after")))
-    n = F.size("hits")
-    zipped = F.arrays_zip(F.slice("pieces", F.lit(1), n).alias("left"), F.col("hits").alias("match"),
-                          F.slice("pieces", F.lit(2), n).alias("right"))
+    # a match lies between the gap of its number and the next
+    zipped = F.arrays_zip(F.slice("gaps", F.lit(1), F.size("hits")).alias("gap"), F.col("hits").alias("match"),
+                          "seen", "before")
     rows = (docs.where(text.contains("@") | text.rlike(r"[0-9]|[\[(]\x20?at\x20?[\])]"))
             .select(k1.alias("k1"), k2.alias("k2"), F.explode(F.array(*cuts)).alias("c"))
-            .where("size(c.hits) > 0").select("k1", "k2", "c.*").withColumn("pieces", pieces)
+            .where("size(c.hits) > 0").select("k1", "k2", "c.*")
             .select("k1", "k2", "kind", "proposed", F.posexplode(zipped).alias("i", "m"))
-            .select("k1", "k2", "kind", "proposed", "i", F.col("m.left.gap").alias("gap"),
-                    F.col("m.left.before").alias("before"), F.col("m.match").alias("match"),
-                    F.col("m.right.after").alias("after")).distinct())
+            .select("k1", "k2", "kind", "proposed", "i", "m.*").distinct())
     order = (Window.partitionBy("k1", "k2", "kind", "proposed").orderBy("i")
              .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     size = F.length("match")
-    return (rows.withColumn("end", F.sum(F.col("gap") + size).over(order))
-            .withColumn("start", F.col("end") - size).drop("gap", "i"))
+    placed = rows.withColumn("start", F.sum(F.col("gap") + size).over(order) - size)
+    forms = F.when(~F.col("proposed"), F.array("match"))
+    for kind in KINDS:
+        forms = forms.when(F.col("kind") == kind, _forms(kind, F.col("seen")))
+    m = F.col("match")
+    return (placed.withColumn("match", F.explode(forms)).withColumn("end", F.col("start") + F.length(m))
+            .select("k1", "k2", "kind", "proposed", "start", "end", "match", "before",
+                    F.substring(F.col("seen"), F.length(m) + 1, F.lit(AFTER)).alias("after")))
+
+
+def _forms(kind: str, seen: Column) -> Column:
+    """The proposals of a kind that begin where ``seen`` does, an array."""
+    _, first, joint, more, least, most, bare, end = FORMS[kind]
+    patterns = [f"^{first}{joint}{more}{{{n}}}{end}" for n in range(least, most + 1)] + ([f"^{bare}{end}"] if bare else [])
+    found = F.array(*[F.regexp_extract(seen, p, 0) for p in patterns])
+    low, high = DIGITS.get(kind, (0, None))
+    fits = lambda m: (m != "") & (F.length(_digits(m)).between(low, high) if high else F.lit(True))
+    return F.filter(found, fits)
 
 
 def _digits(col: Column) -> Column:
@@ -157,19 +199,45 @@ def _clusters(spans: DataFrame) -> DataFrame:
             .withColumn("cluster", F.sum("__new").over(order.rowsBetween(Window.unboundedPreceding, 0))).drop("__new"))
 
 
+def _best(spans: DataFrame) -> DataFrame:
+    """Of overlapping spans the best: by score and length, each stays unless
+    it overlaps a better one that stays."""
+    rank = F.struct("score", (F.col("end") - F.col("start")).alias("size"), (-F.col("start")).alias("early"),
+                    "kind", "start", "end")
+    kind = "array<struct<score:double,size:bigint,early:bigint,kind:string,start:bigint,end:bigint>>"
+
+    def keep(stay, x):
+        hit = F.exists(stay, lambda y: (y["start"] < x["end"]) & (x["start"] < y["end"]))
+        return F.when(hit, stay).otherwise(F.concat(stay, F.array(x)))
+
+    ranked = F.sort_array(F.collect_list(rank).cast(kind), asc=False)
+    return (_clusters(spans.withColumn("proposed", F.lit(True))).groupBy("k1", "k2", "cluster").agg(ranked.alias("all"))
+            .select("k1", "k2", F.explode(F.aggregate("all", F.array().cast(kind), keep)).alias("b"))
+            .select("k1", "k2", "b.kind", "b.start", "b.end"))
+
+
 def _settled(spans: DataFrame) -> DataFrame:
     """Proposals with their features and ``label``: 1, 0, or null (unsettled)."""
-    base = F.col("good") & ~F.col("proposed")
-    group = Window.partitionBy("k1", "k2", "cluster")
-    kinds = F.collect_set(F.when(base, F.col("kind"))).over(group)
-    seen = _clusters(spans.where("good or proposed")).withColumn("__kinds", kinds).where("proposed")
+    # what a proposal says: the digits of a number, an address as it is
+    said = F.when(F.col("kind") == "email", F.col("match")).otherwise(_digits(F.col("match")))
+    # base spans of a kind do not overlap: the last that starts before a proposal's end reaches farthest
+    place = F.when(F.col("proposed"), F.col("end")).otherwise(F.col("start"))
+    order = (Window.partitionBy("k1", "k2").orderBy(place, F.desc("proposed"))
+             .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    last = [F.max(F.when(~F.col("proposed") & (F.col("kind") == k), F.struct("start", "end", "said"))).over(order)
+            .alias(f"last_{k}") for k in KINDS]
+    seen = spans.where("good or proposed").withColumn("said", said).select("*", *last).where("proposed")
+    meets = {k: F.coalesce(F.col(f"last_{k}.end") > F.col("start"), F.lit(False)) for k in KINDS}
+    same = F.lit(False)
+    for k in KINDS:
+        same = same | ((F.col("kind") == k) & meets[k] & (F.col(f"last_{k}.said") == F.col("said")))
+    overlaps = meets["email"] | meets["ip"] | meets["card"] | meets["phone"]
     m, kind = F.col("match"), F.col("kind")
     n = F.length(_digits(m))
     breaks = (((kind == "ip") & m.rlike(r"^[0-9.]+$") & ~(m.rlike(r"^[0-9]+(\.[0-9]+){3}$") & _ip_parts_ok(m)))
               | ((kind == "card") & ~F.when(n.between(13, 19), luhn(_digits(m))).otherwise(F.lit(False)))
               | ((kind == "phone") & ~n.between(7, 15)))
-    label = (F.when(F.array_contains("__kinds", kind), 1.0).when(F.size("__kinds") > 0, 0.0)
-             .when(breaks, 0.0))
+    label = F.when(same, 1.0).when(overlaps, 0.0).when(breaks, 0.0)
     return seen.withColumn("label", label).select(
         "k1", "k2", "kind", "start", "end", "match", "label", *[c.alias(f"f_{n}") for n, c in _features().items()])
 
@@ -183,7 +251,7 @@ def _additions(proposals: DataFrame, *, fit_rows: int, limit: float, delta: floa
 
     names = [c for c in proposals.columns if c.startswith("f_")]
     vector = VectorAssembler(inputCols=names, outputCol="features")
-    pick = F.xxhash64(F.lit(seed), "k1", "k2", "kind", "start")
+    pick = F.xxhash64(F.lit(seed), "k1", "k2", "kind", "start", "end")
     bound = Window.partitionBy("label").orderBy("pick")
     # at most fit_rows of either label, by hash; the window keeps only its first rows per task
     chosen = paths_table(proposals.where("label is not null").withColumn("pick", pick)
@@ -227,11 +295,7 @@ def find_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     added = _additions(proposals, fit_rows=fit_rows, limit=limit, delta=delta, seed=seed)
     if added is None:
         return base
-    # unsettled proposals overlap no base span; of overlapping ones the best stays
-    order = F.struct("score", F.col("end") - F.col("start"), -F.col("start"), "kind", "start", "end")
-    best = (_clusters(added.withColumn("proposed", F.lit(True))).groupBy("k1", "k2", "cluster")
-            .agg(F.max(order).alias("b")).select("k1", "k2", "b.kind", "b.start", "b.end", F.lit(False).alias("base")))
-    return base.unionByName(best)
+    return base.unionByName(_best(added).withColumn("base", F.lit(False)))
 
 
 def document_spans(docs: DataFrame, **options) -> DataFrame:
