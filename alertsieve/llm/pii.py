@@ -20,7 +20,8 @@ matches of one document.
 Scale: a cheap test per kind keeps most texts away from the patterns; all
 patterns run in time linear in the text.  Only narrow match rows are shuffled;
 a group starts at most eight proposals of a kind.
-The trees are fitted on at most ``fit_rows`` settled proposals, chosen by hash.
+The trees are fitted on about ``fit_rows`` settled proposals at most, chosen by
+hash; the cutoff counts the false alarms among all held-out ones.
 """
 
 from __future__ import annotations
@@ -251,21 +252,23 @@ def _additions(proposals: DataFrame, *, fit_rows: int, limit: float, delta: floa
 
     names = [c for c in proposals.columns if c.startswith("f_")]
     vector = VectorAssembler(inputCols=names, outputCol="features")
-    pick = F.xxhash64(F.lit(seed), "k1", "k2", "kind", "start", "end")
-    bound = Window.partitionBy("label").orderBy("pick")
-    # at most fit_rows of either label, by hash; the window keeps only its first rows per task
-    chosen = paths_table(proposals.where("label is not null").withColumn("pick", pick)
-                         .withColumn("r", F.row_number().over(bound)).where(F.col("r") <= fit_rows // 2)
-                         .withColumn("held", F.pmod("pick", F.lit(3)) == 0), "pii-fit")
-    sizes = {(r.label, r.held): r["count"] for r in chosen.groupBy("label", "held").count().collect()}
+    # a document is fitted on or held out as a whole: its proposals are not independent
+    settled = proposals.where("label is not null").withColumn(
+        "held", F.pmod(F.xxhash64(F.lit(seed), "k1", "k2"), F.lit(3)) == 0)
+    sizes = {(r.label, r.held): r["count"] for r in settled.groupBy("label", "held").count().collect()}
     if min(sizes.get((x, h), 0) for x in (0.0, 1.0) for h in (True, False)) == 0:
         return None
-    rows = vector.transform(chosen).select("features", "label", "held")
+    # the trees see about fit_rows // 2 of either label, by hash; the cutoff all that is held out
+    pick = F.pmod(F.xxhash64(F.lit(seed + 1), "k1", "k2", "kind", "start", "end"), F.lit(1 << 40))
+    share = {x: min(1.0, (fit_rows // 2) / sizes[(x, False)]) for x in (0.0, 1.0)}
+    bound = F.when(F.col("label") == 1, int(share[1.0] * (1 << 40))).otherwise(int(share[0.0] * (1 << 40)))
+    chosen = paths_table(settled.where(~F.col("held") & (pick < bound)), "pii-fit")
     model = GBTClassifier(maxIter=12, maxDepth=3, stepSize=0.3, seed=seed).fit(
-        rows.where("not held").coalesce(2).cache())
+        vector.transform(chosen).select("features", "label").coalesce(2).cache())
     score = vector_to_array("probability")[1]
     steps = [round(0.5 + 0.05 * i, 2) for i in range(10)]  # lenient to strict
-    alarms = model.transform(rows.where("held and label = 0")).select(score.alias("s")).agg(
+    held = vector.transform(settled.where("held and label = 0"))
+    alarms = model.transform(held).select(score.alias("s")).agg(
         F.count(F.lit(1)).alias("n"), *[F.count(F.when(F.col("s") >= t, 1)).alias(f"c{i}")
                                         for i, t in enumerate(steps)]).first()
     cutoff = None

@@ -58,3 +58,16 @@ def test_of_overlapping_spans_the_best_stay(spark):
                                   "k1 long, k2 long, kind string, start long, end long, score double")
     got = {(r.k2, r.start, r.end) for r in pii._best(spans).collect()}
     assert got == {(1, 8, 18), (1, 28, 33), (2, 0, 3)}
+
+
+def test_the_cutoff_counts_all_held_out_proposals(spark, monkeypatch):
+    """The sample for the trees does not bound the rows of the calibration."""
+    seen = []
+    monkeypatch.setattr(pii, "upper_bound", lambda k, n, delta: seen.append(n) or 1.0)
+    schema = "k1 long, k2 long, kind string, start long, end long, label double, f_x double"
+    proposals = spark.createDataFrame([(i, i, "ip", 0, 7, float(i % 4 == 0), float(i % 4 == 0)) for i in range(4000)],
+                                      schema)
+    assert pii._additions(proposals, fit_rows=200, limit=0.02, delta=0.05, seed=5) is None
+    held = F.pmod(F.xxhash64(F.lit(5), "k1", "k2"), F.lit(3)) == 0
+    assert set(seen) == {proposals.where(held & (F.col("label") == 0)).count()}
+    assert seen[0] > 900
