@@ -10,7 +10,11 @@ first failure ends a rule's sequence (fixed-sequence testing), and the error
 probability is divided by the number of rules and strata (Bonferroni), so with
 probability ``1 - delta`` no stratum loses more than ``max_false_rejection``
 of its good documents to the method.  A stratum with too few labelled good
-documents to certify anything keeps all that the base rules keep.
+documents for a share of the rate to each rule tests all rules together
+instead: along one fixed path of cutoff vectors, the documents that any rule
+would reject are counted against the whole rate.  Which way a stratum takes
+depends on its number of labels alone, so the guarantee is the same.  A stratum
+with too few of them for that too keeps all that the base rules keep.
 
 Scale: statistics are computed where the texts are read; only narrow rows are
 written, joined with the labels and counted.  The driver gets one row of
@@ -20,6 +24,8 @@ counts per certifiable stratum.
 from __future__ import annotations
 
 from collections import Counter
+from functools import reduce
+from operator import or_
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -126,6 +132,27 @@ def choose_cutoffs(counts: dict, n_good: int, n_strata: int, *, limit: float = M
     return found
 
 
+def joint_path(grid: dict = GRID) -> list[dict]:
+    """Cutoffs of all rules together, lenient to strict: each rule goes through
+    its grid in as many steps as the longest has."""
+    steps = max(map(len, grid.values()))
+    return [{r: c[i * (len(c) - 1) // max(1, steps - 1)] for r, c in grid.items()} for i in range(steps)]
+
+
+def choose_joint(counts: list, n_good: int, n_strata: int, *, limit: float = MAX_FALSE_REJECTION,
+                 delta: float = DELTA, grid: dict = GRID) -> dict:
+    """Strictest certified step of the joint path in one stratum, or ``{}``.
+
+    ``counts[i]``: good documents that any cutoff of the i-th step would reject.
+    """
+    found = {}
+    for cutoffs, k in zip(joint_path(grid), counts):
+        if upper_bound(int(k), n_good, delta / n_strata) > limit:
+            break
+        found = cutoffs
+    return found
+
+
 def calibrate(counted: DataFrame, labels: DataFrame, *, limit: float = MAX_FALSE_REJECTION, delta: float = DELTA,
               grid: dict = GRID) -> list[tuple]:
     """Cutoffs ``(stratum, one value a rule or None)`` from all labelled rows.
@@ -138,13 +165,20 @@ def calibrate(counted: DataFrame, labels: DataFrame, *, limit: float = MAX_FALSE
             .join(labels.where("quality = 1").select(F.col("doc_id").cast("long")), "doc_id"))
     sums = [F.array(*[F.count(F.when(rules[r] > F.lit(float(c)), 1)) for c in cutoffs]).alias(r)
             for r, cutoffs in grid.items()]
-    per = good.groupBy("stratum").agg(F.count(F.lit(1)).alias("n"), *sums)
+    steps = [F.count(F.when(reduce(or_, [rules[r] > F.lit(float(c)) for r, c in step.items()]), 1))
+             for step in joint_path(grid)]
+    per = good.groupBy("stratum").agg(F.count(F.lit(1)).alias("n"), *sums, F.array(*steps).alias("__joint"))
     # one row a stratum that can certify something at all
-    least = rows_needed(limit / len(grid), delta / len(grid))
-    rows = per.where(F.col("n") >= least).collect()
+    rows = per.where(F.col("n") >= rows_needed(limit, delta)).collect()
+    while few := [r for r in rows if r["n"] < rows_needed(limit, delta / len(rows))]:
+        rows = [r for r in rows if r not in few]
     out = []
     for row in sorted(rows, key=lambda r: r["stratum"]):
-        cut = choose_cutoffs({r: row[r] for r in grid}, row["n"], len(rows), limit=limit, delta=delta, grid=grid)
+        options = {"limit": limit, "delta": delta, "grid": grid}
+        if row["n"] >= rows_needed(limit / len(grid), delta / (len(grid) * len(rows))):
+            cut = choose_cutoffs({r: row[r] for r in grid}, row["n"], len(rows), **options)
+        else:
+            cut = choose_joint(row["__joint"], row["n"], len(rows), **options)
         out.append((row["stratum"], *[cut.get(r) for r in grid]))
     return out
 
@@ -162,7 +196,7 @@ def judge(docs: DataFrame, labels: DataFrame, *, limit: float = MAX_FALSE_REJECT
     counted = paths_table(count_texts(docs, id_col=id_col, text_col=text_col, stratum_col=stratum_col), "quality")
     cutoffs = calibrate(counted, labels, limit=limit, delta=delta)
     table = spark.createDataFrame(cutoffs, "stratum string, " + ", ".join(f"`max_{r}` double" for r in GRID))
-    # a certifiable stratum has over a thousand labelled documents; send the table along only while it is small
+    # a certifiable stratum has over a hundred labelled documents; send the table along only while it is small
     table = F.broadcast(table) if len(cutoffs) <= 10_000 else table
     passed = F.lit(True)
     for rule, value in statistics().items():

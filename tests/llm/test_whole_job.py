@@ -2,10 +2,9 @@
 
 import random
 
-import pytest
 from pyspark.sql import functions as F
 
-from alertsieve.llm import pii
+from alertsieve.llm import pii, quality_rules
 
 
 # -------------------------------------------------------------------- PII --
@@ -71,3 +70,30 @@ def test_the_cutoff_counts_all_held_out_proposals(spark, monkeypatch):
     held = F.pmod(F.xxhash64(F.lit(5), "k1", "k2"), F.lit(3)) == 0
     assert set(seen) == {proposals.where(held & (F.col("label") == 0)).count()}
     assert seen[0] > 900
+
+
+# ---------------------------------------------------------- quality rules --
+
+def test_small_strata_reject_too(spark):
+    """300 good labels a stratum certify nothing rule by rule, but together."""
+    rng = random.Random(4)
+    vocabulary = ["".join(rng.choices("abcdefgh", k=rng.randint(2, 8))) for _ in range(3000)]
+
+    def prose(junk):
+        return " ".join(w + "###" * junk for w in rng.choices(vocabulary, k=80))
+
+    data = [(i, prose(i % 10 == 0), "abcd"[i % 4], int(i % 10 != 0)) for i in range(1600)]
+    docs = spark.createDataFrame([d[:3] for d in data], "doc_id long, text string, lang string").repartition(4)
+    labels = spark.createDataFrame([(d[0], d[3]) for d in data], "doc_id long, quality int")
+    kept = {r.doc_id for r in quality_rules.keep_good(docs, labels).collect()}
+    assert not any(d[0] in kept for d in data if not d[3])
+    good = [d[0] for d in data if d[3]]
+    assert sum(i not in kept for i in good) / len(good) <= quality_rules.MAX_FALSE_REJECTION
+
+
+def test_joint_sequence_stops_at_the_first_failure():
+    grid = {"r": [3.0, 2.0, 1.0], "s": [5.0, 4.0]}
+    assert quality_rules.joint_path(grid) == [{"r": 3.0, "s": 5.0}, {"r": 2.0, "s": 5.0}, {"r": 1.0, "s": 4.0}]
+    assert quality_rules.choose_joint([0, 0, 99], 217, 4, grid=grid) == {"r": 2.0, "s": 5.0}
+    assert quality_rules.choose_joint([0, 0, 0], 216, 4, grid=grid) == {}
+    assert quality_rules.choose_joint([99, 0, 0], 217, 4, grid=grid) == {}
