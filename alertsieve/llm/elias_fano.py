@@ -4,6 +4,7 @@
 and a bit vector of their high parts in unary: about ``n * (2 + log2(u / n))``
 bits.  ``select(i)`` finds the i-th set bit by a 32-bit count for each 512
 bits of the vector, then inside that block; no table of offsets is made.
+``select_range`` does so for a run of offsets at once.
 """
 
 from __future__ import annotations
@@ -69,6 +70,24 @@ class EliasFano:
         at = block * _BLOCK * 8 + int(np.flatnonzero(bits)[i - int(self._counts[block])])
         return ((at - i) << self.l) | self._low_bits(i)
 
+    def select_range(self, a: int, b: int) -> np.ndarray:
+        """Offsets ``a`` to ``b - 1`` as int64; only their blocks are unpacked."""
+        if not 0 <= a <= b <= self.n:
+            raise IndexError((a, b))
+        if a == b:
+            return np.zeros(0, dtype=np.int64)
+        first, last = (int(np.searchsorted(self._counts, i, side="right")) - 1 for i in (a, b - 1))
+        bits = np.unpackbits(self._high[first * _BLOCK:(last + 1) * _BLOCK], bitorder="little")
+        skip = int(self._counts[first])
+        at = first * _BLOCK * 8 + np.flatnonzero(bits)[a - skip:b - skip]
+        out = (at - np.arange(a, b)).astype(np.int64) << self.l
+        if self.l:
+            start, end = a * self.l, b * self.l
+            low = np.unpackbits(self._low[start >> 3:(end + 7) >> 3], bitorder="little")
+            low = low[start & 7:(start & 7) + end - start].reshape(b - a, self.l)
+            out |= (low.astype(np.int64) << np.arange(self.l)).sum(axis=1)
+        return out
+
     def all(self) -> np.ndarray:
         """Every offset, as int64."""
         at = np.flatnonzero(np.unpackbits(self._high, bitorder="little"))[:self.n]

@@ -131,9 +131,8 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
                 if len(content) <= HEAD:
                     continue
                 seg = Segment(content)
-                bounds = seg.bounds.all()
                 for a in range(0, seg.n_docs, 1000):
-                    part = bounds[a:a + 1001]
+                    part = seg.bounds.select_range(a, min(a + 1000, seg.n_docs) + 1)
                     yield pa.RecordBatch.from_arrays([
                         pa.array(seg.doc_ids[a:a + 1000], pa.int64()),
                         pa.array(part[:-1] + starts[(task, number)], pa.int64()),

@@ -2,9 +2,11 @@
 
 import random
 
+import numpy as np
 from pyspark.sql import functions as F
 
-from alertsieve.llm import pii, quality_rules
+from alertsieve.llm import pii, quality_rules, token_store
+from alertsieve.llm.elias_fano import EliasFano
 
 
 # -------------------------------------------------------------------- PII --
@@ -97,3 +99,29 @@ def test_joint_sequence_stops_at_the_first_failure():
     assert quality_rules.choose_joint([0, 0, 99], 217, 4, grid=grid) == {"r": 2.0, "s": 5.0}
     assert quality_rules.choose_joint([0, 0, 0], 216, 4, grid=grid) == {}
     assert quality_rules.choose_joint([99, 0, 0], 217, 4, grid=grid) == {}
+
+
+# ------------------------------------------------------------ token files --
+
+def test_a_run_of_offsets_by_select():
+    rng = np.random.default_rng(1)
+    for gaps in (rng.integers(0, 3000, 5000), np.zeros(700, int), np.array([0, 10**7, 0, 1, 10**9]), np.ones(1, int)):
+        values = np.cumsum(gaps)
+        coded, _ = EliasFano.from_bytes(EliasFano.encode(values).to_bytes())
+        n = len(values)
+        for a, b in [(0, n), (0, 0), (n, n), (n - 1, n), *np.sort(rng.integers(0, n + 1, (50, 2)), axis=1).tolist()]:
+            assert coded.select_range(a, b).tolist() == values[a:b].tolist()
+
+
+def test_files_are_read_through_select(spark, tmp_path):
+    """Reading a file's documents does not expand its whole coding of offsets."""
+    path = str(tmp_path / "f")
+    content = token_store.segment_bytes([bytes(2 * (i % 5)) for i in range(2500)], list(range(2500)), 2)
+    spark.createDataFrame([(bytearray(content),)], "c binary").select(F.col("c").cast("string")).coalesce(1).write.option(
+        "maxRecordsPerFile", 1).text(path)
+    read = token_store.read_token_files
+    code = read.__code__.co_consts
+    assert not any("all" in c.co_names for c in code if hasattr(c, "co_names"))
+    got = sorted((r.doc_id, r.start, r.n_tokens) for r in read(spark, path).collect())
+    ends = np.cumsum([0] + [i % 5 for i in range(2500)])
+    assert got == [(i, ends[i], i % 5) for i in range(2500)]
