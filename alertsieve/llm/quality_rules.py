@@ -167,18 +167,18 @@ def calibrate(counted: DataFrame, labels: DataFrame, *, limit: float = MAX_FALSE
             for r, cutoffs in grid.items()]
     steps = [F.count(F.when(reduce(or_, [rules[r] > F.lit(float(c)) for r, c in step.items()]), 1))
              for step in joint_path(grid)]
-    per = good.groupBy("stratum").agg(F.count(F.lit(1)).alias("n"), *sums, F.array(*steps).alias("__joint"))
+    per = paths_table(good.groupBy("stratum").agg(F.count(F.lit(1)).alias("n"), *sums,
+                                                  F.array(*steps).alias("__joint")), "quality-strata")
+    n_strata = max(1, per.count())
     # one row a stratum that can certify something at all
-    rows = per.where(F.col("n") >= rows_needed(limit, delta)).collect()
-    while few := [r for r in rows if r["n"] < rows_needed(limit, delta / len(rows))]:
-        rows = [r for r in rows if r not in few]
+    rows = per.where(F.col("n") >= rows_needed(limit, delta / n_strata)).collect()
     out = []
     for row in sorted(rows, key=lambda r: r["stratum"]):
         options = {"limit": limit, "delta": delta, "grid": grid}
-        if row["n"] >= rows_needed(limit / len(grid), delta / (len(grid) * len(rows))):
-            cut = choose_cutoffs({r: row[r] for r in grid}, row["n"], len(rows), **options)
+        if row["n"] >= rows_needed(limit / len(grid), delta / (len(grid) * n_strata)):
+            cut = choose_cutoffs({r: row[r] for r in grid}, row["n"], n_strata, **options)
         else:
-            cut = choose_joint(row["__joint"], row["n"], len(rows), **options)
+            cut = choose_joint(row["__joint"], row["n"], n_strata, **options)
         out.append((row["stratum"], *[cut.get(r) for r in grid]))
     return out
 
