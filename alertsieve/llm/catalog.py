@@ -11,8 +11,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from alertsieve.llm import (cover_tree, line_dedup, mixing, packing, pii, quality_rules, sharding, simhash, token_store,
-                            url_filter)
+from alertsieve.llm import (cover_tree, line_dedup, mixing, packing, pii, quality_rules, sharding, simhash, spelling,
+                            token_store, url_filter)
+from alertsieve.llm.common import ascii_lower
 from alertsieve.session import ensure_checkpoint_dir, prepare
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -240,6 +241,69 @@ def op10_simhash(spark, sf_dir):
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+# ------------------------------------------------------ spelling variants --
+
+SQL_SPELLING = r"""
+WITH RECURSIVE bits(i, c, k) AS (
+    SELECT i, i, 0 FROM range(256) r(i)
+    UNION ALL SELECT i, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, k + 1 FROM bits WHERE k < 8),
+crc AS (SELECT list(c ORDER BY i) AS t FROM bits WHERE k = 8),
+runs AS (SELECT doc_id, translate(unnest(regexp_extract_all(text, '[A-Za-z\x{C0}-\x{FF}]+')),
+                                  'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run FROM documents),
+counted AS (SELECT doc_id, run, count(*) AS m, hex(encode(coalesce(doc_id::VARCHAR, '') || ':' || run)) AS x
+            FROM runs WHERE length(run) >= 7 GROUP BY doc_id, run),
+hashed AS (SELECT run, m, xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(range(length(x) // 2),
+               lambda j: 16 * (instr('0123456789ABCDEF', x[2 * j + 1]) - 1) + instr('0123456789ABCDEF', x[2 * j + 2]) - 1)),
+               lambda h, b: xor(h >> 8, t[xor(h & 255, b) + 1]))) AS h FROM counted, crc),
+vocab AS (SELECT word, sum(m)::BIGINT AS n
+          FROM (SELECT m, CASE WHEN h % 31 = 0 THEN substr(run, 1, (h % length(run))::INT)
+                                   || substr(run, (h % length(run))::INT + 2) ELSE run END AS word FROM hashed)
+          WHERE length(word) >= 7 GROUP BY word HAVING sum(m) >= 2),
+cut AS (SELECT word, n, i, substr(word, 1, i::INT) AS a, substr(word, i::INT + 2) AS b
+        FROM (SELECT word, n, unnest(range(length(word))) AS i FROM vocab)),
+pairs AS (SELECT x.word, y.word AS near, y.n AS near_n FROM cut x JOIN cut y
+              ON x.i = y.i AND x.a = y.a AND x.b = y.b AND x.word <> y.word
+          UNION SELECT c.word, v.word, v.n FROM cut c JOIN vocab v ON v.word = c.a || c.b
+          UNION SELECT v.word, c.word, c.n FROM cut c JOIN vocab v ON v.word = c.a || c.b),
+best AS (SELECT word, count(*) AS n_near, min(struct_pack(less := -near_n, near := near)) AS best
+         FROM pairs GROUP BY word),
+judged AS (SELECT v.word, n, coalesce(n_near, 0)::BIGINT AS n_near,
+                  CASE WHEN -best.less >= 10 * n THEN best.near END AS form,
+                  CASE WHEN -best.less >= 10 * n THEN -best.less END::BIGINT AS form_n
+           FROM vocab v LEFT JOIN best USING (word)),
+chain(word, spot) AS (SELECT word, word FROM judged
+                    UNION ALL SELECT c.word, j.form FROM chain c JOIN judged j ON j.word = c.spot WHERE j.form IS NOT NULL),
+ends AS (SELECT c.word, c.spot AS root FROM chain c JOIN judged j ON j.word = c.spot WHERE j.form IS NULL)
+SELECT j.word, j.form, e.root, j.n, j.n_near, j.form_n FROM judged j JOIN ends e USING (word)
+"""
+
+
+def misspelt_words(docs: DataFrame, *, min_chars: int = 7, min_count: int = 2, one_in: int = 31) -> DataFrame:
+    """The contract's vocabulary of ``documents``: ``word, n``.
+
+    Runs of letters, A-Z lower-cased; where ``one_in`` divides the checksum of
+    id and run, the run lost one code point.  Shorter runs than ``min_chars``
+    cannot become words and are passed over.
+    """
+    run, h = F.col("run"), F.col("h")
+    place = (h % F.length("run")).cast("int")
+    runs = docs.select("doc_id", F.explode(F.regexp_extract_all(
+        "text", F.lit(rf"([A-Za-z\u00C0-\u00FF]{{{min_chars},}})"), 1)).alias("run"))
+    hashed = runs.select(ascii_lower(run).alias("run"), "doc_id").select(
+        "run", F.crc32(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), run)
+                       .cast("binary")).alias("h"))
+    word = F.when(h % one_in == 0, F.concat(F.substring(run, F.lit(1), place),
+                                            F.substring(run, place + 2, F.length("run")))).otherwise(run)
+    return (hashed.select(word.alias("word")).where(F.length("word") >= min_chars)
+            .groupBy("word").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_count))
+
+
+@query("op11_spelling", SQL_SPELLING)
+def op11_spelling(spark, sf_dir):
+    """Spelling variants among the words of all documents."""
+    return spelling.variant_groups(misspelt_words(table(spark, sf_dir, "documents")), ratio=10)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 
