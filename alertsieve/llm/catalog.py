@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from alertsieve.llm import (cover_tree, line_dedup, mixing, packing, pii, quality_rules, sharding, simhash, spelling,
+from alertsieve.llm import (cover_tree, lexical, line_dedup, mixing, packing, pii, quality_rules, sharding, simhash, spelling,
                             token_store, url_filter)
 from alertsieve.llm.common import ascii_lower
 from alertsieve.session import ensure_checkpoint_dir, prepare
@@ -304,6 +304,38 @@ def op11_spelling(spark, sf_dir):
     return spelling.variant_groups(misspelt_words(table(spark, sf_dir, "documents")), ratio=10)
 
 
+# ---------------------------------------------------------- ranked search --
+
+SQL_LEXICAL = r"""
+WITH terms AS (SELECT rid, doc_id, unnest(words) AS term
+               FROM (SELECT row_number() OVER () AS rid, doc_id,
+                            regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                               '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS words FROM documents)),
+tf AS (SELECT rid, doc_id, term, count(*)::BIGINT AS tf FROM terms GROUP BY ALL),
+sizes AS (SELECT rid, sum(tf)::BIGINT AS n FROM tf GROUP BY rid),
+corpus AS (SELECT count(*)::BIGINT AS big_n, sum(n)::BIGINT AS big_l FROM sizes),
+asked AS (SELECT DISTINCT iid, item_id, unnest(words) AS term
+          FROM (SELECT row_number() OVER () AS iid, item_id,
+                       regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                          '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS words FROM benchmark)),
+weights AS (SELECT term, floor(1000 * ln((2 * any_value(big_n) + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w
+            FROM tf, corpus WHERE term IN (SELECT term FROM asked) GROUP BY term),
+scored AS (SELECT iid, item_id, rid, doc_id,
+                  sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (100 - 50 + (50 * n * big_n) // big_l))))::BIGINT AS score
+           FROM asked JOIN tf USING (term) JOIN weights USING (term) JOIN sizes USING (rid), corpus
+           GROUP BY iid, item_id, rid, doc_id)
+SELECT item_id, rank::INTEGER AS rank, doc_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY iid ORDER BY score DESC, doc_id) AS rank FROM scored WHERE score > 0)
+WHERE rank <= 50
+"""
+
+
+@query("op12_lexical", SQL_LEXICAL)
+def op12_lexical(spark, sf_dir):
+    """The 50 best of all documents for each benchmark item."""
+    return lexical.rank_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=50)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 

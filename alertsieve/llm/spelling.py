@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from alertsieve.llm.common import paths_table
+from alertsieve.llm.hashing import BASE, mix, powers
 
 #: Filter bits a word; five of a block's 64 bits are set for each.
 BITS_PER_WORD = 24
@@ -37,22 +38,6 @@ EDITS_AT_ONCE = 1 << 20
 #: Words whose edits one task probes (about ten microseconds each).
 PROBE_WORDS = 50_000
 
-_BASE = np.uint64(0x9E3779B97F4A7C15)
-
-
-def mix(h: np.ndarray) -> np.ndarray:
-    """Finalizer that spreads a hash over all 64 bits (one to one)."""
-    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return h ^ (h >> np.uint64(31))
-
-
-def _powers(n: int) -> np.ndarray:
-    """``_BASE ** i`` for i below ``n``, modulo 2^64."""
-    out = np.full(max(n, 1), _BASE)
-    out[0] = 1
-    return np.cumprod(out)[:n]
-
 
 def code_points(words: list[str], size: int) -> np.ndarray:
     """Words of one length as a matrix of code points."""
@@ -61,14 +46,14 @@ def code_points(words: list[str], size: int) -> np.ndarray:
 
 
 def word_hashes(points: np.ndarray) -> np.ndarray:
-    return (points * _powers(points.shape[1])[::-1]).sum(axis=1, dtype=np.uint64)
+    return (points * powers(points.shape[1])[::-1]).sum(axis=1, dtype=np.uint64)
 
 
 def edits(points: np.ndarray, alphabet: np.ndarray, at_once: int = EDITS_AT_ONCE):
     """Hashes of all edits of words of one length, in parts: (row numbers,
     hashes, length of the edited words).  Rows of several parts may repeat."""
     m, size = points.shape
-    power = _powers(size + 1)
+    power = powers(size + 1)
     whole = word_hashes(points)
     step = max(1, at_once // max(1, m))
     # deletion at i: the points before i move one place to the front of the rest
@@ -81,7 +66,7 @@ def edits(points: np.ndarray, alphabet: np.ndarray, at_once: int = EDITS_AT_ONCE
             one = np.ones(m, dtype=bool) if i == 0 else points[:, i] != points[:, i - 1]  # of equal neighbours, the first
             rows.append(np.flatnonzero(one))
             hashes.append((before * power[size - 1 - i] + after)[one])
-            before = before * _BASE + points[:, i]
+            before = before * BASE + points[:, i]
         yield np.concatenate(rows), np.concatenate(hashes), size - 1
     for x in alphabet.astype(np.uint64):
         for a in range(0, size, step):
