@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from alertsieve.llm import (cover_tree, lexical, line_dedup, mixing, packing, pii, quality_rules, sharding, simhash, spelling,
-                            token_store, url_filter)
+                            token_store, url_filter, warc)
 from alertsieve.llm.common import ascii_lower
 from alertsieve.session import ensure_checkpoint_dir, prepare
 
@@ -336,6 +336,31 @@ def op12_lexical(spark, sf_dir):
     return lexical.rank_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=50)
 
 
+# ------------------------------------------------------------------- WARC --
+
+SQL_WARC = r"""
+WITH p AS (SELECT row_number() OVER (ORDER BY page_id NULLS LAST, url NULLS LAST) AS rid, page_id,
+                  coalesce(html, '') AS html FROM pages),
+d AS (SELECT rid, page_id, octet_length(encode(html))::BIGINT AS payload_bytes, sha256(html) AS payload_digest FROM p),
+f AS (SELECT *, min(rid) OVER (PARTITION BY payload_digest) AS keeper,
+             first_value(page_id) OVER (PARTITION BY payload_digest ORDER BY rid) AS to_page FROM d)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN payload_bytes >= 100 AND rid <> keeper THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN payload_bytes >= 100 AND rid <> keeper THEN to_page END AS refers_to
+FROM f
+"""
+
+
+@query("op13_warc", SQL_WARC)
+def op13_warc(spark, sf_dir):
+    """All pages as WARC archives, read back record by record."""
+    import uuid
+
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/alertsieve/warc-{uuid.uuid4().hex}"
+    warc.write_archives(table(spark, sf_dir, "pages"), path)
+    return warc.read_records(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 
