@@ -30,7 +30,7 @@ from alertsieve.llm.hashing import BASE, mix, powers
 
 #: Filter bits a word; five of a block's 64 bits are set for each.
 BITS_PER_WORD = 24
-SHARD_WORDS = 1 << 16
+SHARD_WORDS = 1 << 14
 #: Filter bytes in one broadcast.
 FILTER_BYTES = 32 << 20
 #: Edits that a task holds at once.
