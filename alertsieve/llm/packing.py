@@ -79,9 +79,9 @@ def document_pieces(docs: DataFrame, tokenizer: str, end_id: int, *, window: int
         for whole in batches:
             for batch in text_batches(whole):
                 out = [[] for _ in range(5)]
-                texts = [t or "" for t in batch["text"].to_pylist()]
-                for name, got in zip(batch["id"].to_pylist(), enc.encode(texts)):
-                    ids = np.append(np.frombuffer(got, enc.dtype).astype("<u4"), np.uint32(end_id)).astype("<u4")
+                for name, got in zip(batch["id"].to_pylist(), enc.encode(batch["text"])):
+                    ids = np.empty(len(got) // enc.dtype.itemsize + 1, dtype="<u4")
+                    ids[:-1], ids[-1] = np.frombuffer(got, enc.dtype), end_id
                     for a in range(0, len(ids), window):
                         piece = ids[a:a + window]
                         for column, value in zip(out, (name, a, len(piece), zlib.crc32(piece.tobytes()), len(ids))):

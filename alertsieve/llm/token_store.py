@@ -88,8 +88,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int, *
 
         for whole in batches:
             for batch in text_batches(whole):
-                texts = [t or "" for t in batch["text"].to_pylist()]
-                for name, got in zip(batch["id"].to_pylist(), enc.encode(texts)):
+                for name, got in zip(batch["id"].to_pylist(), enc.encode(batch["text"])):
                     if ids and held + len(got) // width + 1 > segment_ids:
                         yield flush()
                         ids, names, held = [], [], 0
