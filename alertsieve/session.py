@@ -110,13 +110,25 @@ def reliable_table(df, name: str):
     folder is the cluster's shared ``spark.checkpoint.dir``, so the table
     survives the loss of any executor.
     """
+    return reliable_table_at(df, name)[1]
+
+
+def reliable_table_at(df, name: str):
+    """As :func:`reliable_table`; also the table's path."""
     import uuid
 
     spark = df.sparkSession
     root = ensure_checkpoint_dir(spark)
     path = f"{root.rstrip('/')}/alertsieve/{name}-{uuid.uuid4().hex}"
     df.write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+    return path, spark.read.parquet(path)
+
+
+def drop_reliable_table(spark, path: str) -> bool:
+    """Delete one table that :func:`reliable_table_at` wrote and nothing reads any more."""
+    jpath = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = jpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return bool(fs.delete(jpath, True))
 
 
 def clear_reliable_tables(spark) -> bool:
