@@ -7,9 +7,9 @@
 * robust scaling: (x - median) / IQR with IQR 0 -> 1, the quantiles fitted
   on the training rows by the bounded-memory exact quantile (all columns
   per pass); applied as plain column arithmetic.
-* estimators: Spark ML logistic regression, random forest and two
-  gradient-boosted tree settings (depth 6, and depth 5 ~ 31 leaves), with
-  "balanced" class weights for the first two.
+* estimators: Spark ML logistic regression and random forest with "balanced"
+  class weights, second-order boosting on histograms (:mod:`boosting`), to
+  depth 6 and to 31 leaves; any other estimator through ``model_suite(specs=)``.
 * evaluation: one aggregate of the confusion counts + exact ROC AUC.
 * temporal CV: the best estimator refitted per rolling-origin fold; the
   fits run concurrently from a small driver thread pool (Spark schedules
@@ -23,15 +23,7 @@ from concurrent.futures import ThreadPoolExecutor
 from dataclasses import asdict, dataclass, field, fields
 
 from pyspark import StorageLevel
-from pyspark.ml import PipelineModel
-from pyspark.ml.classification import (
-    GBTClassificationModel,
-    GBTClassifier,
-    LogisticRegression,
-    LogisticRegressionModel,
-    RandomForestClassificationModel,
-    RandomForestClassifier,
-)
+from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, Window
@@ -39,6 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from alertsieve.config import DEFAULT, FOREST_DEPTH, TriageConfig
+from alertsieve.operators.boosting import DEPTH_WISE, LEAF_WISE, HistBoostClassifier
 from alertsieve.operators.quantile import exact_quantiles
 from alertsieve.session import reliable_table
 
@@ -140,6 +133,17 @@ def model_specs(trees: int = 100, rounds: int = 100, seed: int = 42, rf_depth: i
             ModelSpec("GBTDepth6", False, gbt(6)), ModelSpec("GBTDepth5", False, gbt(5))]
 
 
+def method_specs(cfg: TriageConfig = DEFAULT, trees: int | None = None, rounds: int | None = None) -> list[ModelSpec]:
+    """The method's four models: the suite's first two, then second-order
+    boosting on histograms, depth-wise (depth 6) and leaf-wise (31 leaves)."""
+    from dataclasses import replace
+
+    rounds = rounds or cfg.model_rounds
+    return model_specs(trees or cfg.model_trees, rounds, cfg.seed, cfg.forest_depth)[:2] + [
+        ModelSpec("HistBoostDepth6", False, lambda n: HistBoostClassifier(replace(DEPTH_WISE, rounds=rounds))),
+        ModelSpec("HistBoostLeaves31", False, lambda n: HistBoostClassifier(replace(LEAF_WISE, rounds=rounds)))]
+
+
 def assemble(df: DataFrame, features: list[str]) -> DataFrame:
     return VectorAssembler(inputCols=list(features), outputCol="features").transform(df)
 
@@ -304,12 +308,23 @@ def temporal_cv(indexed: DataFrame, n_rows: int, features: list[str], spec: Mode
 
 # ---------------------------------------------------------------- package --
 
-_MODEL_CLASSES = {
-    "LogisticRegressionModel": LogisticRegressionModel,
-    "RandomForestClassificationModel": RandomForestClassificationModel,
-    "GBTClassificationModel": GBTClassificationModel,
-    "PipelineModel": PipelineModel,
-}
+def _class_name(model) -> str:
+    """Where a model's class is imported from; Spark ML's by their own module."""
+    cls = type(model)
+    return f"{cls.__module__}:{cls.__name__}"
+
+
+def _class_of(name: str):
+    """The class that ``_class_name`` named (a bare name: Spark ML's classifiers)."""
+    import importlib
+
+    module, _, cls = name.rpartition(":")
+    if not module:
+        module = "pyspark.ml" if cls == "PipelineModel" else "pyspark.ml.classification"
+    found = getattr(importlib.import_module(module), cls)
+    if not hasattr(found, "load"):
+        raise ValueError(f"{name} cannot be loaded")
+    return found
 
 
 def save_model_package(path: str, model, features: list[str], scaling: RobustScaling,
@@ -332,7 +347,7 @@ def save_model_package(path: str, model, features: list[str], scaling: RobustSca
         metrics.coalesce(1).write.mode("overwrite").parquet(f"{path}/metrics")
     if attribution is not None:
         attribution.write.mode("overwrite").parquet(f"{path}/attribution")
-    meta = {"model_class": type(model).__name__, "features": list(features), "name": name}
+    meta = {"model_class": _class_name(model), "features": list(features), "name": name}
     if scoring_model is not None:
         sm = scoring_model
         if sm.extra:
@@ -382,7 +397,7 @@ def load_model_package(spark, path: str) -> ModelPackage:
     from alertsieve.operators.stats import AlertStats
 
     meta = json.loads(spark.read.text(f"{path}/meta").first()[0])
-    model = _MODEL_CLASSES[meta["model_class"]].load(f"{path}/classifier")
+    model = _class_of(meta["model_class"]).load(f"{path}/classifier")
     scaling = RobustScaling.from_rows(
         [(r["feature"], r["center"], r["scale"]) for r in spark.read.parquet(f"{path}/scaling").collect()])
     # keep the saved feature order
@@ -415,9 +430,16 @@ class SuiteResult:
 
 def model_suite(labelled: DataFrame, cfg: TriageConfig = DEFAULT, trees: int | None = None,
                 rounds: int | None = None, compat: bool = False, parallelism: int = 4,
-                only: tuple | None = None) -> SuiteResult:
+                only: tuple | None = None, specs: list[ModelSpec] | None = None) -> SuiteResult:
     """Time-ordered 70/30 split, scaling fitted on the training rows, suite fit
-    (``only``: the named models)."""
+    (``only``: the named models).
+
+    ``specs`` takes the place of the method's four models.  Any estimator has
+    a slot: ``make(n_train).fit(df)`` gets ``features`` (vector) and ``label``
+    (with ``weighted`` also ``class_weight``) and returns a model whose
+    ``transform`` adds ``probability`` (vector) and ``prediction``; to be
+    packaged, the model has Spark ML's ``write`` and ``load``.
+    """
     from alertsieve.operators.ordering import global_row_index, temporal_split
 
     features = feature_columns(labelled, compat)
@@ -426,7 +448,7 @@ def model_suite(labelled: DataFrame, cfg: TriageConfig = DEFAULT, trees: int | N
     train, test = temporal_split(indexed, n_rows, cfg.train_fraction)
     fit_rows = indexed if compat else train
     scaling = fit_robust_scaling(fill_features(fit_rows, features), features)
-    specs = model_specs(trees or cfg.model_trees, rounds or cfg.model_rounds, cfg.seed, cfg.forest_depth)
+    specs = method_specs(cfg, trees, rounds) if specs is None else specs
     specs = [s for s in specs if only is None or s.name in only]
     trained, metrics, best = train_suite(train, test, features, specs, scaling,
                                          int(n_rows * cfg.train_fraction), parallelism)

@@ -824,14 +824,15 @@ def q_model_suite(spark, sf_dir):
 def q_temporal_cv(spark, sf_dir):
     """Best classifier refitted on 5 rolling-origin folds (gap 168 rows): F1."""
     res = _suite(spark, sf_dir)
-    spec = next(s for s in M.model_specs() if s.name == res.best)
+    spec = next(s for s in M.method_specs() if s.name == res.best)
     return M.temporal_cv(res.indexed, res.n_rows, res.features, spec, C.CV_FOLDS, C.CV_GAP_ROWS)
 
 
 @register("attribution_ranking", None)
 def q_attribution_ranking(spark, sf_dir):
-    """Sampled-Shapley importance of the best classifier over the first 1,000
-    test rows (10 permutations, 500 background rows), ranked."""
+    """Importance for the best classifier over the first 1,000 test rows,
+    ranked: exact for boosted trees, else sampled (10 permutations, 500
+    background rows)."""
     from alertsieve.plans.triage import best_attribution
 
     return best_attribution(_suite(spark, sf_dir))
@@ -916,3 +917,6 @@ def q_csv_union(spark, sf_dir):
         (rows.write.mode("append").option("header", True).option("escape", '"').option("quoteAll", True)
          .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path))
     return _select(read_alerts_csv(spark, path), RAW_OUT)
+
+
+from alertsieve.plans import catalog_models  # noqa: E402,F401 - registers further queries

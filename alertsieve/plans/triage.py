@@ -23,6 +23,8 @@ from alertsieve.operators.attribution import shapley_ranking
 from alertsieve.operators.drift import ks_drift
 from alertsieve.operators.roi import roi, roi_breakdown
 from alertsieve.operators.scoring import ScoringModel, fit_scoring
+from alertsieve.operators.tree_attribution import attribution_ranking, tree_contributions
+from alertsieve.operators.trees import spark_tree_nodes
 from alertsieve.session import reliable_table
 from alertsieve.sources import sinks
 from alertsieve.sources.sinks import write_table
@@ -67,18 +69,37 @@ def run_triage(raw: DataFrame, out_dir: str | None = None, cfg: TriageConfig = D
     return model, table, reports
 
 
+def explained_rows(suite: M.SuiteResult, cfg: TriageConfig = DEFAULT) -> DataFrame:
+    """The first ``cfg.shap_sample`` test rows, scaled, with ``row_idx``."""
+    first = suite.test.agg(F.min("row_idx")).first()[0]
+    return _scaled(suite, suite.test).where(F.col("row_idx") < F.lit((first or 0) + cfg.shap_sample))
+
+
+def _scaled(suite: M.SuiteResult, rows: DataFrame) -> DataFrame:
+    return suite.scaling.transform(M.fill_features(rows, suite.features, keep=["row_idx"]), keep=["row_idx"])
+
+
+def tree_attribution(suite: M.SuiteResult, name: str, cfg: TriageConfig = DEFAULT) -> DataFrame:
+    """Exact Shapley values of one of the suite's tree models for the explained
+    rows: ``row_idx``, a column a feature, ``base``, ``prediction`` (P(class 1)
+    of a random forest; the margin, without the model's constant, of boosted
+    trees)."""
+    model = next(t for t in suite.trained if t.name == name).model
+    rows = explained_rows(suite, cfg)
+    nodes = model.node_table(rows.sparkSession) if hasattr(model, "node_table") else spark_tree_nodes(model)
+    return tree_contributions(nodes, rows, suite.features, id_col="row_idx")
+
+
 def best_attribution(suite: M.SuiteResult, cfg: TriageConfig = DEFAULT) -> DataFrame:
-    """Sampled-Shapley ranking of the suite's best model over the first
-    ``cfg.shap_sample`` test rows."""
+    """Ranking of the suite's best model over the first ``cfg.shap_sample``
+    test rows: exact for boosted trees, sampled Shapley values of P(class 1)
+    for other models."""
     best = next(t for t in suite.trained if t.name == suite.best).model
     feats = suite.features
-
-    def scaled(rows):
-        return suite.scaling.transform(M.fill_features(rows, feats, keep=["row_idx"]), keep=["row_idx"])
-
-    first = suite.test.agg(F.min("row_idx")).first()[0]
-    explained = scaled(suite.test).where(F.col("row_idx") < F.lit((first or 0) + cfg.shap_sample))
-    return shapley_ranking(best, explained, scaled(suite.train), feats, permutations=cfg.shap_permutations,
+    if hasattr(best, "node_table"):
+        return attribution_ranking(tree_attribution(suite, suite.best, cfg), feats)
+    explained = explained_rows(suite, cfg)
+    return shapley_ranking(best, explained, _scaled(suite, suite.train), feats, permutations=cfg.shap_permutations,
                            seed=cfg.seed, id_col="row_idx", background_rows=cfg.shap_background)
 
 
@@ -93,8 +114,7 @@ def run_all(raw: DataFrame, out_dir: str, cfg: TriageConfig = DEFAULT, anomaly:
     model, table, out = run_triage(raw, out_dir, cfg, anomaly)
     suite = M.model_suite(table, cfg)
     out["model_metrics"] = suite.metrics
-    spec = next(s for s in M.model_specs(cfg.model_trees, cfg.model_rounds, cfg.seed, cfg.forest_depth)
-                if s.name == suite.best)
+    spec = next(s for s in M.method_specs(cfg) if s.name == suite.best)
     out["cross_validation"] = M.temporal_cv(suite.indexed, suite.n_rows, suite.features, spec, cfg.cv_folds,
                                             cfg.cv_gap_rows, gap_hours=cfg.cv_gap_hours)
     out["attribution"] = best_attribution(suite, cfg)
