@@ -9,7 +9,10 @@ Catalyst can prune and push filters into.
 from __future__ import annotations
 
 import os
+import zlib
+from concurrent.futures import ThreadPoolExecutor
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -61,28 +64,75 @@ def _csv_options(reader, multi_line: bool):
             .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False))
 
 
-def _csv_headers(spark: SparkSession, path: str, multi_line: bool) -> dict[tuple, list[str]]:
-    """Files at ``path`` (file, folder or glob) by their header row.
+#: Bytes of a file's beginning that are looked at for its header row, and readers at once.
+HEADER_BYTES = 1 << 16
+HEADER_READERS = 32
+
 
-    The file system is the path's own (the cluster's default without a
-    scheme); a path that matches nothing raises ``FileNotFoundError``.
+def csv_files(spark: SparkSession, path: str) -> list[tuple[str, int]]:
+    """(path, bytes) of all files at ``path`` (file, folder or glob), sorted.
+
+    Folders are listed with all their sub-folders, by Spark's own (parallel)
+    listing; names that begin with ``_`` or ``.`` are left out.  A path that
+    matches nothing, or holds no file, raises ``FileNotFoundError``.
     """
-    hadoop = spark._jsc.hadoopConfiguration()
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    fs = where.getFileSystem(hadoop)
-    found = fs.globStatus(where)
+    try:
+        found = (spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+                 .select("path", "length").collect())
+    except AnalysisException as e:
+        if e.getCondition() == "PATH_NOT_FOUND":
+            raise FileNotFoundError(path) from e
+        raise
     if not found:
-        raise FileNotFoundError(path)
-    files = []
-    for status in found:
-        inside = [f for f in fs.listStatus(status.getPath())] if status.isDirectory() else [status]
-        files += [f.getPath().toString() for f in inside if not f.isDirectory()
-                  and not f.getPath().getName().startswith(("_", "."))]
+        raise FileNotFoundError(f"no file below {path}")
+    return sorted((r["path"], r["length"]) for r in found)
+
+
+def _header_text(start: bytes) -> bytes | None:
+    """The first record of a CSV file, as it stands (None: longer than ``start``)."""
+    quoted = False
+    for i in range(len(start)):
+        c = start[i:i + 1]
+        if c == b'"':
+            quoted = not quoted
+        elif c in (b"\n", b"\r") and not quoted:
+            return start[:i]
+    return start if len(start) < HEADER_BYTES else None
+
+
+def _file_start(spark: SparkSession, name: str) -> bytes:
+    """The first bytes of a file on any file system; of a gzip file, unpacked."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(name)
+    stream = where.getFileSystem(spark._jsc.hadoopConfiguration()).open(where)
+    try:
+        start = bytes(stream.readNBytes(HEADER_BYTES))
+    finally:
+        stream.close()
+    if name.endswith(".gz"):
+        return zlib.decompressobj(wbits=31).decompress(start, HEADER_BYTES)
+    return start
+
+
+def _csv_headers(spark: SparkSession, path: str, multi_line: bool) -> dict[tuple, list[str]]:
+    """Files at ``path`` by their header row.
+
+    Files are told apart by the bytes of their first record, read by a pool of
+    readers (a short read a file, no Spark job); Spark's CSV reader parses
+    each different header once.  Empty files have no rows and are left out.
+    """
+    names = [name for name, size in csv_files(spark, path) if size]
+    with ThreadPoolExecutor(HEADER_READERS) as pool:
+        starts = pool.map(lambda name: _header_text(_file_start(spark, name)), names)
+        alike: dict[object, list[str]] = {}
+        for name, text in zip(names, starts):
+            # a header too long to be seen whole, or in another compression, stands for itself
+            known = text is not None and not name.endswith((".bz2", ".zst", ".lz4", ".snappy", ".deflate"))
+            alike.setdefault(text if known else name, []).append(name)
     groups: dict[tuple, list[str]] = {}
-    for name in sorted(files):
-        header = tuple(_csv_options(spark.read, multi_line).csv(name).columns)
-        groups.setdefault(header, []).append(name)
-    return groups
+    for files in alike.values():
+        header = tuple(_csv_options(spark.read, multi_line).csv(files[0]).columns)
+        groups.setdefault(header, []).extend(files)
+    return {header: sorted(files) for header, files in groups.items()}
 
 
 def read_alerts_csv(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
@@ -92,17 +142,22 @@ def read_alerts_csv(spark: SparkSession, path: str, multi_line: bool = False) ->
     a batch with another column order or fewer columns reads right, and any
     text column of the alert schema that no file has comes back null (the two
     times and ``duration_minutes`` stay absent: they decide how durations are
-    found).  Extra columns stay, as text.  ``path`` may be a file, a folder or a glob on any file system;
-    nothing there raises ``FileNotFoundError``.  ``multi_line`` allows line
+    found).  Extra columns stay, as text.  ``path`` may be a file, a folder
+    (read with its sub-folders) or a glob on any file system; where nothing is
+    found, ``FileNotFoundError`` is raised.  ``multi_line`` allows line
     breaks inside quoted fields, at the price of one task a file; without it
     large files are split.
     """
     prepare(spark)
     pinned = {f.name: f for f in ALERT_CSV_SCHEMA.fields}
+    groups = _csv_headers(spark, path, multi_line)
     parts = []
-    for header, files in _csv_headers(spark, path, multi_line).items():
+    for header, files in groups.items():
         schema = T.StructType([pinned.get(c, T.StructField(c, T.StringType())) for c in header])
-        parts.append(clean_tokens(_csv_options(spark.read.schema(schema), multi_line).csv(files)))
+        reader = _csv_options(spark.read.schema(schema), multi_line)
+        # files of one header are read by the path itself, not by a list of names
+        scan = reader.option("recursiveFileLookup", True).csv(path) if len(groups) == 1 else reader.csv(files)
+        parts.append(clean_tokens(scan))
     df = concat_alerts(*parts) if parts else spark.createDataFrame([], ALERT_CSV_SCHEMA)
     missing = [F.lit(None).cast("string").alias(c) for c in pinned
                if c not in df.columns and c not in ("startTime", "endTime", "duration_minutes")]
