@@ -7,8 +7,8 @@ locally and dealt by its row of the matrix; each shard is permuted again on
 its side.  All randomness comes from the seed and the row's content, so a
 task that runs again after a lost executor makes the same choices.
 
-Scale: the driver sees one count per block (rows / ``block_rows``) and one per
-(shard, bucket); every window sorts narrow rows of one block or one bucket of
+Scale: the driver sees one count per block (rows / ``block_rows``, at most
+``MOST_BLOCKS``: then blocks grow) and one per (shard, bucket); every window sorts narrow rows of one block or one bucket of
 about ``block_rows`` rows, never a whole shard.  Rows that are equal in every
 column are counted first and told apart by a copy number, so a group of
 repeats is spread like any other rows.
@@ -16,6 +16,7 @@ repeats is spread like any other rows.
 
 from __future__ import annotations
 
+import math
 from itertools import accumulate
 
 import numpy as np
@@ -25,25 +26,51 @@ from pyspark.sql import functions as F
 from alertsieve.llm.common import hash128, paths_table
 
 BLOCK_ROWS = 200_000
+MOST_BLOCKS = 1 << 16
+
+
+def hypergeometric(good: int, bad: int, n: int, rng: np.random.Generator) -> int:
+    """How many of ``n`` rows drawn without return are good ones.
+
+    Inversion of the law around its mode: probabilities relative to the mode's
+    are products of neighbour ratios, over 12 standard deviations to either
+    side (what lies beyond has a weight below 1e-30).  Counts of any size.
+    """
+    total, low, high = good + bad, max(0, n - bad), min(n, good)
+    if low == high:
+        return low
+    mode = min(max((n + 1) * (good + 1) // (total + 2), low), high)
+    share = good / total
+    wide = int(12 * math.sqrt(n * share * (1 - share) * (total - n) / max(1, total - 1))) + 40
+    a, b = max(low, mode - wide), min(high, mode + wide)
+    x = np.arange(a, b, dtype=np.float64)
+    # p(x + 1) / p(x)
+    ratio = (good - x) / (x + 1) * ((n - x) / (bad - n + x + 1))
+    split = mode - a
+    p = np.concatenate([np.cumprod(1 / ratio[:split][::-1])[::-1], [1.0], np.cumprod(ratio[split:])])
+    upto = np.cumsum(p)
+    return a + min(int(np.searchsorted(upto, rng.random() * upto[-1], side="right")), len(p) - 1)
 
 
 def communication_matrix(block_sizes: list[int], n_shards: int, seed: int) -> np.ndarray:
     """Counts ``a[block, shard]`` with the given row sums and shard sizes at
     most one apart, drawn as a uniform shuffle would give them."""
     total = sum(block_sizes)
-    left = np.array([total // n_shards + (s < total % n_shards) for s in range(n_shards)], dtype=np.int64)
+    left = [total // n_shards + (s < total % n_shards) for s in range(n_shards)]
     rng = np.random.default_rng(seed)
     rows = []
     for n in block_sizes:
-        # "marginals" works on counts alone, whatever their size
-        row = rng.multivariate_hypergeometric(left, n, method="marginals") if n else np.zeros_like(left)
-        left = left - row
+        row, rest = [], sum(left)
+        for here in left:  # shard by shard: a marginal draw from what is left
+            rest -= here
+            row.append(hypergeometric(here, rest, n - sum(row), rng))
+        left = [x - y for x, y in zip(left, row)]
         rows.append(row)
     return np.array(rows, dtype=np.int64).reshape(len(block_sizes), n_shards)
 
 
 def _blocks(n_rows: int, block_rows: int) -> int:
-    return max(1, -(-n_rows // block_rows))
+    return min(max(1, -(-n_rows // block_rows)), MOST_BLOCKS)
 
 
 def assign_shards(rows: DataFrame, n_shards: int, *, seed: int = 7,
