@@ -158,11 +158,17 @@ def calibrate(counted: DataFrame, labels: DataFrame, *, limit: float = MAX_FALSE
     """Cutoffs ``(stratum, one value a rule or None)`` from all labelled rows.
 
     ``labels`` has ``doc_id`` and ``quality`` (1: good; null: not labelled).
-    A good document counts if the base rules keep it.
+    An id has one label however often it is given; one given as good and as
+    bad has none.  A good id counts once a stratum, if the base rules keep it;
+    of several documents of an id the worst value of each rule counts.
     """
-    rules = statistics()
-    good = (counted.where(~F.col("base_failed"))
-            .join(labels.where("quality = 1").select(F.col("doc_id").cast("long")), "doc_id"))
+    measured = statistics()
+    agreed = (labels.where("quality IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("doc_id"))
+              .agg(F.min("quality").alias("least"), F.max("quality").alias("most"))
+              .where("least = 1 AND most = 1").select("doc_id"))
+    good = (counted.where(~F.col("base_failed")).join(agreed, "doc_id").groupBy("stratum", "doc_id")
+            .agg(*[F.max(value).alias(f"__{rule}") for rule, value in measured.items()]))
+    rules = {rule: F.col(f"__{rule}") for rule in measured}
     sums = [F.array(*[F.count(F.when(rules[r] > F.lit(float(c)), 1)) for c in cutoffs]).alias(r)
             for r, cutoffs in grid.items()]
     steps = [F.count(F.when(reduce(or_, [rules[r] > F.lit(float(c)) for r, c in step.items()]), 1))

@@ -315,3 +315,66 @@ def test_archive_errors_and_empty_tables(spark):
 def test_gzip_members_in_pieces(parts, piece):
     data = b"".join(gzip.compress(p) for p in parts)
     assert b"".join(warc.file_pieces(data, piece)) == b"".join(parts)
+
+
+# ------------------------------------------- earlier operators, mended parts --
+
+def test_hypergeometric_law():
+    """Against the exact probabilities, small and large."""
+    from alertsieve.llm.sharding import hypergeometric
+
+    rng = np.random.default_rng(0)
+    for good, bad, n in ((5, 9, 6), (40, 3, 20), (30, 70, 50)):
+        got = Counter(hypergeometric(good, bad, n, rng) for _ in range(20_000))
+        for x in range(max(0, n - bad), min(n, good) + 1):
+            p = math.comb(good, x) * math.comb(bad, n - x) / math.comb(good + bad, n)
+            assert abs(got[x] / 20_000 - p) < 5 * math.sqrt(p * (1 - p) / 20_000) + 1e-4
+    big = [hypergeometric(10**11 // 24, 10**11 - 10**11 // 24, 200_000, rng) for _ in range(2000)]
+    mean, sd = 200_000 / 24, math.sqrt(200_000 / 24 * 23 / 24)
+    assert abs(np.mean(big) - mean) < 5 * sd / math.sqrt(2000) and abs(np.std(big) / sd - 1) < 0.1
+    assert hypergeometric(0, 7, 3, rng) == 0 and hypergeometric(7, 0, 3, rng) == 3 and hypergeometric(4, 4, 8, rng) == 4
+
+
+def test_matrix_of_a_hundred_billion_rows():
+    from alertsieve.llm import sharding
+
+    sizes = [10**11 // 40] * 40
+    m = sharding.communication_matrix(sizes, 24, 3)
+    assert m.sum(axis=1).tolist() == sizes and max(m.sum(axis=0)) - min(m.sum(axis=0)) <= 1
+    assert sharding._blocks(10**12, 200_000) == sharding.MOST_BLOCKS
+
+
+def test_repeated_labels_certify_nothing(spark):
+    """60 labelled documents stay 60, however often they are given."""
+    from alertsieve.llm import quality_rules
+
+    rng = random.Random(1)
+    prose = lambda: " ".join("".join(rng.choices("abcdefgh", k=rng.randint(2, 8))) for _ in range(80))
+    docs = [(i, prose(), "en") for i in range(60)]
+    labels = [(i, 1) for i in range(60)]
+
+    def certified(d, lab):
+        df = spark.createDataFrame(d, "doc_id long, text string, lang string")
+        counted = quality_rules.count_texts(df, id_col="doc_id", text_col="text", stratum_col="lang")
+        return quality_rules.calibrate(counted, spark.createDataFrame(lab, "doc_id long, quality int"))
+
+    more = [(i, prose(), "en") for i in range(60, 400)]
+    assert certified(docs, labels) == certified(docs * 5, labels * 5) == certified(docs, labels * 5) == []
+    full = certified(docs + more, [(i, 1) for i in range(400)])
+    assert full and full == certified(docs + more, [(i, 1) for i in range(400)] * 2)
+    # an id given as good and as bad is not labelled
+    assert certified(docs + more, [(i, 1) for i in range(400)] + [(i, 0) for i in range(350)]) == []
+
+
+def test_alarms_are_counted_by_document(spark, monkeypatch):
+    """Many proposals in one document are one trial."""
+    from alertsieve.llm import pii
+
+    seen = []
+    monkeypatch.setattr(pii, "upper_bound", lambda k, n, delta: seen.append(n) or 1.0)
+    schema = "k1 long, k2 long, kind string, start long, end long, label double, f_x double"
+    proposals = spark.createDataFrame([(i // 20, 0, "ip", i, i + 7, float(i % 4 == 0), float(i % 4 == 0)) for i in range(4000)],
+                                      schema)
+    pii._additions(proposals, fit_rows=200, limit=0.02, delta=0.05, seed=5)
+    held = F.pmod(F.xxhash64(F.lit(5), "k1", "k2"), F.lit(3)) == 0
+    assert set(seen) == {proposals.where(held).select("k1").distinct().count()}
