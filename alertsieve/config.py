@@ -173,7 +173,7 @@ class TriageConfig:
     shap_permutations: int = SHAP_PERMUTATIONS
     model_trees: int = MODEL_TREES
     model_rounds: int = MODEL_ROUNDS
-    forest_depth: int = FOREST_DEPTH
+    forest_depth: int | None = FOREST_DEPTH   # None: without a limit (the library's own forest)
     drift_alpha: float = DRIFT_ALPHA
     variance_threshold: float = VARIANCE_THRESHOLD
     correlation_threshold: float = CORRELATION_THRESHOLD

@@ -32,6 +32,7 @@ from pyspark.sql import types as T
 
 from alertsieve.config import DEFAULT, FOREST_DEPTH, TriageConfig
 from alertsieve.operators.boosting import DEPTH_WISE, LEAF_WISE, HistBoostClassifier
+from alertsieve.operators.deep_forest import DeepForestClassifier
 from alertsieve.operators.quantile import exact_quantiles
 from alertsieve.session import reliable_table
 
@@ -134,12 +135,16 @@ def model_specs(trees: int = 100, rounds: int = 100, seed: int = 42, rf_depth: i
 
 
 def method_specs(cfg: TriageConfig = DEFAULT, trees: int | None = None, rounds: int | None = None) -> list[ModelSpec]:
-    """The method's four models: the suite's first two, then second-order
+    """The method's four models: logistic regression, random forest (Spark ML's
+    to ``forest_depth``; None: without a depth limit), then second-order
     boosting on histograms, depth-wise (depth 6) and leaf-wise (31 leaves)."""
     from dataclasses import replace
 
-    rounds = rounds or cfg.model_rounds
-    return model_specs(trees or cfg.model_trees, rounds, cfg.seed, cfg.forest_depth)[:2] + [
+    rounds, trees = rounds or cfg.model_rounds, trees or cfg.model_trees
+    first = model_specs(trees, rounds, cfg.seed, cfg.forest_depth or FOREST_DEPTH)[:2]
+    if cfg.forest_depth is None:
+        first[1] = ModelSpec("RandomForest", True, lambda n: DeepForestClassifier(trees=trees, seed=cfg.seed))
+    return first + [
         ModelSpec("HistBoostDepth6", False, lambda n: HistBoostClassifier(replace(DEPTH_WISE, rounds=rounds))),
         ModelSpec("HistBoostLeaves31", False, lambda n: HistBoostClassifier(replace(LEAF_WISE, rounds=rounds)))]
 

@@ -1,9 +1,10 @@
-"""Further named queries: tree attribution, quantile state."""
+"""Further named queries: tree attribution, unlimited forest, quantile state, drift by month."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from alertsieve import config as C
 from alertsieve.operators import models as M
 from alertsieve.operators import sketch as SK
 from alertsieve.operators import tree_attribution as TA
@@ -51,6 +52,14 @@ def q_tree_attribution(spark, sf_dir):
     return TA.attribution_ranking(tree_attribution(suite, "HistBoostDepth6"), suite.features)
 
 
+@register("deep_forest", None)
+def q_deep_forest(spark, sf_dir):
+    """The random forest without a depth limit (100 trees): metrics on the test rows."""
+    from dataclasses import replace
+
+    return M.model_suite(labelled_fallback(spark, sf_dir), replace(C.DEFAULT, forest_depth=None), only=("RandomForest",)).metrics
+
+
 _STATE_COLUMNS = ("duration_minutes", "fp_score_final", "title_length")
 _STATE_QS = (0.05, 0.25, 0.5, 0.75, 0.99)
 
