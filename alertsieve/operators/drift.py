@@ -15,17 +15,26 @@ p-value: asymptotic Kolmogorov distribution,
 ``lam = D * sqrt(n1 n2 / (n1 + n2))`` (100 terms; the series is useless
 near 0, where p is 1).  Drift: any p below alpha / number of features
 (Bonferroni).
+
+Small samples have an exact p-value: the share of lattice paths from (0, 0) to
+(n1, n2) that reach a gap of at least D (``method="auto"`` uses it up to
+``EXACT_ROWS`` rows a side).  ``ks_by_period`` tests every period against one
+reference sample; the reference is sorted and summed once for all of them.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from alertsieve.session import reliable_table
 
 KS_TERMS = 100
+#: Rows a side up to which the exact p-value is computed (rows x rows steps, vectorised).
+EXACT_ROWS = 10_000
 
 
 def unpivot(df: DataFrame, features: list[str], side: str) -> DataFrame:
@@ -132,12 +141,98 @@ def ks_pvalue(d, n1, n2):
     return F.when(lam < 0.2, F.lit(1.0)).otherwise(p)
 
 
+def exact_pvalue(d: float, n1: int, n2: int) -> float:
+    """P(D >= d) of two samples of one continuous distribution, exactly.
+
+    All orders of the pooled sample are equally likely, each a lattice path.
+    ``u[i]`` is the probability that a random path to (i, k - i) has met a gap
+    of ``d`` or more; one vector step goes from each diagonal k to the next.
+    All values are probabilities, so nothing overflows and small p keep their
+    digits.
+    """
+    n1, n2 = sorted((int(n1), int(n2)))
+    least = round(d * n1 * n2)  # gaps are multiples of 1 / (n1 n2)
+    if not n1 or least <= 0:
+        return 1.0
+    u = np.zeros(n1 + 1)
+    for k in range(1, n1 + n2 + 1):
+        a, b = max(0, k - n2), min(n1, k)
+        i = np.arange(a, b + 1)
+        before = np.zeros(len(i))
+        before[i > 0] = u[i[i > 0] - 1]
+        step = (i * before + (k - i) * u[a:b + 1]) / k
+        step[np.abs(i * n2 - (k - i) * n1) >= least] = 1.0
+        u[a:b + 1] = step
+    return float(min(1.0, u[n1]))
+
+
+def _exact_column(d: Column, n1: Column, n2: Column) -> Column:
+    @F.pandas_udf(T.DoubleType())
+    def exact(d: pd.Series, n1: pd.Series, n2: pd.Series) -> pd.Series:
+        known: dict[tuple, float] = {}  # ties make many features share D
+        return pd.Series([known[x] if x in known else known.setdefault(x, exact_pvalue(*x)) for x in zip(d, n1, n2)])
+
+    return exact(d, n1, n2)
+
+
+def _p_value(stats: DataFrame, method: str) -> DataFrame:
+    """``stats`` with ``p_value``; one row a feature (and period)."""
+    if method not in ("asymptotic", "auto"):
+        raise ValueError("method is 'asymptotic' or 'auto'")
+    n1, n2 = F.col("n_ref"), F.col("n_cur")
+    far = ks_pvalue(F.col("d"), n1.cast("double"), n2.cast("double"))
+    if method == "asymptotic":
+        return stats.select("*", far.alias("p_value"))
+    small = F.greatest(n1, n2) <= EXACT_ROWS
+    near = _exact_column(F.when(small, F.col("d")).otherwise(F.lit(0.0)), F.when(small, n1).otherwise(F.lit(0)),
+                         F.when(small, n2).otherwise(F.lit(0)))
+    return stats.select("*", F.when(small, near).otherwise(far).alias("p_value"))
+
+
+def ks_by_period(ref: DataFrame, cur: DataFrame, features: list[str], period: Column, alpha: float = 0.05,
+                 method: str = "asymptotic", materialize=reliable_table) -> DataFrame:
+    """(feature, period, n_ref, n_cur, d, p_value, drift): every period of
+    ``cur`` against ``ref``.
+
+    Missing feature values are read as 0; rows without a period are left out.
+    The gap between two step functions is largest at a value of the period,
+    before or after its step, so the reference's running counts are needed at
+    the periods' values only: one prefix sum over the reference's and all
+    periods' values by feature, one over the periods' by (feature, period).
+    ``drift``: p below ``alpha`` / (features x periods).
+    """
+    n_ref = ref.count()
+    per = cur.withColumn("__period", period.cast("string")).where("__period IS NOT NULL")
+    long = per.select("__period", F.stack(F.lit(len(features)), *[x for f in features for x in (
+        F.lit(f), F.coalesce(F.col(f).cast("double"), F.lit(0.0)))]).alias("feature", "value"))
+    counts = long.groupBy("feature", "__period", "value").agg(F.count(F.lit(1)).alias("n"))
+    counts = materialize(counts, "ks_periods") if materialize else counts
+    base = (unpivot(ref, features, "ref").groupBy("feature", "value").agg(F.count(F.lit(1)).alias("c1"))
+            .unionByName(counts.select("feature", "value").distinct().withColumn("c1", F.lit(0).cast("long")))
+            .groupBy("feature", "value").agg(F.sum("c1").alias("c1")).withColumn("c2", F.lit(0)))
+    below = running_counts(base, materialize=materialize).select("feature", "value", "c1", "cum1")
+    names = counts.select(F.concat_ws("\u0001", "feature", "__period").alias("feature"), "value", F.lit(0).alias("c1"),
+                          F.col("n").alias("c2"))
+    own = running_counts(names, materialize=materialize)
+    key = F.split("feature", "\u0001")
+    own = own.select(F.get(key, 0).alias("feature"), F.get(key, 1).alias("period"), "value", "c2", "cum2")
+    sizes = per.groupBy(F.col("__period").alias("period")).agg(F.count(F.lit(1)).alias("n_cur"))
+    at = own.join(below, ["feature", "value"]).join(sizes, "period")
+    n1, n2 = F.lit(float(n_ref)), F.col("n_cur")
+    gap = F.greatest(F.abs(F.col("cum1") / n1 - F.col("cum2") / n2),
+                     F.abs((F.col("cum1") - F.col("c1")) / n1 - (F.col("cum2") - F.col("c2")) / n2))
+    stats = at.groupBy("feature", "period").agg(F.max(gap).alias("d"), F.first("n_cur").alias("n_cur")).select(
+        "feature", "period", F.lit(n_ref).alias("n_ref"), "n_cur", "d")
+    with_p = _p_value(stats, method)
+    tests = with_p.agg(F.count(F.lit(1)).alias("__tests"))  # one row
+    return with_p.crossJoin(F.broadcast(tests)).select(
+        "feature", "period", "n_ref", "n_cur", "d", "p_value", (F.col("p_value") < alpha / F.col("__tests")).alias("drift"))
+
+
 def ks_drift(ref: DataFrame, cur: DataFrame, features: list[str], alpha: float = 0.05,
-             materialize=reliable_table) -> DataFrame:
+             materialize=reliable_table, method: str = "asymptotic") -> DataFrame:
     """Per-feature D and p, plus the overall Bonferroni drift decision."""
-    stats = ks_statistic(ref, cur, features, materialize)
-    with_p = stats.select("*", ks_pvalue(F.col("d"), F.col("n_ref").cast("double"),
-                                         F.col("n_cur").cast("double")).alias("p_value"))
+    with_p = _p_value(ks_statistic(ref, cur, features, materialize), method)
     threshold = alpha / max(len(features), 1)
     summary = with_p.agg(F.min("p_value").alias("min_p"), F.max("p_value").alias("max_p"))
     return (with_p.crossJoin(F.broadcast(summary))

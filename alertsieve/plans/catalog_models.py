@@ -6,11 +6,13 @@ from pyspark.sql import functions as F
 
 from alertsieve import config as C
 from alertsieve.operators import models as M
+from alertsieve.operators import drift as DR
+from alertsieve.operators import features as FE
 from alertsieve.operators import sketch as SK
 from alertsieve.operators import tree_attribution as TA
 from alertsieve.operators.trees import NODE_SCHEMA
 from alertsieve.plans import oracle as O
-from alertsieve.plans.catalog import _suite, features, labelled_fallback, register
+from alertsieve.plans.catalog import _spread, _suite, features, labelled_fallback, register, spread_alerts
 from alertsieve.session import reliable_table
 
 #: A fixed tree: duration above 2 -> 0.1; else hour up to 5 -> 0.9, above -> 0.6.
@@ -85,3 +87,39 @@ def q_quantile_state(spark, sf_dir):
     target = F.col("q") * (F.col("n") - 1)
     gap = F.greatest(F.col("below") - target, target - (F.col("upto") - 1), F.lit(0.0))
     return ranks.select("column", "q", "n", (gap <= F.col("rank_error") + 1).alias("within"))
+
+
+_DRIFT_COLUMNS = ("duration_minutes", "hour", "fp_keyword_score", "title_length")
+
+
+def _monthly_sql() -> str:
+    """All values of the reference and of one month, sorted month by month."""
+    long = " UNION ALL ".join(f"SELECT m, '{c}' AS feature, coalesce({c}, 0)::DOUBLE AS v FROM months" for c in _DRIFT_COLUMNS)
+    terms = ("list_sum(list_transform(range(1, 101), lambda i: (CASE WHEN i % 2 = 1 THEN 1 ELSE -1 END)"
+             " * exp(-2 * i * i * lam * lam)))")
+    return O.with_(O.FEATURES + f""",
+months AS (SELECT *, strftime("startTime", '%Y-%m') AS m FROM feat WHERE "startTime" IS NOT NULL),
+long AS ({long}),
+ref AS (SELECT min(m) AS m0 FROM months),
+cnt AS (SELECT p.m, l.feature, l.v, count(*) FILTER (WHERE l.m = m0) AS c1, count(*) FILTER (WHERE l.m = p.m) AS c2
+        FROM long l, ref, (SELECT DISTINCT m FROM months) p
+        WHERE p.m <> m0 AND (l.m = m0 OR l.m = p.m) GROUP BY ALL),
+cum AS (SELECT m, feature, sum(c1) OVER w AS cum1, sum(c2) OVER w AS cum2,
+               sum(c1) OVER (PARTITION BY m, feature) AS n1, sum(c2) OVER (PARTITION BY m, feature) AS n2
+        FROM cnt WINDOW w AS (PARTITION BY m, feature ORDER BY v ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+d AS (SELECT feature, m, max(n1)::BIGINT AS n_ref, max(n2)::BIGINT AS n_cur, max(abs(cum1 / n1 - cum2 / n2)) AS d
+      FROM cum GROUP BY feature, m),
+lam AS (SELECT *, d * sqrt(n_ref::DOUBLE * n_cur / (n_ref + n_cur)) AS lam FROM d),
+p AS (SELECT *, CASE WHEN lam < 0.2 THEN 1.0::DOUBLE ELSE least(1, greatest(0, 2 * {terms})) END AS p FROM lam)""", f"""
+  SELECT feature, m AS period, n_ref, n_cur, {O.rnd('d')} AS d, {O.rnd('p')} AS p_value,
+         p < 0.05::DOUBLE / (count(*) OVER ()) AS drift FROM p""")
+
+
+@register("ks_drift_monthly", _spread(_monthly_sql()))
+def q_ks_drift_monthly(spark, sf_dir):
+    """Every later month of the wider input against its first month."""
+    feats = reliable_table(FE.engineer_features(spread_alerts(spark, sf_dir))[0].where("startTime IS NOT NULL").select(
+        F.date_format("startTime", "yyyy-MM").alias("month"), *_DRIFT_COLUMNS), "drift_months")
+    first = F.lit(feats.agg(F.min("month")).first()[0])
+    return DR.ks_by_period(feats.where(F.col("month") == first), feats.where(F.col("month") != first),
+                           list(_DRIFT_COLUMNS), F.col("month"), C.DRIFT_ALPHA)
