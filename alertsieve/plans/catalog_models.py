@@ -9,11 +9,12 @@ from alertsieve.operators import models as M
 from alertsieve.operators import drift as DR
 from alertsieve.operators import features as FE
 from alertsieve.operators import sketch as SK
+from alertsieve.operators import stats as ST
 from alertsieve.operators import tree_attribution as TA
 from alertsieve.operators.trees import NODE_SCHEMA
 from alertsieve.plans import oracle as O
-from alertsieve.plans.catalog import _spread, _suite, features, labelled_fallback, register, spread_alerts
-from alertsieve.session import reliable_table
+from alertsieve.plans.catalog import REGISTRY, _spread, _suite, features, labelled_fallback, register, spread_alerts
+from alertsieve.session import ensure_checkpoint_dir, reliable_table
 
 #: A fixed tree: duration above 2 -> 0.1; else hour up to 5 -> 0.9, above -> 0.6.
 _CUT_MINUTES, _CUT_HOUR, _LONG, _NIGHT, _DAY = 2.0, 5.0, 0.1, 0.9, 0.6
@@ -123,3 +124,16 @@ def q_ks_drift_monthly(spark, sf_dir):
     first = F.lit(feats.agg(F.min("month")).first()[0])
     return DR.ks_by_period(feats.where(F.col("month") == first), feats.where(F.col("month") != first),
                            list(_DRIFT_COLUMNS), F.col("month"), C.DRIFT_ALPHA)
+
+
+@register("incremental_stats", REGISTRY["duration_stats"].sql)
+def q_incremental_stats(spark, sf_dir):
+    """``duration_stats`` from the states of ten batches, added one by one."""
+    import uuid
+
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/alertsieve/alert-state-{uuid.uuid4().hex}"
+    feats = reliable_table(features(spark, sf_dir).select("problemId", "hour", "day_of_week", "duration_minutes"), "state_batches")
+    for i in range(10):
+        got = ST.add_batch(path, feats.where(F.pmod(F.xxhash64("problemId"), F.lit(10)) == i), f"batch-{i}")
+    return spark.createDataFrame([(got.n_rows, got.duration_mean, got.duration_std)],
+                                 "n_rows long, duration_mean double, duration_std double")
