@@ -151,6 +151,16 @@ class TriageConfig:
     business_hours: tuple = BUSINESS_HOURS
     duration_bin_edges: tuple = DURATION_BIN_EDGES
     duration_bin_labels: tuple = DURATION_BIN_LABELS
+    # rule score: (minutes, weight) of the two short durations, then plain weights
+    rule_ultra_short: tuple = RULE_ULTRA_SHORT
+    rule_very_short: tuple = RULE_VERY_SHORT
+    rule_reconciliation: float = RULE_RECONCILIATION
+    rule_keywords: float = RULE_KEYWORDS
+    stat_rare_hour: float = STAT_RARE_HOUR
+    stat_zscore_limit: float = STAT_ZSCORE_LIMIT
+    stat_zscore_weight: float = STAT_ZSCORE_WEIGHT
+    pattern_short_night: float = PATTERN_SHORT_NIGHT
+    pattern_quincena_recon: float = PATTERN_QUINCENA_RECON
     ensemble_weights: dict = field(default_factory=lambda: dict(ENSEMBLE_WEIGHTS))
     fp_threshold_percentile: float = FP_THRESHOLD_PERCENTILE
     # "exact": distributed exact quantile (bounded memory per task);

@@ -29,6 +29,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from alertsieve.session import reliable_table
+
 EULER_GAMMA = 0.5772156649015329
 
 _NODE_SCHEMA = T.StructType([
@@ -114,21 +116,45 @@ def _hash01(*cols: Column) -> Column:
     return F.xxhash64(*cols).bitwiseAND(F.lit((1 << 52) - 1)).cast("double") / F.lit(float(1 << 52))
 
 
+def _sample_pool(x: DataFrame, n: int, pool_size: int, seed: int) -> DataFrame:
+    """The ``pool_size`` rows first by a hash of their key, written once."""
+    keep = min(1.0, 3.0 * pool_size / n)
+    h = _hash01(F.col("_key"), F.lit(seed))
+    pool = (x.where(h < F.lit(keep)) if keep < 1.0 else x).select("*", h.alias("_h"))
+    return reliable_table(pool.orderBy("_h", "_key").limit(pool_size), "forest_pool")
+
+
+def _row_keys(x: DataFrame) -> DataFrame:
+    """Keys that tell all rows apart: a digest of key, features and, among
+    equal rows, a copy number (rows are counted first, so a group of repeats
+    is one row a task)."""
+    columns = [c for c in x.columns]
+    copies = x.groupBy(*columns).agg(F.count(F.lit(1)).alias("_m")).withColumn(
+        "_copy", F.explode(F.sequence(F.lit(1), F.col("_m").cast("int"))))
+    parts = [F.coalesce(F.col(c).cast("string"), F.lit("\u0000")) for c in (*columns, "_copy")]
+    return copies.select(F.sha2(F.concat_ws("\u0001", *parts), 256).alias("_key"), *columns[1:])
+
+
 def fit_iforest(df: DataFrame, features, key: str = "problemId", n_trees: int = 100,
                 max_samples: int = 256, seed: int = 42, n_rows: int | None = None) -> IForestModel:
-    """Fit the forest on ``features`` (nulls read as 0) of ``df``."""
+    """Fit the forest on ``features`` (nulls read as 0) of ``df``.
+
+    Rows are sampled by a hash of ``key``.  Where keys repeat or are null in the
+    sample, rows are sampled again by a key of their own, so that all trees
+    get their rows whatever the ids.
+    """
     features = tuple(features)
-    x = df.select(F.col(key).alias("_key"),
+    x = df.select(F.col(key).cast("string").alias("_key"),
                   *[F.coalesce(F.col(f).cast("double"), F.lit(0.0)).alias(f) for f in features])
     n = n_rows if n_rows is not None else x.count()
     if n == 0:
         raise ValueError("cannot fit an isolation forest on no rows")
     psi = int(min(max_samples, n))
     pool_size = int(min(n, n_trees * psi))
-    keep = min(1.0, 3.0 * pool_size / n)
-    h = _hash01(F.col("_key"), F.lit(seed))
-    pool = (x.where(h < F.lit(keep)) if keep < 1.0 else x).select("*", h.alias("_h"))
-    pool = pool.orderBy("_h", "_key").limit(pool_size)
+    pool = _sample_pool(x, n, pool_size, seed)
+    held, different = pool.agg(F.count(F.lit(1)), F.count_distinct("_key")).first()
+    if held < pool_size or different < held:
+        pool = _sample_pool(_row_keys(x), n, pool_size, seed)
     trees = F.explode(F.sequence(F.lit(0), F.lit(n_trees - 1))).alias("tree")
     # Per tree, rows are ranked by their own hash; only the ~3 psi lowest
     # hashes of the pool can be among the psi chosen, so a map-side filter
@@ -152,6 +178,8 @@ def fit_iforest(df: DataFrame, features, key: str = "problemId", n_trees: int =
     nodes = (chosen.select("tree", "_key", "_th", *features)
              .groupBy("tree").applyInPandas(build, _NODE_SCHEMA)
              .toPandas())  # bounded: <= n_trees * (2 * psi - 1) rows
+    if nodes["tree"].nunique() != n_trees:
+        raise RuntimeError(f"{nodes['tree'].nunique()} of {n_trees} trees were grown")
     nodes = nodes.sort_values(["tree", "node"]).reset_index(drop=True)
     counts = nodes.groupby("tree").size()
     starts = pd.DataFrame({"tree": counts.index.to_numpy(),

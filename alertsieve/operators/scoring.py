@@ -37,37 +37,37 @@ def score_rules(df: DataFrame, cfg: TriageConfig = DEFAULT) -> Column:
     parts = []
     if "duration_minutes" in names:
         d = F.col("duration_minutes")
-        (ultra, w_ultra), (short, w_short) = C.RULE_ULTRA_SHORT, C.RULE_VERY_SHORT
+        (ultra, w_ultra), (short, w_short) = cfg.rule_ultra_short, cfg.rule_very_short
         parts.append(flag(d < ultra) * F.lit(w_ultra))
         parts.append(flag((d >= ultra) & (d < short)) * F.lit(w_short))
     if "is_reconciliacion" in names:
-        parts.append(F.col("is_reconciliacion") * F.lit(C.RULE_RECONCILIATION))
+        parts.append(F.col("is_reconciliacion") * F.lit(cfg.rule_reconciliation))
     if "fp_keyword_score" in names:
         kw = clip(F.col("fp_keyword_score") / F.lit(float(max(len(cfg.keywords), 1))), 0.0, 1.0)
-        parts.append(kw * F.lit(C.RULE_KEYWORDS))
+        parts.append(kw * F.lit(cfg.rule_keywords))
     return clip(_sum(parts), 0.0, 1.0)
 
 
-def score_statistical(df: DataFrame) -> Column:
+def score_statistical(df: DataFrame, cfg: TriageConfig = DEFAULT) -> Column:
     """Rare hour and duration outlier; null hour -> null score."""
     names = set(df.columns)
     parts = []
     if "hour_frequency_ratio" in names:
-        parts.append((F.lit(1.0) - F.col("hour_frequency_ratio")) * F.lit(C.STAT_RARE_HOUR))
+        parts.append((F.lit(1.0) - F.col("hour_frequency_ratio")) * F.lit(cfg.stat_rare_hour))
     if "duration_zscore" in names:
-        parts.append(flag(F.abs(F.col("duration_zscore")) > C.STAT_ZSCORE_LIMIT)
-                     * F.lit(C.STAT_ZSCORE_WEIGHT))
+        parts.append(flag(F.abs(F.col("duration_zscore")) > cfg.stat_zscore_limit)
+                     * F.lit(cfg.stat_zscore_weight))
     return clip_nullable(_sum(parts), 0.0, 1.0)
 
 
-def score_pattern(df: DataFrame) -> Column:
+def score_pattern(df: DataFrame, cfg: TriageConfig = DEFAULT) -> Column:
     """Short night alert and pay-day x reconciliation; max .7."""
     names = set(df.columns)
     parts = []
     if "short_night_alert" in names:
-        parts.append(F.col("short_night_alert") * F.lit(C.PATTERN_SHORT_NIGHT))
+        parts.append(F.col("short_night_alert") * F.lit(cfg.pattern_short_night))
     if "quincena_reconciliation" in names:
-        parts.append(F.col("quincena_reconciliation") * F.lit(C.PATTERN_QUINCENA_RECON))
+        parts.append(F.col("quincena_reconciliation") * F.lit(cfg.pattern_quincena_recon))
     return clip(_sum(parts), 0.0, 1.0)
 
 
@@ -101,9 +101,9 @@ def method_scores(df: DataFrame, anomaly: Column, cfg: TriageConfig = DEFAULT, e
     ``score_<name>`` of each further method in ``extra`` ({name: function of
     the feature table giving a score column in [0, 1]})."""
     return df.select("*", score_rules(df, cfg).alias("score_rules"),
-                     score_statistical(df).alias("score_statistical"),
+                     score_statistical(df, cfg).alias("score_statistical"),
                      anomaly.alias("score_anomaly"),
-                     score_pattern(df).alias("score_pattern"),
+                     score_pattern(df, cfg).alias("score_pattern"),
                      *[make(df).cast("double").alias(f"score_{name}") for name, make in (extra or {}).items()])
 
 
