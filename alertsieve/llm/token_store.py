@@ -24,8 +24,10 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from alertsieve.llm.common import paths_table
 from alertsieve.llm.elias_fano import EliasFano
 from alertsieve.llm.tokens import ship_definition, text_batches, worker_encoder
+from alertsieve.operators.drift import running_counts
 
 MAGIC = b"TOKS1\0"
 HEAD = 24
@@ -105,47 +107,85 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end_id: int, *
      .write.option("maxRecordsPerFile", 1).text(path))
 
 
+def _files(spark: SparkSession, path: str) -> DataFrame:
+    """``task, number, content`` of the files that hold documents."""
+    name = F.element_at(F.split("path", "/"), -1)
+    return (spark.read.format("binaryFile").load(path)
+            .select(F.regexp_extract(name, _ORDER, 1).cast("long").alias("task"),
+                    F.regexp_extract(name, _ORDER, 2).cast("long").alias("number"), "content"))
+
+
+def _placed(rows: DataFrame, sizes: DataFrame) -> DataFrame:
+    """``rows`` of files (``task, number, start`` in the file) with ``start``
+    counted over all files; ``sizes`` has each file's ids ``n``.
+
+    The files' places are a prefix sum over range partitions; nothing is
+    gathered by file, and Spark broadcasts the table of places if it is small.
+    """
+    order = (F.col("task") * (1 << 20) + F.col("number")).cast("double")  # exact up to 2^33 tasks
+    counts = paths_table(sizes.select("task", "number", F.lit("ids").alias("feature"), order.alias("value"),
+                                      F.col("n").alias("c1"), F.lit(0).alias("c2")), "token-sizes")
+    before = running_counts(counts).select("value", (F.col("cum1") - F.col("c1")).alias("__before"))
+    places = paths_table(counts.join(before, "value").select("task", "number", "__before"), "token-places")
+    return (rows.join(places, ["task", "number"]).withColumn("start", F.col("start") + F.col("__before"))
+            .drop("task", "number", "__before"))
+
+
 def read_token_files(spark: SparkSession, path: str) -> DataFrame:
     """Documents of the files at ``path``: ``doc_id``, ``start`` (ids of all
     documents before), ``n_tokens`` and ``ids`` (little-endian unsigned 32 bit).
     """
-    files = spark.read.format("binaryFile").load(path)
-    name = F.element_at(F.split("path", "/"), -1)
-    files = files.select(F.regexp_extract(name, _ORDER, 1).cast("long").alias("task"),
-                         F.regexp_extract(name, _ORDER, 2).cast("long").alias("number"), "content")
-    # one row a file, from the headers: a file holds about SEGMENT_IDS ids
+    files = _files(spark, path)
+    # from the headers
     sizes = (files.where(F.octet_length("content") > HEAD)
-             .select("task", "number", F.conv(F.hex(F.substring("content", 17, 8)), 16, 10).cast("long").alias("n"))
-             .collect())
-    starts, total = {}, 0
-    for row in sorted(sizes):
-        starts[(row.task, row.number)] = total
-        total += row.n
+             .select("task", "number", F.conv(F.hex(F.substring("content", 17, 8)), 16, 10).cast("long").alias("n")))
 
     def decode(batches):
         import pyarrow as pa
 
         for batch in batches:
             for task, number, content in zip(*(batch[i].to_pylist() for i in range(3))):
-                if len(content) <= HEAD:
-                    continue
-                seg = Segment(content)
-                for a in range(0, seg.n_docs, 1000):
-                    part = seg.bounds.select_range(a, min(a + 1000, seg.n_docs) + 1)
+                for names, part, ids in _documents(content):
                     yield pa.RecordBatch.from_arrays([
-                        pa.array(seg.doc_ids[a:a + 1000], pa.int64()),
-                        pa.array(part[:-1] + starts[(task, number)], pa.int64()),
-                        pa.array(np.diff(part), pa.int64()),
-                        pa.array([seg.ids[x:y].astype("<u4").tobytes() for x, y in zip(part, part[1:])], pa.binary()),
-                    ], ["doc_id", "start", "n_tokens", "ids"])
+                        pa.array([task] * len(names), pa.int64()), pa.array([number] * len(names), pa.int64()),
+                        pa.array(names, pa.int64()), pa.array(part[:-1]), pa.array(np.diff(part)),
+                        pa.array([ids[x:y].astype("<u4").tobytes() for x, y in zip(part, part[1:])], pa.binary()),
+                    ], ["task", "number", "doc_id", "start", "n_tokens", "ids"])
 
-    return files.mapInArrow(decode, "doc_id long, start long, n_tokens long, ids binary")
+    rows = files.mapInArrow(decode, "task long, number long, doc_id long, start long, n_tokens long, ids binary")
+    return _placed(rows, sizes).select("doc_id", "start", "n_tokens", "ids")
+
+
+def _documents(content: bytes):
+    """A file's documents, a thousand at a time: ids of documents, their
+    boundaries (through ``select``) and the file's id array."""
+    if len(content) <= HEAD:
+        return
+    seg = Segment(content)
+    for a in range(0, seg.n_docs, 1000):
+        part = np.asarray(seg.bounds.select_range(a, min(a + 1000, seg.n_docs) + 1), dtype=np.int64)
+        yield seg.doc_ids[a:a + 1000], part, seg.ids
 
 
 def read_index(spark: SparkSession, path: str) -> DataFrame:
     """As :func:`read_token_files`, with each document's checksum
-    ``ids_crc32`` in place of its ids."""
-    return read_token_files(spark, path).withColumn("ids_crc32", F.crc32("ids")).drop("ids")
+    ``ids_crc32`` in place of its ids.  Every file is read once."""
+    def decode(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            for task, number, content in zip(*(batch[i].to_pylist() for i in range(3))):
+                for names, part, ids in _documents(content):
+                    yield pa.RecordBatch.from_arrays([
+                        pa.array([task] * len(names), pa.int64()), pa.array([number] * len(names), pa.int64()),
+                        pa.array(names, pa.int64()), pa.array(part[:-1]), pa.array(np.diff(part)),
+                        pa.array([crc32_of_ids(ids[x:y]) for x, y in zip(part, part[1:])], pa.int64()),
+                    ], ["task", "number", "doc_id", "start", "n_tokens", "ids_crc32"])
+
+    rows = paths_table(_files(spark, path).mapInArrow(
+        decode, "task long, number long, doc_id long, start long, n_tokens long, ids_crc32 long"), "token-index")
+    sizes = rows.groupBy("task", "number").agg(F.sum("n_tokens").alias("n"))
+    return _placed(rows, sizes).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
 def crc32_of_ids(ids: np.ndarray) -> int:
