@@ -34,6 +34,7 @@ from alertsieve.config import DEFAULT, FOREST_DEPTH, TriageConfig
 from alertsieve.operators.boosting import DEPTH_WISE, LEAF_WISE, HistBoostClassifier
 from alertsieve.operators.deep_forest import DeepForestClassifier
 from alertsieve.operators.quantile import exact_quantiles
+from alertsieve.operators.selection import select_features
 from alertsieve.session import reliable_table
 
 LABEL = "is_false_positive"
@@ -447,7 +448,8 @@ def model_suite(labelled: DataFrame, cfg: TriageConfig = DEFAULT, trees: int | N
     """
     from alertsieve.operators.ordering import global_row_index, temporal_split
 
-    features = feature_columns(labelled, compat)
+    # above ``cfg.selection_min_columns`` columns the variance and correlation filters run first
+    features = select_features(labelled, feature_columns(labelled, compat), cfg)
     indexed = global_row_index(labelled.select("problemId", "startTime", LABEL, *features))
     n_rows = indexed.count()
     train, test = temporal_split(indexed, n_rows, cfg.train_fraction)

@@ -8,12 +8,14 @@ from alertsieve import config as C
 from alertsieve.operators import models as M
 from alertsieve.operators import drift as DR
 from alertsieve.operators import features as FE
+from alertsieve.operators import selection as SEL
 from alertsieve.operators import sketch as SK
 from alertsieve.operators import stats as ST
 from alertsieve.operators import tree_attribution as TA
 from alertsieve.operators.trees import NODE_SCHEMA
 from alertsieve.plans import oracle as O
-from alertsieve.plans.catalog import REGISTRY, _spread, _suite, features, labelled_fallback, register, spread_alerts
+from alertsieve.plans.catalog import (MODEL_FEATURES, REGISTRY, _check_features, _spread, _suite, features, labelled_fallback,
+                                      register, spread_alerts)
 from alertsieve.session import ensure_checkpoint_dir, reliable_table
 
 #: A fixed tree: duration above 2 -> 0.1; else hour up to 5 -> 0.9, above -> 0.6.
@@ -137,3 +139,27 @@ def q_incremental_stats(spark, sf_dir):
         got = ST.add_batch(path, feats.where(F.pmod(F.xxhash64("problemId"), F.lit(10)) == i), f"batch-{i}")
     return spark.createDataFrame([(got.n_rows, got.duration_mean, got.duration_std)],
                                  "n_rows long, duration_mean double, duration_std double")
+
+
+def _selected_sql() -> str:
+    """Values of the kept features, a row a value, from the selection's own twin."""
+    chosen = REGISTRY["select_features"].sql
+    at = chosen.rindex("SELECT feature, CAST(position AS BIGINT)")
+    names = ", ".join(f'"{f}"' for f in MODEL_FEATURES)
+    values = ", ".join(f'CAST("{f}" AS DOUBLE) AS "{f}"' for f in MODEL_FEATURES)
+    return chosen[:at].rstrip() + f""",
+chosen AS ({chosen[at:]})
+SELECT "problemId", feature, {O.rnd('v')} AS value
+FROM (SELECT "problemId", {values} FROM feat) UNPIVOT INCLUDE NULLS (v FOR feature IN ({names}))
+JOIN chosen USING (feature) WHERE kept"""
+
+
+@register("selected_values", _selected_sql())
+def q_selected_values(spark, sf_dir):
+    """The selection's table (A14), its features unpivoted: which are kept is
+    decided by the data."""
+    feats = features(spark, sf_dir)
+    table = SEL.selected_table(feats, _check_features(feats), force=True)
+    kept = [c for c in table.columns if c not in ("problemId", *SEL.identity_columns(feats))]
+    return table.select("problemId", F.stack(F.lit(len(kept)), *[x for c in kept for x in (F.lit(c), F.col(c).cast("double"))])
+                        .alias("feature", "value"))

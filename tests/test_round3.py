@@ -81,3 +81,21 @@ def test_boosted_model_in_the_package(spark, tmp_path):
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
     ranking = best_attribution(suite).collect()
     assert len(ranking) == len(suite.features) and all(r.importance >= 0 for r in ranking)
+
+
+def test_many_columns_are_selected_in_the_flow(spark):
+    """With twelve more keywords there are over 50 columns: the models see the selection."""
+    from alertsieve.operators.selection import select_features, selected_table
+    from alertsieve.plans import catalog
+
+    cfg = dataclasses.replace(DEFAULT, keywords=(*DEFAULT.keywords, *[f"word{i}" for i in range(12)]))
+    raw = catalog.alerts(spark, "/root/testdata/sf0.001")
+    labelled = S.fit_scoring(raw, cfg, anomaly="fallback")[1]
+    columns = M.feature_columns(labelled)
+    assert len(columns) > cfg.selection_min_columns
+    want = select_features(labelled, columns, cfg)
+    suite = M.model_suite(labelled, cfg, only=("LogisticRegression",))
+    assert suite.features == want and len(want) < len(columns)
+    assert not any(f.startswith("has_word") for f in suite.features)  # constant columns go
+    table = selected_table(labelled, columns, cfg)
+    assert table.columns[:2] == ["problemId", "title"] and set(want) <= set(table.columns)
